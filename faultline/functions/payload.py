@@ -7,10 +7,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import py_strip
+from faultline.functions.text import non_blank
 
-# JSON texts of the values a dynamic language takes as false
-FALSY = ("null", '""', "0", "0.0", "-0.0", "false", "[]", "{}")
+# texts of the values, other than strings and booleans, that a dynamic language takes as false
+FALSY = ("0", "0.0", "-0.0", "[]", "{}")
+# the form of nearly all timestamps, which a plain cast can read
+COMMON_ISO = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d{1,6})?(Z|[+-]\d\d:\d\d)?$"
 
 # calendar date, then an optional time of day, then an optional offset
 ISO_PATTERN = (
@@ -49,7 +51,7 @@ class Payload:
 
     def truthy(self, key: str) -> Column:
         """The text of the value, null where the value counts as false."""
-        return F.when(self.get(key)["truthy"], self.text(key))
+        return self.get(key)["truthy"]
 
     def first_truthy(self, *keys: str) -> Column:
         """The first value that counts as true; the last key's value is taken as it is."""
@@ -61,22 +63,35 @@ class Payload:
 
     def first_non_blank(self, *keys: str) -> Column:
         """The first value with something besides white space, stripped; 0 and false are kept."""
-        texts = F.transform(F.array(*[self.text(k) for k in keys]), py_strip)
-        return F.try_element_at(F.filter(texts, lambda x: x != ""), F.lit(1))
+        return F.coalesce(*[non_blank(self.text(k)) for k in keys])
 
-    def first_timestamp(self, *keys: str) -> Column:
-        """The timestamp of the first key that counts as true; null where it cannot be read."""
-        found = self.get(keys[0]) if len(keys) == 1 else F.coalesce(
-            *[F.when(self.get(k)["truthy"], self.get(k)) for k in keys]
-        )
-        return F.when(
-            found["truthy"],
-            F.when(found["kind"] == "STRING", iso_timestamp(found["text"])).otherwise(epoch_timestamp(found["number"])),
-        )
+    def first_value(self, *keys: str) -> Column:
+        """The first unpacked value that counts as true."""
+        return F.coalesce(*[F.when(self.truthy(k).isNotNull(), self.get(k)) for k in keys])
+
+
+def text_value(text: Column) -> Column:
+    """A text in the shape of an unpacked value."""
+    return F.struct(
+        F.lit("STRING").alias("kind"), text.alias("text"), F.nullif(text, F.lit("")).alias("truthy"),
+        F.lit(None).cast("double").alias("number"),
+    )
+
+
+def timestamp_of(value: Column) -> Column:
+    """The timestamp an unpacked value stands for: ISO text, or an epoch number."""
+    text = value["text"]
+    return F.when(
+        value["truthy"].isNotNull(),
+        F.when(value["kind"] == "STRING", iso_timestamp(text)).otherwise(epoch_timestamp(value["number"])),
+    )
 
 
 def unpack(variant: Column, keys: Iterable[str]) -> Column:
-    """VARIANT -> map of key to (kind, text, truthy, number) for the wanted keys; null for non-objects."""
+    """VARIANT -> map of key to (kind, text, truthy, number) for the wanted keys; null for non-objects.
+
+    `truthy` is the text where the value counts as true, else null.
+    """
     top = sorted(k for k in keys if "." not in k)
     inner = sorted(k for k in keys if "." in k)
     values = F.map_filter(variant.try_cast("map<string,variant>"), lambda k, _: k.isin(*top))
@@ -87,14 +102,16 @@ def unpack(variant: Column, keys: Iterable[str]) -> Column:
     def describe(_: Column, value: Column) -> Column:
         kind = F.schema_of_variant(value)
         plain = F.try_variant_get(value, "$", "string")
+        boolean = F.when(plain == "true", F.lit("True"))
+        numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
         return F.struct(
             kind.alias("kind"),
             F.when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain).alias("text"),
-            (~F.to_json(value).isin(*FALSY)).alias("truthy"),
-            F.when(
-                kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
-                F.try_variant_get(value, "$", "double"),
-            ).alias("number"),
+            F.when(kind == "STRING", F.nullif(plain, F.lit("")))
+            .when(kind == "BOOLEAN", boolean)
+            .when(~plain.isin(*FALSY), plain)
+            .alias("truthy"),
+            F.when(numeric, F.try_variant_get(value, "$", "double")).alias("number"),
         )
 
     return F.transform_values(values, describe)
@@ -114,27 +131,23 @@ def epoch_timestamp(number: Column) -> Column:
 
 def iso_timestamp(text: Column) -> Column:
     """ISO-8601 text with at least a full date; no offset means UTC; null where it is not a date."""
-    clean = F.regexp_replace(text, "Z", "+00:00")
+    zoned = F.when(text.rlike(r"(Z|[+-]\d\d:\d\d)$"), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.when(text.rlike(COMMON_ISO), zoned.try_cast("timestamp")).otherwise(_any_iso_timestamp(text))
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(clean, ISO_PATTERN, i)
 
-    def either(i: int, j: int) -> Column:
-        return F.concat(part(i), part(j))
+def _any_iso_timestamp(text: Column) -> Column:
+    """All other forms: basic dates, dates alone, short times, long fractions, short offsets."""
+    clean = F.regexp_replace(text, "Z", "+00:00")
+    date, hour, minute, second, zone = "$1$4-$2$5-$3$6", "$7", "$8", "$9", "$11"
+    parts = F.split(F.regexp_replace(clean, ISO_PATTERN, f"{date}/{hour}/{minute}/{second}/$10/{zone}"), "/")
 
-    def default(i: int, value: str) -> Column:
-        return F.when(part(i) == "", F.lit(value)).otherwise(part(i))
+    def part(i: int, default: str) -> Column:
+        return F.when(parts[i] == "", F.lit(default)).otherwise(parts[i])
 
-    offset = part(11)
-    zone = (
-        F.when(offset == "", F.lit("+00:00"))
-        .when(F.length(offset) == 3, F.concat(offset, F.lit(":00")))
-        .when(F.length(offset) == 5, F.concat(F.substring(offset, 1, 3), F.lit(":"), F.substring(offset, 4, 2)))
-        .otherwise(offset)
-    )
+    offset = F.regexp_replace(F.rpad(F.regexp_replace(part(5, "+00"), ":", ""), 5, "0"), "(..)$", ":$1")
+    fraction = F.rpad(F.substring(parts[4], 1, 6), 6, "0")
     canonical = F.concat(
-        either(1, 4), F.lit("-"), either(2, 5), F.lit("-"), either(3, 6), F.lit("T"), default(7, "00"), F.lit(":"),
-        default(8, "00"), F.lit(":"), default(9, "00"), F.lit("."), F.rpad(F.substring(part(10), 1, 6), 6, "0"), zone,
+        parts[0], F.lit("T"), part(1, "00"), F.lit(":"), part(2, "00"), F.lit(":"), part(3, "00"), F.lit("."), fraction, offset
     )
     return F.when(clean.rlike(ISO_PATTERN), canonical.try_cast("timestamp"))
 

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import fixed
-from faultline.functions.payload import Payload, computed_once, iso_timestamp, unpack
+from faultline.functions.payload import Payload, computed_once, text_value, timestamp_of, unpack
 from faultline.functions.text import first_hit, lookup, non_blank, py_strip
 
 Normalizer = Callable[[Payload], Mapping[str, Column]]
 
-# the fields a normalizer gives; a missing timestamp becomes the arrival time
+# the fields a normalizer gives; `timestamp` is an unpacked value, and becomes the arrival time if unreadable
 FIELDS = ("severity", "service", "message", "timestamp", "error_type", "affected_resource")
 
 
@@ -69,7 +69,7 @@ def normalize_jvm_log(p: Payload) -> dict[str, Column]:
         "severity": severity_from_log_level(p.truthy("level")),
         "service": F.coalesce(p.truthy("service"), service_from_logger(p.any_truthy("logger", "loggerName"))),
         "message": F.coalesce(p.any_truthy("message", "msg"), F.lit("No message")),
-        "timestamp": p.first_timestamp("timestamp", "@timestamp"),
+        "timestamp": p.first_value("timestamp", "@timestamp"),
         "error_type": exception_simple_name(p.any_truthy("exception", "exceptionClass")),
         "affected_resource": p.first_truthy("requestUri", "endpoint"),
         "text_fields": _all_text(p, "level", "requestUri", "endpoint"),
@@ -90,7 +90,7 @@ def normalize_kafka_event(p: Payload) -> dict[str, Column]:
         "message": F.coalesce(
             p.any_truthy("error", "message"), F.concat(F.lit("Kafka event on topic "), topic_text)
         ),
-        "timestamp": p.first_timestamp("timestamp"),
+        "timestamp": p.first_value("timestamp"),
         "error_type": F.coalesce(p.truthy("error_type"), error_type_from_text(error)),
         "affected_resource": p.text("topic"),
         "text_fields": _all_text(p, "severity", "error_type", "topic"),
@@ -104,7 +104,7 @@ def normalize_webhook(p: Payload) -> dict[str, Column]:
         "service": F.coalesce(p.first_non_blank(*fixed.WEBHOOK_SERVICE), F.lit(fixed.UNKNOWN_SERVICE)),
         "message": F.coalesce(p.first_non_blank(*fixed.WEBHOOK_MESSAGE), F.lit("Webhook event received")),
         # the alias is read as text, so an epoch number is not a timestamp here
-        "timestamp": iso_timestamp(when),
+        "timestamp": text_value(when),
         "error_type": p.first_truthy("error_type", "alert_name", "type"),
         "affected_resource": p.first_truthy("resource", "endpoint", "url"),
         "text_fields": _all_text(p, "error_type", "alert_name", "type", "resource", "endpoint", "url"),
@@ -134,21 +134,16 @@ def normalize(df: DataFrame, normalizers: Mapping[str, Normalizer] | None = None
     """
     normalizers = {**NORMALIZERS, **(normalizers or {})}
     payload = Payload("payload")
-    event: Column | None = None
-    for source, normalizer in normalizers.items():
-        fields = dict(normalizer(payload))
-        row = F.struct(
-            *[fields[name].alias(name) for name in FIELDS],
-            fields.get("text_fields", F.lit(True)).alias("text_fields"),
-        )
-        hit = F.col("source_system") == source
-        event = F.when(hit, row) if event is None else event.when(hit, row)
+    rows = {source: _row(normalizer(payload)) for source, normalizer in normalizers.items()}
     if "incident_id" not in df.columns:
         content = F.concat_ws("|", "source_system", F.col("arrival_ts").cast("string"), "raw")
         df = df.withColumn("incident_id", F.substring(F.sha2(content, 256), 1, 32))
     df = computed_once(df, "payload", unpack(F.try_parse_json("raw"), payload.keys))
     parsed = F.col("payload").isNotNull()
-    df = computed_once(df, "event", event)
+    # one step per source keeps each generated method small enough to be compiled
+    for i, (source, row) in enumerate(rows.items()):
+        df = computed_once(df, f"_event_{i}", F.when(F.col("source_system") == source, row))
+    df = df.withColumn("event", F.coalesce(*[f"_event_{i}" for i in range(len(rows))]))
     known = F.coalesce(F.col("source_system").isin(*normalizers), F.lit(False))
     checks = [
         (~known, "unknown source_system"),
@@ -163,7 +158,7 @@ def normalize(df: DataFrame, normalizers: Mapping[str, Normalizer] | None = None
         F.col("event.severity").alias("severity"),
         py_strip(F.col("event.service")).alias("service"),
         py_strip(F.col("event.message")).alias("message"),
-        F.coalesce(F.col("event.timestamp"), F.col("arrival_ts")).alias("timestamp"),
+        F.coalesce(timestamp_of(F.col("event.timestamp")), F.col("arrival_ts")).alias("timestamp"),
         "raw",
         F.col("event.error_type").alias("error_type"),
         F.col("event.affected_resource").alias("affected_resource"),
@@ -172,6 +167,11 @@ def normalize(df: DataFrame, normalizers: Mapping[str, Normalizer] | None = None
     )
 
 
+def _row(fields: Mapping[str, Column]) -> Column:
+    fine = fields.get("text_fields", F.lit(True))
+    return F.struct(*[fields[name].alias(name) for name in FIELDS], fine.alias("text_fields"))
+
+
 def _reasons(checks: list[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(why)) for bad, why in checks]))
 
