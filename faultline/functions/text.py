@@ -53,3 +53,9 @@ def non_blank(text: Column) -> Column:
     """The stripped text, or null where nothing is left."""
     stripped = py_strip(text)
     return F.when(stripped != "", stripped)
+
+
+def json_string(text: Column) -> Column:
+    """The text as a quoted JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)

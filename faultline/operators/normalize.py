@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline import fixed
 from faultline.functions.payload import Payload, computed_once, text_value, timestamp_of, unpack
-from faultline.functions.text import first_hit, lookup, non_blank, py_strip
+from faultline.functions.text import first_hit, json_string, lookup, non_blank, py_strip
 
 Normalizer = Callable[[Payload], Mapping[str, Column]]
 
@@ -226,10 +226,7 @@ def incident_text(df: DataFrame) -> Column:
     parts = [F.concat(F.lit(f"{n}: "), F.coalesce(F.col(n), F.lit(""))) for n in names]
     if "context" in df.columns:
         pairs = F.transform(
-            F.map_entries("context"),
-            lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2),
-                               F.lit(": "),
-                               F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2)),
+            F.map_entries("context"), lambda e: F.concat(json_string(e["key"]), F.lit(": "), json_string(e["value"]))
         )
         text = F.concat(F.lit("context: {"), F.array_join(pairs, ", "), F.lit("}"))
         parts.append(F.when(F.size("context") > 0, text))
