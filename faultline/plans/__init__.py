@@ -1,6 +1,6 @@
 """All named queries."""
 
-from faultline.plans import ingest_queries, trend_queries  # noqa: F401
+from faultline.plans import ingest_queries, service_queries, trend_queries, window_queries  # noqa: F401
 from faultline.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
