@@ -1,6 +1,13 @@
 """All named queries."""
 
-from faultline.plans import ingest_queries, service_queries, trend_queries, window_queries  # noqa: F401
+from faultline.plans import (  # noqa: F401
+    ingest_queries,
+    service_queries,
+    state_queries,
+    stream_queries,
+    trend_queries,
+    window_queries,
+)
 from faultline.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

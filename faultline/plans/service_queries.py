@@ -391,21 +391,21 @@ def rolling_alerts(spark, folder):
     return rl.rolling_alerts(rl.rolling_health(outcomes(spark, folder), 5)).select("service", "seq_no", "health", "summary", "confidence")
 
 
-def _greedy_sql(key: str, hold: str) -> str:
+def greedy_sql(key: str, hold: str) -> str:
     return f"""WITH RECURSIVE {INC}, a AS (SELECT {key} AS name, ts FROM inc),
     f AS (SELECT name, min(ts) AS ts FROM a GROUP BY name
       UNION ALL SELECT f.name, min(a.ts) FROM f JOIN a ON a.name = f.name AND a.ts >= f.ts + INTERVAL {hold} GROUP BY f.name)
     SELECT f.name AS name, {sql_stamp('f.ts')} AS fired, record_id FROM f JOIN (SELECT {key} AS name, ts, record_id FROM inc) i ON i.name = f.name AND i.ts = f.ts"""
 
 
-@query("cooldown_alerts", _greedy_sql("event_type", "1 HOUR"))
+@query("cooldown_alerts", greedy_sql("event_type", "1 HOUR"))
 def cooldown_alerts(spark, folder):
     alerts = incidents(spark, folder).select(F.col("event_type").alias("name"), "ts", "record_id")
     fired = cd.cooldown_alerts(alerts, 3600, row_id="record_id")
     return fired.select("name", stamp("ts").alias("fired"), "record_id")
 
 
-@query("claim_actions", _greedy_sql("workflow || '/' || incident_type", "3 HOUR"))
+@query("claim_actions", greedy_sql("workflow || '/' || incident_type", "3 HOUR"))
 def claim_actions(spark, folder):
     keyed = incidents(spark, folder).select(F.concat_ws("/", "workflow", "incident_type").alias("name"), "ts", "record_id")
     held = cd.claim_actions(keyed, 3 * 3600, key="name", row_id="record_id")

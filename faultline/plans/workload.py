@@ -59,7 +59,11 @@ inc AS (
 
 def incidents(spark: SparkSession, folder: str) -> DataFrame:
     """One incident per row of `events`."""
-    e = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return incidents_of(table(spark, folder, "events"))
+
+
+def incidents_of(events: DataFrame) -> DataFrame:
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
     value, source = F.col("value"), F.col("event_id") % 3
     severity = (
         F.when(value >= 147, "critical").when(value >= 69, "high").when(value >= 14.5, "medium").otherwise("low")
@@ -139,7 +143,10 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 # --- raw payloads ---------------------------------------------------------------------------------
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Raw JSON texts in the three source shapes, some cut short and some with a blank service."""
-    e = incidents(spark, folder)
+    return payloads_of(incidents(spark, folder))
+
+
+def payloads_of(e: DataFrame) -> DataFrame:
     number, user, service = F.col("event_id"), F.col("user_id"), F.col("service")
     blank, none = (number % 89) == 0, F.lit(None).cast("string")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
