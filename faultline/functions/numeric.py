@@ -51,4 +51,5 @@ def percent_text(x: Column, digits: int = 0) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """x kept inside [low, high]; null stays null, which greatest and least alone would skip."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,18 +24,21 @@ ISO_PATTERN = (
 class Payload:
     """Reads keys of one payload column made by `unpack`.
 
-    The keys asked for are kept in `keys`, so that only those are unpacked. A key with a dot names a
-    field of an inner object.
+    Each key that is asked for gets a place in `keys`, so that only those are unpacked. A key with a dot
+    names a field of an inner object.
     """
 
     def __init__(self, column: str):
-        self.column = F.col(column)
-        self.keys: set[str] = set()
+        self.column = column
+        self.keys: list[str] = []
+        self._columns: dict[str, Column] = {}
 
     def get(self, key: str) -> Column:
         """The unpacked value; null where the key is absent."""
-        self.keys.add(key)
-        return self.column[key]
+        if key not in self._columns:
+            self._columns[key] = F.get(self.column, F.lit(len(self.keys)))
+            self.keys.append(key)
+        return self._columns[key]
 
     def kind(self, key: str) -> Column:
         return self.get(key)["kind"]
@@ -87,24 +90,21 @@ def timestamp_of(value: Column) -> Column:
     )
 
 
-def unpack(variant: Column, keys: Iterable[str]) -> Column:
-    """VARIANT -> map of key to (kind, text, truthy, number) for the wanted keys; null for non-objects.
+def unpack(df: DataFrame, raw: str, name: str, keys: Sequence[str]) -> DataFrame:
+    """Adds `name`: per key a struct (kind, text, truthy, number), null for an absent key.
 
-    `truthy` is the text where the value counts as true, else null.
+    `truthy` is the text where the value counts as true, else null. The column is null where the raw text
+    is no JSON object.
     """
-    top = sorted(k for k in keys if "." not in k)
-    inner = sorted(k for k in keys if "." in k)
-    values = F.map_filter(variant.try_cast("map<string,variant>"), lambda k, _: k.isin(*top))
-    if inner:
-        pairs = [x for k in inner for x in (F.lit(k), F.try_variant_get(variant, _path(k), "variant"))]
-        values = F.map_concat(values, F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()))
-
-    def describe(_: Column, value: Column) -> Column:
+    df = computed_once(df, "_variant", F.try_parse_json(raw))
+    values = [F.try_variant_get("_variant", _path(k), "variant") for k in keys]
+
+    def describe(value: Column) -> Column:
         kind = F.schema_of_variant(value)
         plain = F.try_variant_get(value, "$", "string")
         boolean = F.when(plain == "true", F.lit("True"))
         numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-        return F.struct(
+        described = F.struct(
             kind.alias("kind"),
             F.when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain).alias("text"),
             F.when(kind == "STRING", F.nullif(plain, F.lit("")))
@@ -113,8 +113,11 @@ def unpack(variant: Column, keys: Iterable[str]) -> Column:
             .alias("truthy"),
             F.when(numeric, F.try_variant_get(value, "$", "double")).alias("number"),
         )
+        return F.when(value.isNotNull(), described)
 
-    return F.transform_values(values, describe)
+    is_object = F.col("_variant").isNotNull() & F.col(raw).rlike(r"^\s*\{")
+    unpacked = F.when(is_object, F.transform(F.array(*values), describe))
+    return computed_once(df, name, unpacked).drop("_variant")
 
 
 def _path(key: str) -> str:

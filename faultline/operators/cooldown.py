@@ -31,7 +31,7 @@ def first_in_hold(times: np.ndarray, hold: int, last: int | None) -> tuple[list[
 
 def _scan(batches: Iterator[pd.DataFrame], hold: int, starts: dict[int, int]) -> Iterator[tuple[int, str, pd.DataFrame, int]]:
     """Yields (block, name, rows that fire, last fired) per run of a name; a block's rows come sorted."""
-    name, last = None, None
+    name, last, begun = None, None, False
     for batch in batches:
         if batch.empty:
             continue
@@ -39,10 +39,10 @@ def _scan(batches: Iterator[pd.DataFrame], hold: int, starts: dict[int, int]) ->
         values = batch["name"].to_numpy()
         cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(values)]):
-            if values[lo] != name:
+            if not begun or values[lo] != name:
                 # only the first name of a block may have begun in an earlier block
-                last = starts.get(block) if name is None else None
-                name = values[lo]
+                last = None if begun else starts.get(block)
+                name, begun = values[lo], True
             part = batch.iloc[lo:hi]
             fired, last = first_in_hold(part["at"].to_numpy(), hold, last)
             yield block, name, part.iloc[fired], last

@@ -138,7 +138,7 @@ def normalize(df: DataFrame, normalizers: Mapping[str, Normalizer] | None = None
     if "incident_id" not in df.columns:
         content = F.concat_ws("|", "source_system", F.col("arrival_ts").cast("string"), "raw")
         df = df.withColumn("incident_id", F.substring(F.sha2(content, 256), 1, 32))
-    df = computed_once(df, "payload", unpack(F.try_parse_json("raw"), payload.keys))
+    df = unpack(df, "raw", "payload", payload.keys)
     parsed = F.col("payload").isNotNull()
     # one step per source keeps each generated method small enough to be compiled
     for i, (source, row) in enumerate(rows.items()):

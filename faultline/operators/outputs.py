@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline import fixed
 from faultline.functions.numeric import clamp
+from faultline.functions.payload import computed_once
 from faultline.functions.text import json_string
 
 
@@ -33,39 +34,42 @@ def _texts(value: Column, path: str) -> Column:
 
 
 # --- test cases -----------------------------------------------------------------------------------
-def test_case_list(raw: Column) -> Column:
-    """The test cases of one output; null where the text is no JSON or any case breaks the contract."""
-    cases = _at(F.try_parse_json(raw), "$.testCases", "array<variant>")
-
-    def read(case: Column) -> Column:
-        tags = F.when(_at(case, "$.tags").isNull(), F.array().cast("array<string>")).otherwise(_texts(case, "$.tags"))
-        risk = F.when(_at(case, "$.risk").isNull(), F.lit("medium")).otherwise(_at(case, "$.risk", "string"))
-        steps = _texts(case, "$.steps")
-        return F.struct(
-            _text(case, "$.id").alias("id"),
-            _text(case, "$.title").alias("title"),
-            F.when(F.size(steps) > 0, steps).alias("steps"),
-            _text(case, "$.expected").alias("expected"),
-            tags.alias("tags"),
-            F.when(risk.isin(*fixed.RISKS), risk).alias("risk"),
-            _text(case, "$.createdFromFeatureId").alias("feature_id"),
-        )
-
-    read_cases = F.transform(cases, read)
-    names = ("id", "title", "steps", "expected", "tags", "risk", "feature_id")
-
-    def whole(case: Column) -> Column:
-        result = F.lit(True)
-        for name in names:
-            result = result & case[name].isNotNull()
-        return result
-
-    return F.when(F.forall(read_cases, whole), read_cases)
+CASE_FIELDS = ("id", "title", "steps", "expected", "tags", "risk", "feature_id")
+
+
+def _read_case(case: Column) -> Column:
+    """The fields of one test case, null where a field breaks the contract."""
+    tags = F.when(_at(case, "$.tags").isNull(), F.array().cast("array<string>")).otherwise(_texts(case, "$.tags"))
+    risk = F.when(_at(case, "$.risk").isNull(), F.lit("medium")).otherwise(_at(case, "$.risk", "string"))
+    steps = _texts(case, "$.steps")
+    return F.struct(
+        _text(case, "$.id").alias("id"),
+        _text(case, "$.title").alias("title"),
+        F.when(F.size(steps) > 0, steps).alias("steps"),
+        _text(case, "$.expected").alias("expected"),
+        tags.alias("tags"),
+        F.when(risk.isin(*fixed.RISKS), risk).alias("risk"),
+        _text(case, "$.createdFromFeatureId").alias("feature_id"),
+    )
+
+
+def _whole(case: Column) -> Column:
+    result = F.lit(True)
+    for name in CASE_FIELDS:
+        result = result & case[name].isNotNull()
+    return result
+
+
+def _with_cases(df: DataFrame, raw: Column, name: str) -> DataFrame:
+    """Adds the test cases of one output; null where the text is no JSON or any case breaks the contract."""
+    read = F.transform(_at(F.try_parse_json(raw), "$.testCases", "array<variant>"), _read_case)
+    df = computed_once(df, "_read", read)
+    return computed_once(df, name, F.when(F.forall("_read", _whole), F.col("_read"))).drop("_read")
 
 
 def validate_test_cases(outputs: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds `cases` and `valid`; an output with one bad case is rejected whole."""
-    return outputs.withColumn("cases", test_case_list(F.col(raw))).withColumn("valid", F.col("cases").isNotNull())
+    return _with_cases(outputs, F.col(raw), "cases").withColumn("valid", F.col("cases").isNotNull())
 
 
 def test_cases(validated: DataFrame, key: str = "output_id") -> DataFrame:
@@ -74,8 +78,9 @@ def test_cases(validated: DataFrame, key: str = "output_id") -> DataFrame:
 
 def recover_outputs(outputs: DataFrame, raw: str = "raw", repaired: str = "repaired") -> DataFrame:
     """The first text if it is valid, else the repaired one; adds recovery_attempted and recovery_ok."""
-    parsed = outputs.withColumns({"_first": test_case_list(F.col(raw)), "_second": test_case_list(F.col(repaired))})
+    parsed = _with_cases(outputs, F.col(raw), "_first")
     failed = F.col("_first").isNull()
+    parsed = _with_cases(parsed, F.when(failed, F.col(repaired)), "_second")
     return parsed.withColumns(
         {
             "cases": F.coalesce("_first", "_second"),
@@ -100,7 +105,7 @@ def parse_window_reports(reports: DataFrame, fallback: DataFrame, batch: str = "
     `fallback` is the nested rule-based report of every batch.
     """
     v = F.try_parse_json("report_json")
-    parsed = reports.select(batch, v.alias("v"))
+    parsed = computed_once(reports.select(batch, "report_json"), "v", v)
     entries = F.filter(
         F.transform(
             F.coalesce(_at(F.col("v"), "$.events_by_service", "array<variant>"), F.array().cast("array<variant>")),
@@ -177,7 +182,7 @@ def parse_copilot_output(outputs: DataFrame, raw: str = "raw") -> DataFrame:
     # an answer may be a JSON string with the object inside
     outer = F.try_parse_json(raw)
     inner = F.when(F.schema_of_variant(outer) == "STRING", F.try_parse_json(outer.try_cast("string"))).otherwise(outer)
-    df = outputs.withColumn("_v", inner)
+    df = computed_once(outputs, "_v", inner)
     v = F.col("_v")
     confidence = F.when(
         _kind(v, "$.confidence").isin("BIGINT", "DOUBLE", "FLOAT") | _kind(v, "$.confidence").startswith("DECIMAL"),

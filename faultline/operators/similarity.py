@@ -52,6 +52,21 @@ def _to_pivots(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (units @ pivots.T)))
 
 
+def _k_smallest(distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of the k smallest numbers per row; equal ones go by column."""
+    if distance.shape[1] > k:
+        limit = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+        rows, columns = np.nonzero(distance <= limit)
+    else:
+        rows, columns = np.indices(distance.shape).reshape(2, -1)
+    values = distance[rows, columns]
+    order = np.lexsort((columns, values, rows))
+    rows, columns, values = rows[order], columns[order], values[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+    keep = place < k
+    return rows[keep], columns[keep], values[keep]
+
+
 # --- exact search -------------------------------------------------------------------------------
 def similar_incidents(
     queries: DataFrame, corpus: DataFrame, k: int = 3, pivots: int = PIVOTS, block_values: int = BLOCK_VALUES
@@ -182,16 +197,17 @@ def _block_search(queries: DataFrame, corpus: DataFrame, k: int, block_values: i
             return pd.DataFrame({"_q": [], "record_id": [], "distance": []})
         right = right.sort_values("record_id", kind="stable")
         a, b = _matrix(left["embedding"]), _matrix(right["embedding"])
-        norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-        distance = np.round(1.0 - (a @ b.T) / norms, DIGITS)
-        take = np.argsort(distance, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(left)), take.shape[1])
-        columns = take.ravel()
-        return pd.DataFrame({
-            "_q": left["_q"].to_numpy()[rows],
-            "record_id": right["record_id"].to_numpy()[columns],
-            "distance": distance[rows, columns],
-        })
+        a_norm, b_norm = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+        asked, stored = left["_q"].to_numpy(), right["record_id"].to_numpy()
+        # a strip of queries at a time keeps the distances at hand as small as a block
+        strip = max(1, BLOCK_VALUES // len(b))
+        found = []
+        for lo in range(0, len(a), strip):
+            part = slice(lo, lo + strip)
+            distance = np.round(1.0 - (a[part] @ b.T) / np.outer(a_norm[part], b_norm), DIGITS)
+            rows, columns, values = _k_smallest(distance, k)
+            found.append(pd.DataFrame({"_q": asked[part][rows], "record_id": stored[columns], "distance": values}))
+        return pd.concat(found)
 
     schema = f"_q {q_type}, record_id {id_type}, distance double"
     local = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(nearest, schema)

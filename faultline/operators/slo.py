@@ -83,7 +83,7 @@ def counter_increase(samples: DataFrame, by: Sequence[str], ts: str, value: str)
     """
     from faultline.operators.ordered import row_numbers, sliding
 
-    placed = row_numbers(samples, by, [ts], "_no")
+    placed = row_numbers(samples, by, [ts, value], "_no")
     paired = sliding(placed, by, "_no", 1, {"_before": F.first(value)})
     now, before = F.col(value), F.col("_before")
     step = F.when(F.col("_no") == 1, F.lit(0)).when(now < before, now).otherwise(now - before)
