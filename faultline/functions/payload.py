@@ -90,14 +90,17 @@ def timestamp_of(value: Column) -> Column:
     )
 
 
-def unpack(df: DataFrame, raw: str, name: str, keys: Sequence[str]) -> DataFrame:
-    """Adds `name`: per key a struct (kind, text, truthy, number), null for an absent key.
+def parse_object(raw: str) -> Column:
+    """The raw text as VARIANT, null where it is no JSON object."""
+    return F.when(F.col(raw).rlike(r"^\s*\{"), F.try_parse_json(raw))
 
-    `truthy` is the text where the value counts as true, else null. The column is null where the raw text
-    is no JSON object.
+
+def unpack(variant: str, keys: Sequence[str]) -> Column:
+    """VARIANT object -> array with, per key, a struct (kind, text, truthy, number), null for an absent key.
+
+    `truthy` is the text where the value counts as true, else null.
     """
-    df = computed_once(df, "_variant", F.try_parse_json(raw))
-    values = [F.try_variant_get("_variant", _path(k), "variant") for k in keys]
+    values = [F.try_variant_get(variant, _path(k), "variant") for k in keys]
 
     def describe(value: Column) -> Column:
         kind = F.schema_of_variant(value)
@@ -115,9 +118,7 @@ def unpack(df: DataFrame, raw: str, name: str, keys: Sequence[str]) -> DataFrame
         )
         return F.when(value.isNotNull(), described)
 
-    is_object = F.col("_variant").isNotNull() & F.col(raw).rlike(r"^\s*\{")
-    unpacked = F.when(is_object, F.transform(F.array(*values), describe))
-    return computed_once(df, name, unpacked).drop("_variant")
+    return F.transform(F.array(*values), describe)
 
 
 def _path(key: str) -> str:

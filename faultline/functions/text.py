@@ -29,11 +29,9 @@ def first_hit(text: Column, words: Iterable[tuple[Iterable[str], str]], default:
 
 
 def lookup(key: Column, table: Mapping[str, object], default: object = None) -> Column:
-    """table[key], or the default."""
-    result: Column | None = None
-    for name, value in table.items():
-        result = F.when(key == name, F.lit(value)) if result is None else result.when(key == name, F.lit(value))
-    return result.otherwise(F.lit(default))
+    """table[key], or the default; the key is evaluated once, unlike in a chain of WHENs."""
+    found = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def cut(text: Column, length: int) -> Column:

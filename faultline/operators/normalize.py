@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import fixed
-from faultline.functions.payload import Payload, computed_once, text_value, timestamp_of, unpack
+from faultline.functions.payload import Payload, computed_once, parse_object, text_value, timestamp_of, unpack
 from faultline.functions.text import first_hit, json_string, lookup, non_blank, py_strip
 
 Normalizer = Callable[[Payload], Mapping[str, Column]]
@@ -133,17 +133,19 @@ def normalize(df: DataFrame, normalizers: Mapping[str, Normalizer] | None = None
     bring along, else get one from their content.
     """
     normalizers = {**NORMALIZERS, **(normalizers or {})}
-    payload = Payload("payload")
-    rows = {source: _row(normalizer(payload)) for source, normalizer in normalizers.items()}
     if "incident_id" not in df.columns:
         content = F.concat_ws("|", "source_system", F.col("arrival_ts").cast("string"), "raw")
         df = df.withColumn("incident_id", F.substring(F.sha2(content, 256), 1, 32))
-    df = unpack(df, "raw", "payload", payload.keys)
-    parsed = F.col("payload").isNotNull()
-    # one step per source keeps each generated method small enough to be compiled
-    for i, (source, row) in enumerate(rows.items()):
-        df = computed_once(df, f"_event_{i}", F.when(F.col("source_system") == source, row))
-    df = df.withColumn("event", F.coalesce(*[f"_event_{i}" for i in range(len(rows))]))
+    df = computed_once(df, "_variant", parse_object("raw"))
+    parsed = F.col("_variant").isNotNull()
+    # two steps per source: only the keys of a row's own source are read, and each generated method stays small
+    for i, (source, normalizer) in enumerate(normalizers.items()):
+        payload = Payload(f"_payload_{i}")
+        row = _row(normalizer(payload))
+        mine = parsed & (F.col("source_system") == source)
+        df = computed_once(df, f"_payload_{i}", F.when(mine, unpack("_variant", payload.keys)))
+        df = computed_once(df, f"_event_{i}", F.when(mine, row)).drop(f"_payload_{i}")
+    df = df.withColumn("event", F.coalesce(*[f"_event_{i}" for i in range(len(normalizers))]))
     known = F.coalesce(F.col("source_system").isin(*normalizers), F.lit(False))
     checks = [
         (~known, "unknown source_system"),
