@@ -108,8 +108,9 @@ def empty_window_report(spark, folder):
     rep AS (SELECT count(*) AS n, count(DISTINCT service) AS services, count(*) FILTER (severity IN ('high', 'critical')) AS u,
       count(*) FILTER (severity IN ('high', 'critical')) > count(*) * 0.5 AS hot FROM w)
     SELECT CAST(n AS BIGINT) AS event_count, 3600 AS window_seconds, CAST(services AS BIGINT) AS services,
-      {ASSESSMENT} AS overall_assessment, {PATTERN} AS critical_pattern, {STEPS} AS recommended_actions,
-      'low' AS hallucination_risk, 40 AS confidence_score, false AS llm_used FROM rep""",
+      CASE WHEN n = 0 THEN 'No events in the current window.' ELSE {ASSESSMENT} END AS overall_assessment, {PATTERN} AS critical_pattern,
+      CASE WHEN n = 0 THEN '' ELSE {STEPS} END AS recommended_actions, 'low' AS hallucination_risk,
+      CASE WHEN n = 0 THEN 0 ELSE 40 END AS confidence_score, false AS llm_used FROM rep""",
 )
 def analyze_window(spark, folder):
     events = incidents(spark, folder).withColumn("arrival_ts", F.col("ts"))
