@@ -100,6 +100,22 @@ def nested_report(report: DataFrame, summary: DataFrame, batch: str = "batch_id"
     return report.join(lists, batch, "left")
 
 
+def _empty_report(window_seconds: int) -> list[Column]:
+    """The columns of a report on no events."""
+    return [
+        F.lit(0).cast("bigint").alias("event_count"),
+        F.lit(window_seconds).alias("window_seconds"),
+        F.lit(0).cast("bigint").alias("services"),
+        F.lit(0).cast("bigint").alias("urgent_count"),
+        F.lit(fixed.EMPTY_ASSESSMENT).alias("overall_assessment"),
+        F.lit(None).cast("string").alias("critical_pattern"),
+        F.array().cast("array<string>").alias("recommended_actions"),
+        F.lit("low").alias("hallucination_risk"),
+        F.lit(0).alias("confidence_score"),
+        F.lit(False).alias("llm_used"),
+    ]
+
+
 def with_empty_windows(report: DataFrame, batch: str, window_seconds: int) -> DataFrame:
     """Adds the fixed report for every window without events between the first and the last one.
 
@@ -114,19 +130,7 @@ def with_empty_windows(report: DataFrame, batch: str, window_seconds: int) -> Da
     gaps = starts.where(F.col("_next") > F.col("_from") + step).select(
         F.explode(F.sequence(F.col("_from") + step, F.col("_next") - step, step)).alias(batch)
     )
-    empty = gaps.select(
-        batch,
-        F.lit(0).cast("bigint").alias("event_count"),
-        F.lit(window_seconds).alias("window_seconds"),
-        F.lit(0).cast("bigint").alias("services"),
-        F.lit(0).cast("bigint").alias("urgent_count"),
-        F.lit(fixed.EMPTY_ASSESSMENT).alias("overall_assessment"),
-        F.lit(None).cast("string").alias("critical_pattern"),
-        F.array().cast("array<string>").alias("recommended_actions"),
-        F.lit("low").alias("hallucination_risk"),
-        F.lit(0).alias("confidence_score"),
-        F.lit(False).alias("llm_used"),
-    )
+    empty = gaps.select(batch, *_empty_report(window_seconds))
     return report.unionByName(empty)
 
 
@@ -138,23 +142,10 @@ def analyze_window(events: DataFrame, as_of: Column, seconds: int, service: str
     recent = recent.where(F.col("arrival_ts") <= as_of)
     if service is not None:
         recent = recent.where(F.col("service") == service)
-    recent = recent.withColumn("batch_id", F.lit(0))
-    summary = window_service_summary(recent)
-    report = window_report(summary, seconds)
-    anchor = events.sparkSession.range(1).select(F.col("id").cast("int").alias("batch_id"))
-    out = anchor.join(report, "batch_id", "left")
-    none = F.col("event_count").isNull()
-    return out.select(
-        F.coalesce("event_count", F.lit(0)).alias("event_count"),
-        F.lit(seconds).alias("window_seconds"),
-        F.coalesce("services", F.lit(0)).alias("services"),
-        F.when(none, fixed.EMPTY_ASSESSMENT).otherwise(F.col("overall_assessment")).alias("overall_assessment"),
-        "critical_pattern",
-        F.coalesce("recommended_actions", F.array().cast("array<string>")).alias("recommended_actions"),
-        F.lit("low").alias("hallucination_risk"),
-        F.when(none, 0).otherwise(40).alias("confidence_score"),
-        F.lit(False).alias("llm_used"),
-    )
+    report = window_report(window_service_summary(recent.withColumn("batch_id", F.lit(0))), seconds)
+    empty = events.sparkSession.range(1).select(F.lit(0).alias("batch_id"), *_empty_report(seconds))
+    # the empty report is what is left where there is no other
+    return report.unionByName(empty).orderBy(F.desc("event_count")).limit(1).drop("batch_id", "urgent_count")
 
 
 # --- prompts ------------------------------------------------------------------------------------

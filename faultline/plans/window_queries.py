@@ -227,10 +227,10 @@ VERDICT = "CASE WHEN {0} >= 80 THEN 'faithful' WHEN {0} >= 40 THEN 'partially_fa
 
 @query(
     "event_facts",
-    f"""WITH {GND} SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(events AS BIGINT) AS event_count, CAST(urgent AS BIGINT) AS urgent_count,
-      CAST(len(services) AS BIGINT) AS services, CAST(len(types) AS BIGINT) AS types FROM fact WHERE events > 0
-    UNION ALL SELECT min(batch_id) - 1, count(*), count(*) FILTER (severity IN ('high', 'critical')), count(DISTINCT service), count(DISTINCT incident_type)
-      FROM hrs WHERE batch_id = (SELECT min(batch_id) FROM hrs) HAVING min(batch_id) % 2 = 0""",
+    f"""WITH {HRS}, b AS (SELECT unnest([batch_id, batch_id - 1]) AS batch_id, severity, service, incident_type FROM hrs WHERE batch_id % 2 = 0)
+    SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS event_count,
+      CAST(count(*) FILTER (severity IN ('high', 'critical')) AS BIGINT) AS urgent_count,
+      CAST(count(DISTINCT service) AS BIGINT) AS services, CAST(count(DISTINCT incident_type) AS BIGINT) AS types FROM b GROUP BY batch_id""",
 )
 def event_facts(spark, folder):
     return gr.event_facts(batch_events(spark, folder))
