@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +14,12 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # what a Python worker holds at once must not follow the length of texts
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    # checkpoint files go with the plans that read them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+STATIC = ("spark.cleaner.referenceTracking.cleanCheckpoints",)
 
 
 def local_session(app: str = "faultline", cores: str = "*", **extra: str) -> SparkSession:
@@ -34,10 +41,28 @@ def local_session(app: str = "faultline", cores: str = "*", **extra: str) -> Spa
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else made."""
     for key, value in RUNTIME.items():
-        spark.conf.set(key, value)
+        if key not in STATIC:
+            spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per context: their Python imports the code of the operators by name."""
+    context = spark.sparkContext
+    if getattr(context, "_faultline_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="faultline-code-")), "faultline_code.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    context._faultline_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, or a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
