@@ -33,6 +33,43 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beta_prior(counts: DataFrame, least: float = 2.0, most: float = 1000.0) -> tuple[Column, Column]:
+    """(mean, strength) of a beta prior for the rates failed / n of the groups in `counts` (n, failed).
+
+    The mean is that of all trials; the strength, in trials, comes from the spread of the rates by the method of
+    moments, held between `least` and `most`, and is `most` where the rates do not spread beyond chance. One row of
+    sums goes to the driver. Without trials both are null.
+    """
+    rate = F.col("failed") / F.col("n")
+    total = counts.where("n > 0").agg(
+        F.sum("n").cast("double").alias("tn"), F.sum("failed").cast("double").alias("tf"), F.count("*").cast("double").alias("g"),
+        F.sum(1 / F.col("n")).alias("inv"), F.sum(F.col("failed") * rate).alias("sq"),
+    )
+    tn, tf, g, inv, sq = total.first()
+    if not tn:
+        return F.lit(None).cast("double"), F.lit(None).cast("double")
+    mean = tf / tn
+    noise = mean * (1 - mean)
+    strength = most
+    if g > 1:
+        # weighted variance of the rates: sum n (rate - mean)^2 = sum failed * rate - tf^2 / tn
+        spread = g * (sq - tf * tf / tn) / ((g - 1) * tn)
+        between = spread - noise * inv / g
+        if between > 0:
+            strength = (noise - spread) / between
+    return F.lit(mean), F.lit(min(max(strength, least), most))
+
+
+def beta_prior_sql(counts: str, least: float = 2.0, most: float = 1000.0) -> str:
+    """The same as a DuckDB query with one row (m, k) over the table `counts`."""
+    return f"""
+SELECT m, least(greatest(CASE WHEN g > 1 AND spread - noise * inv / g > 0
+    THEN (noise - spread) / (spread - noise * inv / g) ELSE {most} END, {least}), {most}) AS k
+FROM (SELECT tf / tn AS m, inv, g, (tf / tn) * (1 - tf / tn) AS noise, CASE WHEN g > 1 THEN g * (sq - tf * tf / tn) / ((g - 1) * tn) END AS spread
+  FROM (SELECT sum(n)::DOUBLE AS tn, sum(failed)::DOUBLE AS tf, count(*)::DOUBLE AS g, sum(1.0 / n)::DOUBLE AS inv,
+    sum(failed::DOUBLE * failed / n) AS sq FROM {counts} WHERE n > 0))"""
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of `links` (a, b: bigint); component is the smallest node reachable.
 

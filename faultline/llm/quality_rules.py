@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import BLANKS, SPACE, WORD, saved, words
+from faultline.llm.common import BLANKS, SPACE, WORD, beta_prior, beta_prior_sql, saved, words
 
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -78,28 +78,12 @@ def any_rule_failed() -> Column:
 
 
 def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE, z: float = BOUND_Z) -> DataFrame:
-    """(host, rejected) from (host, n, failed).
-
-    The beta prior has the mean of all documents and a strength from the spread of the hosts' rates (method of
-    moments, 2 to 1000 documents' worth). A host is rejected if the posterior mean less z deviations is above
-    `max_rate`. The fit is one row of sums, so it takes one partial aggregation.
-    """
-    rate = F.col("failed") / F.col("n")
-    total = counts.agg(F.sum("n").alias("tn"), F.sum("failed").alias("tf"), F.count("*").alias("g"), F.sum(1 / F.col("n")).alias("inv"),
-                       F.sum(F.col("failed") * rate).alias("sq"))
-    mean = F.col("tf") / F.col("tn")
-    noise = mean * (1 - mean)
-    # weighted variance of the hosts' rates: sum n (rate - mean)^2 = sum failed * rate - tn * mean^2
-    spread = F.col("g") * (F.col("sq") - F.col("tn") * mean * mean) / ((F.col("g") - 1) * F.col("tn"))
-    between = spread - noise * F.col("inv") / F.col("g")
-    strength = F.when((F.col("g") > 1) & (between > 0), (noise - spread) / between).otherwise(F.lit(1000.0))
-    prior = total.select(mean.alias("m"), F.least(F.greatest(strength, F.lit(2.0)), F.lit(1000.0)).alias("k"))
-    # one row, so a broadcast of a proven size
-    judged = counts.join(F.broadcast(prior), F.lit(True))
-    a = F.col("failed") + F.col("m") * F.col("k")
-    b = F.col("n") - F.col("failed") + (1 - F.col("m")) * F.col("k")
+    """(host, rejected) from (host, n, failed): posterior mean less z deviations above `max_rate`."""
+    m, k = beta_prior(counts)
+    a = F.col("failed") + m * k
+    b = F.col("n") - F.col("failed") + (1 - m) * k
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return judged.select("host", (a / (a + b) - z * deviation > max_rate).alias("rejected"))
+    return counts.select("host", (a / (a + b) - z * deviation > max_rate).alias("rejected"))
 
 
 def judge_documents(docs: DataFrame, max_rate: float = MAX_HOST_RATE, z: float = BOUND_Z) -> DataFrame:
@@ -145,12 +129,7 @@ b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS
 h AS (SELECT source, count(*) AS n,
     sum(CASE WHEN base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines THEN 1 ELSE 0 END) AS failed
   FROM b WHERE source IS NOT NULL GROUP BY source),
-t AS (SELECT sum(n)::DOUBLE AS tn, sum(failed)::DOUBLE AS tf, count(*)::DOUBLE AS g, sum(1.0 / n)::DOUBLE AS inv,
-    sum(failed::DOUBLE * failed / n) AS sq FROM h),
-v AS (SELECT tf / tn AS m, inv, g, (tf / tn) * (1 - tf / tn) AS noise,
-    CASE WHEN g > 1 THEN g * (sq - tf * tf / tn) / ((g - 1) * tn) END AS spread FROM t),
-f AS (SELECT m, least(greatest(coalesce(CASE WHEN spread - noise * inv / g > 0
-    THEN (noise - spread) / (spread - noise * inv / g) END, 1000.0), 2.0), 1000.0) AS k FROM v),
+f AS ({beta_prior_sql("h")}),
 q AS (SELECT source, failed + m * k AS a, n - failed + (1 - m) * k AS b FROM h, f),
 j AS (SELECT source, a / (a + b) - {BOUND_Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {MAX_HOST_RATE} AS rejected FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faultline.llm import minhash, mixing, packing, pii, quality_rules
+from faultline.llm import classifier, embeddings, licenses, minhash, mixing, packing, pii, quality_rules, tokens, url_filters
 from faultline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_token_counts")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, folder, "documents"))
+
+
+@query("op2_url_filters", url_filters.ORACLE_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    # a page and a label of one number belong together
+    outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    return url_filters.judge_urls(table(spark, folder, "pages"), outcomes)
+
+
 @query("op3_quality_rules", quality_rules.ORACLE_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, folder, "documents"))
@@ -39,11 +52,30 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op5_near_vectors", embeddings.ORACLE_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.link_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op6_packing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@query("op7_quality_scores")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_licenses")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    # the tables have no paths: a document lies in the directory of its language, inside that of its source
+    path = F.concat_ws("/", F.col("source"), F.col("lang"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    found = licenses.find_licenses(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
+    return found.withColumnRenamed("file_id", "doc_id")
+
+
 @query("op9_pseudonyms")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymize(table(spark, folder, "documents")).select("doc_id", "text", *pii.COUNTS)
