@@ -95,6 +95,12 @@ def signature(cells: np.ndarray, width: int) -> np.ndarray:
     return low
 
 
+def band_keys(low: np.ndarray) -> list[int]:
+    """One 64-bit key per band of a signature's first coordinates."""
+    bands = low[: BANDS * ROWS].reshape(BANDS, ROWS)
+    return [xxhash.xxh3_64_intdigest(bands[b].tobytes(), b) - 2**63 for b in range(BANDS)]
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, keys, bands = [], [], []
@@ -103,8 +109,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells = shingles(tokens)
             sizes.append(len(cells))
             keys.append(xxhash.xxh3_128_digest(b" ".join(tokens)) if tokens else None)
-            low = signature(cells, BANDS * ROWS).reshape(BANDS, ROWS) if tokens else None
-            bands.append(None if low is None else [xxhash.xxh3_64_intdigest(low[b].tobytes(), b) - 2**63 for b in range(BANDS)])
+            bands.append(band_keys(signature(cells, BANDS * ROWS)) if tokens else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
             ["doc_id", "n_shingles", "text_key", "bands"],
@@ -114,18 +119,20 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         cells = [shingles(text_words(t)) for t in batch["text"]]
+        lows = [signature(c, BYTES) for c in cells]
         yield pd.DataFrame({
             "node": batch["node"],
             "n": [len(c) for c in cells],
             "cells": [c.tobytes() for c in cells],
-            "sig": [signature(c, BYTES).astype(np.uint8).tobytes() for c in cells],
+            "sig": [x.astype(np.uint8).tobytes() for x in lows],
+            "keys": [np.array(band_keys(x), np.int64).tobytes() for x in lows],
         })
 
 
-def estimate_floor(percent: int) -> float:
-    """Share of equal signature bytes below which a pair is surely not linked (six deviations)."""
+def estimate_floor(percent: int, width: int = BYTES) -> float:
+    """Share of equal bytes of a signature below which a pair is surely not linked (six deviations)."""
     s = percent / 100
-    return s - 6 * (s * (1 - s) / BYTES) ** 0.5
+    return s - 6 * (s * (1 - s) / width) ** 0.5
 
 
 def _estimated(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -150,24 +157,36 @@ def _confirmed(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Dat
 
 
 def _block_pairs(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Likely pairs of different components between two blocks of a bucket, or inside one."""
+    """Likely pairs of different components between two blocks of a bucket, or inside one.
+
+    A pair that shares an earlier band's bucket is left to that bucket, so it is compared and reported once.
+    """
     group = group.drop_duplicates(["node", "side"])
     left, right = group[group["side"] <= 1], group[group["side"] != 1]
     a, b = left["node"].to_numpy(), right["node"].to_numpy()
     if not len(a) or not len(b):
         return pd.DataFrame({"a": a[:0], "b": b[:0]})
-    x = np.frombuffer(b"".join(left["sig"]), np.uint8).reshape(-1, BYTES)
-    y = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(-1, BYTES)
+
+    def matrix(rows: pd.DataFrame, column: str, kind: type, width: int) -> np.ndarray:
+        return np.frombuffer(b"".join(rows[column]), kind).reshape(-1, width)
+
+    x, y = matrix(left, "sig", np.uint8, BYTES), matrix(right, "sig", np.uint8, BYTES)
+    p, q = matrix(left, "keys", np.int64, BANDS), matrix(right, "keys", np.int64, BANDS)
+    band = int(np.flatnonzero(p[0] == group["bucket"].iloc[0])[0])
     n, m = left["n"].to_numpy(), right["n"].to_numpy()
     c, d = left["component"].to_numpy(), right["component"].to_numpy()
+    inside = group["side"].iloc[0] == 0
+    head = BYTES // 8
     out_a, out_b = [], []
     for k in range(len(a)):
-        fit = np.flatnonzero((d != c[k]) & (np.minimum(m, n[k]) * 100 >= np.maximum(m, n[k]) * percent))
+        fit = np.flatnonzero((d != c[k]) & (np.minimum(m, n[k]) * 100 >= np.maximum(m, n[k]) * percent) & ((b > a[k]) | (not inside)))
+        fit = fit[~(q[fit, :band] == p[k, :band]).any(axis=1)]
+        fit = fit[(y[fit, :head] == x[k, :head]).mean(axis=1) >= estimate_floor(percent, head)] if len(fit) else fit
         near = fit[(y[fit] == x[k]).mean(axis=1) >= estimate_floor(percent)] if len(fit) else fit
         out_a.append(np.full(len(near), a[k]))
         out_b.append(b[near])
     first, second = np.concatenate(out_a), np.concatenate(out_b)
-    return pd.DataFrame({"a": np.minimum(first, second), "b": np.maximum(first, second)}).drop_duplicates()
+    return pd.DataFrame({"a": np.minimum(first, second), "b": np.maximum(first, second)})
 
 
 def _pairs_with(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -193,7 +212,7 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "bucket", "node", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    meet = meet.join(sets.select("node", "n", "sig"), "node")
+    meet = meet.join(sets.select("node", "n", "sig", "keys"), "node")
     return meet.groupBy("bucket", "i", "j").applyInPandas(lambda g: _block_pairs(g, percent), "a bigint, b bigint").distinct()
 
 
@@ -214,7 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     wanted = shared.select("node").distinct()
     texts = source.join(wanted, source.doc_id == wanted.node, "left_semi").dropDuplicates(["doc_id", "text"])
     sets = saved(
-        texts.select(F.col("doc_id").alias("node"), "text").mapInPandas(_sets, "node bigint, n bigint, cells binary, sig binary"), "sets"
+        texts.select(F.col("doc_id").alias("node"), "text").mapInPandas(_sets, "node bigint, n bigint, cells binary, sig binary, keys binary"), "sets"
     )
     stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     likely = _pairs_with(stars, sets, "n", "sig").mapInPandas(lambda it: _estimated(it, percent), pairs_schema)
