@@ -53,7 +53,20 @@ def non_blank(text: Column) -> Column:
     return F.when(stripped != "", stripped)
 
 
-def json_string(text: Column) -> Column:
-    """The text as a quoted JSON string."""
+def json_string(text: Column, ascii_only: bool = False) -> Column:
+    """The text as a quoted JSON string; `ascii_only` writes others as \\u escapes, in pairs beyond the first plane."""
     listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    quoted = F.substring(listed, F.lit(2), F.length(listed) - 2)
+    if not ascii_only:
+        return quoted
+
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def escaped(character: Column) -> Column:
+        code = F.ascii(character)
+        pair = F.concat(unit(F.floor((code - 0x10000) / 1024) + 0xD800), unit((code - 0x10000) % 1024 + 0xDC00))
+        return F.when(code < 128, character).when(code < 0x10000, unit(code.cast("bigint"))).otherwise(pair)
+
+    spelled = F.array_join(F.transform(F.split(quoted, ""), escaped), "")
+    return F.when(quoted.rlike(r"[^\x00-\x7f]"), spelled).otherwise(quoted)

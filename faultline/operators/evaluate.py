@@ -27,11 +27,14 @@ def evaluation_rules(spark: SparkSession, rules=fixed.EVALUATION_RULES) -> DataF
 def evaluate_incidents(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Adds status, score, summary, reasoning, suggested_action and tags.
 
-    The rule table has one row per (type, severity) and is made from a list on the driver, so it is
-    always small enough to broadcast.
+    The built-in rule table has one row per (type, severity) and is made from a list on the driver, so it is
+    always small enough to broadcast. How a caller's table is joined is left to the optimizer; a (type, severity)
+    that it holds twice is an error, as it would double incidents.
     """
     if rules is None:
-        rules = evaluation_rules(df.sparkSession)
+        rules = F.broadcast(evaluation_rules(df.sparkSession))
+    elif not rules.groupBy("rule_type", "rule_severity").count().where("count > 1").isEmpty():
+        raise ValueError("a rule table holds one row per type and severity")
     match = (F.col("incident_type") == F.col("rule_type")) & (F.col("severity") == F.col("rule_severity"))
     status, score, action, (summary, reasoning) = fixed.DEFAULT_OUTCOME
     third = (
@@ -42,7 +45,7 @@ def evaluate_incidents(df: DataFrame, rules: DataFrame | None = None) -> DataFra
     tags = F.when(F.col("rule_type").isNull(), F.array(F.lit("unclassified"))).otherwise(
         F.array(F.col("rule_type"), F.col("category"), third)
     )
-    return df.join(F.broadcast(rules), match, "left").select(
+    return df.join(rules, match, "left").select(
         *[df[c] for c in df.columns],
         F.coalesce("rule_status", F.lit(status)).alias("status"),
         F.coalesce("rule_score", F.lit(score)).alias("score"),
@@ -72,7 +75,7 @@ def dispatch_actions(df: DataFrame) -> DataFrame:
     }
     detail = _by_name(action, fixed.ACTION_DETAIL, values, fill("No handler for action '{a}'", a=action))
     return df.where((F.col("status") != "ok") & action.isNotNull()).select(
-        F.concat(F.lit("act_"), F.substring(F.sha2(F.col("record_id").cast("string"), 256), 1, 8)).alias("action_id"),
+        F.concat(F.lit("act_"), F.sha2(F.col("record_id").cast("string"), 256)).alias("action_id"),
         "record_id",
         F.col("received_at").alias("executed_at"),
         action.alias("action_type"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import fixed
+from faultline.functions.joins import join_with_nulls
 from faultline.functions.numeric import clamp, round_half_even
 from faultline.functions.text import fill
 from faultline.operators.windows import is_urgent, with_defaults
@@ -42,7 +43,7 @@ def event_facts(events: DataFrame) -> DataFrame:
     entities = event_entities(events).groupBy(BATCH).agg(
         F.count_if(F.col("kind") == "service").alias("services"), F.count_if(F.col("kind") == "type").alias("types")
     )
-    return event_severity(events).join(entities, BATCH)
+    return join_with_nulls(event_severity(events), entities, [BATCH])
 
 
 def _grounding(reports: DataFrame, entities: DataFrame, kind: str, claims: Column) -> DataFrame:

@@ -72,7 +72,7 @@ def normalize_jvm_log(p: Payload) -> dict[str, Column]:
         "timestamp": p.first_value("timestamp", "@timestamp"),
         "error_type": exception_simple_name(p.any_truthy("exception", "exceptionClass")),
         "affected_resource": p.first_truthy("requestUri", "endpoint"),
-        "text_fields": _all_text(p, "level", "requestUri", "endpoint"),
+        "text_fields": _true_text(p, "level") & _chosen_text(p, "requestUri", "endpoint"),
     }
 
 
@@ -93,7 +93,7 @@ def normalize_kafka_event(p: Payload) -> dict[str, Column]:
         "timestamp": p.first_value("timestamp"),
         "error_type": F.coalesce(p.truthy("error_type"), error_type_from_text(error)),
         "affected_resource": p.text("topic"),
-        "text_fields": _all_text(p, "severity", "error_type", "topic"),
+        "text_fields": _true_text(p, "severity") & _true_text(p, "error_type") & p.is_text("topic"),
     }
 
 
@@ -107,14 +107,20 @@ def normalize_webhook(p: Payload) -> dict[str, Column]:
         "timestamp": text_value(when),
         "error_type": p.first_truthy("error_type", "alert_name", "type"),
         "affected_resource": p.first_truthy("resource", "endpoint", "url"),
-        "text_fields": _all_text(p, "error_type", "alert_name", "type", "resource", "endpoint", "url"),
+        "text_fields": _chosen_text(p, "error_type", "alert_name", "type") & _chosen_text(p, "resource", "endpoint", "url"),
     }
 
 
-def _all_text(p: Payload, *keys: str) -> Column:
-    result = F.lit(True)
-    for key in keys:
-        result = result & p.is_text(key)
+def _true_text(p: Payload, key: str) -> Column:
+    """Whether a value that counts as true is a text; others are not used."""
+    return p.truthy(key).isNull() | p.is_text(key)
+
+
+def _chosen_text(p: Payload, *keys: str) -> Column:
+    """Whether the value that `first_truthy` picks from the keys is absent, null or a text."""
+    result = p.is_text(keys[-1])
+    for key in reversed(keys[:-1]):
+        result = F.when(p.truthy(key).isNotNull(), p.is_text(key)).otherwise(result)
     return result
 
 
@@ -130,11 +136,13 @@ def normalize(df: DataFrame, normalizers: Mapping[str, Normalizer] | None = None
     """raw, source_system, arrival_ts -> the event columns and `reasons`, in one pass.
 
     `reasons` is empty for a good event; see `accepted` and `rejected`. Rows keep an `incident_id` they
-    bring along, else get one from their content.
+    bring along, else get one from their content and, where the source gives it, their `position` there: equal
+    lines are separate events.
     """
     normalizers = {**NORMALIZERS, **(normalizers or {})}
     if "incident_id" not in df.columns:
-        content = F.concat_ws("|", "source_system", F.col("arrival_ts").cast("string"), "raw")
+        place = [F.coalesce("position", F.lit(""))] if "position" in df.columns else []
+        content = F.concat_ws("|", "source_system", F.col("arrival_ts").cast("string"), *place, "raw")
         df = df.withColumn("incident_id", F.substring(F.sha2(content, 256), 1, 32))
     df = computed_once(df, "_variant", parse_object("raw"))
     parsed = F.col("_variant").isNotNull()
@@ -228,7 +236,7 @@ def incident_text(df: DataFrame) -> Column:
     parts = [F.concat(F.lit(f"{n}: "), F.coalesce(F.col(n), F.lit(""))) for n in names]
     if "context" in df.columns:
         pairs = F.transform(
-            F.map_entries("context"), lambda e: F.concat(json_string(e["key"]), F.lit(": "), json_string(e["value"]))
+            F.map_entries("context"), lambda e: F.concat(json_string(e["key"], True), F.lit(": "), json_string(e["value"], True))
         )
         text = F.concat(F.lit("context: {"), F.array_join(pairs, ", "), F.lit("}"))
         parts.append(F.when(F.size("context") > 0, text))

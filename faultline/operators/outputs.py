@@ -202,7 +202,9 @@ def parse_copilot_output(outputs: DataFrame, raw: str = "raw") -> DataFrame:
 
     good = F.struct(_text(v, "$.summary"), _text(v, "$.probableCause"), actions, confidence).cast(COPILOT)
     answer = (
-        F.when(v.isNull(), fixed_row(fixed.COPILOT_BAD_JSON))
+        # no answer at all counts as an empty object
+        F.when(F.col(raw).isNull(), fixed_row(fixed.COPILOT_BAD_SHAPE))
+        .when(v.isNull(), fixed_row(fixed.COPILOT_BAD_JSON))
         .when(F.coalesce(fine, F.lit(False)), good)
         .otherwise(fixed_row(fixed.COPILOT_BAD_SHAPE))
     )

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.functions.joins import join_with_nulls
 from faultline.functions.numeric import ratio
 
 TICK = "tick"
@@ -42,7 +43,7 @@ def dense(counts: DataFrame, step: int, by: Sequence[str]) -> DataFrame:
     days = spans.select(*by, "_b", F.explode(F.sequence("_a", "_b", F.lit(stride).cast("bigint"))).alias("_d"))
     last = F.least(F.col("_d") + stride - step, F.col("_b"))
     grid = days.select(*by, F.explode(F.sequence("_d", last, F.lit(step).cast("bigint"))).alias(TICK))
-    joined = grid.join(counts, [*by, TICK], "left")
+    joined = join_with_nulls(grid, counts, [*by, TICK], "left")
     return joined.select(*by, TICK, *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
 
 

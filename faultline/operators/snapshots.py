@@ -21,7 +21,8 @@ def snapshot_versions(states: DataFrame, state: Column, thread: str = "thread_id
     """
     keyed = states.withColumn("snapshot_id", snapshot_id(state))
     others = [c for c in states.columns if c not in (thread, at)]
-    newest = F.max_by(F.struct(*others), F.col(at))
+    # of states saved at one instant the same one is taken in every run
+    newest = F.max_by(F.struct(*others), F.struct(F.col(at), F.xxhash64(*others)))
     merged = keyed.groupBy(thread, "snapshot_id").agg(
         F.min(at).alias("first_at"), F.max(at).alias("last_at"), newest.alias("payload")
     )
@@ -50,10 +51,12 @@ def rollback(versions: DataFrame, targets: DataFrame, at: Column, thread: str =
     """
     top = versions.groupBy(thread).agg(F.max("version").alias("_top"))
     copies = versions.join(targets.select(thread, "snapshot_id").distinct(), [thread, "snapshot_id"], "left_semi").join(top, thread)
+    turn = F.row_number().over(Window.partitionBy(thread).orderBy("version"))
     marked = copies.select(
         thread,
-        F.concat(F.lit("rollback_"), F.unix_seconds(at).cast("string")).alias("snapshot_id"),
-        (F.col("_top") + F.row_number().over(Window.partitionBy(thread).orderBy("version"))).alias("version"),
+        # a second target of the thread at the same instant has its number in the id
+        F.concat(F.lit("rollback_"), F.unix_seconds(at).cast("string"), F.when(turn > 1, F.concat(F.lit("_"), turn.cast("string"))).otherwise("")).alias("snapshot_id"),
+        (F.col("_top") + turn).alias("version"),
         F.lit(None).cast("string").alias("parent_id"),
         at.cast(versions.schema["first_at"].dataType).alias("first_at"),
         at.cast(versions.schema["last_at"].dataType).alias("last_at"),
@@ -73,11 +76,13 @@ def deliver_messages(messages: DataFrame, limit: int = 10, to: str = "to_agent")
 
 def retain_snapshots(
     versions: DataFrame, as_of: Column, thread: str = "thread_id", current_hours: int = 24, history_days: int = 7,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Drops expired snapshots: the newest lives `current_hours`, older ones `history_days`, `limit` per thread."""
+    """Drops expired snapshots: the newest lives `current_hours`, older ones `history_days`; at most `limit` per thread, if given."""
     rank = F.row_number().over(Window.partitionBy(thread).orderBy(F.desc("version")))
-    ranked = versions.withColumn("_r", rank).where(F.col("_r") <= limit)
+    ranked = versions.withColumn("_r", rank)
+    if limit is not None:
+        ranked = ranked.where(F.col("_r") <= limit)
     fresh = F.col("last_at") > as_of - F.expr(f"interval {current_hours} hours")
     recent = F.col("last_at") > as_of - F.expr(f"interval {history_days} days")
     return ranked.where(F.when(F.col("_r") == 1, fresh | recent).otherwise(recent)).withColumn(

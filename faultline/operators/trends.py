@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.functions.joins import join_with_nulls
 from faultline.functions.numeric import ratio, round_half_even
 from faultline.functions.text import cut
 from faultline.operators.ordered import running_totals
@@ -101,14 +102,14 @@ def rolling_score(records: DataFrame, window: int = 7, last: int = 10, by: Seque
 def severity_distribution(records: DataFrame) -> DataFrame:
     counted = records.groupBy("severity").agg(F.count("*").alias("count"))
     total = F.sum("count").over(Window.partitionBy())
-    return counted.withColumn("pct", F.round(F.col("count") / total * 100, 1)).orderBy(F.desc("count"), "severity")
+    return counted.withColumn("pct", round_half_even(F.col("count") / total * 100, 1)).orderBy(F.desc("count"), "severity")
 
 
 def workflow_failure_rate(records: DataFrame) -> DataFrame:
     """A status other than ok is a failure; a missing status is not."""
     failed = F.sum(F.when(F.col("status") != "ok", 1).otherwise(0))
     counted = records.groupBy("workflow").agg(F.count("*").alias("total"), failed.alias("failed"))
-    rate = F.round(F.col("failed") / F.col("total"), 4)
+    rate = round_half_even(F.col("failed") / F.col("total"), 4)
     return counted.withColumn("failure_rate", rate).orderBy(F.desc("failure_rate"), "workflow")
 
 
@@ -124,8 +125,8 @@ def status_shares(records: DataFrame) -> DataFrame:
 
 
 def analytics_report(records: DataFrame) -> dict[str, DataFrame]:
-    """The four trend tables over one persisted projection; unpersist `rows` when done."""
-    rows = records.select("record_id", "received_at", "workflow", "severity", "status", "score").persist()
+    """The four trend tables over one projection, and the projection as `rows`."""
+    rows = records.select("record_id", "received_at", "workflow", "severity", "status", "score")
     return {
         "rows": rows,
         "daily_score_trend": daily_score_trend(rows),
@@ -165,7 +166,7 @@ def latency_summary(
     )
     totals = counted.groupBy(*by).agg(F.sum("_n").alias("total"), F.sum("_ok").alias("success"))
     ranked = running_totals(counted, by, [latency], {"_upto": F.col("_n")})
-    joined = ranked.join(totals, list(by))
+    joined = join_with_nulls(ranked, totals, by)
     picks = [
         # the value whose run of ranks (upto - n, upto] holds the wanted 1-based rank
         F.min(

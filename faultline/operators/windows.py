@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import fixed
+from faultline.functions.joins import join_with_nulls
 from faultline.functions.text import cut, fill, lookup
 from faultline.operators.ordered import running_totals
 
@@ -97,7 +98,7 @@ def nested_report(report: DataFrame, summary: DataFrame, batch: str = "batch_id"
     entry = F.struct("service", "count", "dominant_severity", "incident_types")
     lists = summary.groupBy(batch).agg(F.sort_array(F.collect_list(entry)).alias("events_by_service"))
     lists = lists.withColumn("services_affected", F.col("events_by_service.service"))
-    return report.join(lists, batch, "left")
+    return join_with_nulls(report, lists, [batch], "left")
 
 
 def _empty_report(window_seconds: int) -> list[Column]:
@@ -202,7 +203,7 @@ def judge_prompt(events: DataFrame, batch: str, order: tuple[str, ...]) -> DataF
         shown=F.least(F.col("total"), F.lit(JUDGE_EVENTS)),
     )
     text = F.concat(header, F.array_join("lines.line", "\n"))
-    return lines.join(totals, batch).select(batch, text.alias("prompt"))
+    return join_with_nulls(lines, totals, [batch]).select(batch, text.alias("prompt"))
 
 
 def judge_report_header(reports: DataFrame, batch: str = "batch_id") -> DataFrame:

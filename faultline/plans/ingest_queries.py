@@ -216,7 +216,7 @@ def _detail_sql() -> str:
 
 @query(
     "dispatch_actions",
-    f"""WITH {REC} SELECT record_id, 'act_' || substr(sha256(record_id), 1, 8) AS action_id,
+    f"""WITH {REC} SELECT record_id, 'act_' || sha256(record_id) AS action_id,
       {sql_stamp('received_at')} AS executed_at, suggested_action AS action_type, 'success' AS outcome,
       {_detail_sql()} AS detail, workflow, severity
     FROM rec WHERE status <> 'ok' AND suggested_action IS NOT NULL""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from faultline.operators import evaluate as ev
@@ -12,6 +14,7 @@ from faultline.plans.workload import EVT, INC, REC, incidents, payloads, records
 from faultline.sources import buffer as bf
 from faultline.sources import payloads as pl
 from faultline.sources import store as st
+from faultline.session import shared_folder
 
 
 # --- buffer ---------------------------------------------------------------------------------------
@@ -81,20 +84,52 @@ def _actions(spark, folder):
 def _tool_log(spark, folder):
     rec = records(spark, folder).where(F.col("event_type") == "signup")
     return rec.select(
-        F.concat(F.lit("tlog_"), F.substring(F.sha2("record_id", 256), 1, 8)).alias("log_id"), "record_id",
+        F.concat(F.lit("tlog_"), F.sha2("record_id", 256)).alias("log_id"), "record_id",
         F.col("received_at").alias("executed_at"), F.col("tools").alias("total_tools"),
         F.least("tools", F.lit(2)).alias("successful_tools"), "workflow", "severity",
     )
 
 
 ACT = REC + """,
-act AS (SELECT record_id, 'act_' || substr(sha256(record_id), 1, 8) AS action_id, received_at AS executed_at,
+act AS (SELECT record_id, 'act_' || sha256(record_id) AS action_id, received_at AS executed_at,
   suggested_action AS action_type, 'success' AS outcome, workflow, severity
   FROM rec WHERE status <> 'ok' AND suggested_action IS NOT NULL),
-tl AS (SELECT 'tlog_' || substr(sha256(record_id), 1, 8) AS log_id, record_id, received_at AS executed_at,
+tl AS (SELECT 'tlog_' || sha256(record_id) AS log_id, record_id, received_at AS executed_at,
   tools AS total_tools, least(tools, 2) AS successful_tools, workflow, severity FROM rec WHERE event_type = 'signup')"""
 
 
+def _stored(spark, write, rows, name):
+    """What is read back from a table that `write` made."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    write(rows, path)
+    return st.read_table(spark, path)
+
+
+@query(
+    "store_evaluations",
+    f"""WITH {REC} SELECT record_id, {sql_stamp('received_at')} AS received, workflow, severity, status, score, workflow AS inner_workflow,
+      status AS inner_status, strftime(received_at, '%Y-%m-%d') AS day FROM rec""",
+)
+def store_evaluations(spark, folder):
+    back = _stored(spark, st.write_evaluations, records(spark, folder), "evaluations")
+    return back.select(
+        "record_id", stamp("received_at").alias("received"), "workflow", "severity", "status", "score",
+        F.col("incident.workflow").alias("inner_workflow"), F.col("result.status").alias("inner_status"), F.col("date").cast("string").alias("day"),
+    )
+
+
+@query("store_actions", f"WITH {ACT} SELECT action_id, record_id, {sql_stamp('executed_at')} AS executed, action_type, workflow, severity FROM act")
+def store_actions(spark, folder):
+    back = _stored(spark, st.write_actions, _actions(spark, folder), "actions")
+    return back.select("action_id", "record_id", stamp("executed_at").alias("executed"), "action_type", "workflow", "severity")
+
+
+@query("store_tool_calls", f"WITH {ACT} SELECT log_id, record_id, {sql_stamp('executed_at')} AS executed, total_tools, successful_tools FROM tl")
+def store_tool_calls(spark, folder):
+    back = _stored(spark, st.write_tool_calls, _tool_log(spark, folder), "tool-calls")
+    return back.select("log_id", "record_id", stamp("executed_at").alias("executed"), "total_tools", "successful_tools")
+
+
 @query(
     "list_incidents",
     f"""WITH {REC} SELECT record_id, {sql_stamp('received_at')} AS received, workflow, status, score FROM rec
@@ -241,7 +276,7 @@ def rolling_score_by_workflow(spark, folder):
 @query(
     "severity_distribution",
     f"""WITH {REC} SELECT severity, CAST(count(*) AS BIGINT) AS count,
-      round(count(*) / (SELECT count(*) FROM rec) * 100, 1) AS pct FROM rec GROUP BY severity""",
+      round_even(count(*) / (SELECT count(*) FROM rec) * 100, 1) AS pct FROM rec GROUP BY severity""",
 )
 def severity_distribution(spark, folder):
     return tr.severity_distribution(records(spark, folder))
@@ -253,13 +288,13 @@ RATES = "SELECT workflow, count(*) AS total, count(*) FILTER (status <> 'ok') AS
 @query(
     "workflow_failure_rate",
     f"""WITH {REC}, f AS ({RATES}) SELECT workflow, CAST(total AS BIGINT) AS total, CAST(failed AS BIGINT) AS failed,
-      round(failed / total, 4) AS failure_rate FROM f""",
+      round_even(failed / total, 4) AS failure_rate FROM f""",
 )
 def workflow_failure_rate(spark, folder):
     return tr.workflow_failure_rate(records(spark, folder))
 
 
-@query("failure_rate_percent", f"WITH {REC}, f AS ({RATES}) SELECT workflow, round(failed / total, 4) * 100 AS failure_rate_percent FROM f")
+@query("failure_rate_percent", f"WITH {REC}, f AS ({RATES}) SELECT workflow, round_even(failed / total, 4) * 100 AS failure_rate_percent FROM f")
 def failure_rate_percent(spark, folder):
     return tr.failure_rate_percent(records(spark, folder))
 
@@ -277,9 +312,9 @@ def status_shares(spark, folder):
     "analytics_report",
     f"""WITH {REC}, f AS ({RATES})
     SELECT 'severity' AS part, severity AS name, CAST(count(*) AS BIGINT) AS count,
-      round(count(*) / (SELECT count(*) FROM rec) * 100, 1) AS value FROM rec GROUP BY severity
+      round_even(count(*) / (SELECT count(*) FROM rec) * 100, 1) AS value FROM rec GROUP BY severity
     UNION ALL SELECT 'day', strftime(received_at, '%Y-%m-%d'), count(*), round_even(sum(score) / count(*), 2) FROM rec GROUP BY 2
-    UNION ALL SELECT 'workflow', workflow, total, round(failed / total, 4) FROM f
+    UNION ALL SELECT 'workflow', workflow, total, round_even(failed / total, 4) FROM f
     UNION ALL SELECT 'total', NULL, count(*), NULL FROM rec""",
 )
 def analytics_report(spark, folder):

@@ -165,8 +165,8 @@ def claims(spark, folder):
 
 
 def batch_events(spark, folder):
-    """Each even hour is the batch of its own report and of the report of the hour before."""
-    events = hourly(spark, folder).where(F.col("batch_id") % 2 == 0)
+    """Each hour belongs to the batch of its own report and to that of the report of the hour before."""
+    events = hourly(spark, folder)
     return events.withColumn("batch_id", F.explode(F.array("batch_id", F.col("batch_id") - 1)))
 
 
@@ -196,7 +196,7 @@ fact AS (
   SELECT c.batch_id, count(h.record_id) AS events, count(*) FILTER (h.severity IN ('high', 'critical')) AS urgent,
     coalesce(list(DISTINCT h.service) FILTER (h.service IS NOT NULL), []) AS services,
     coalesce(list(DISTINCT h.incident_type) FILTER (h.service IS NOT NULL), []) AS types
-  FROM claim c LEFT JOIN hrs h ON h.batch_id = c.batch_id + c.batch_id % 2 GROUP BY c.batch_id),
+  FROM claim c LEFT JOIN hrs h ON h.batch_id IN (c.batch_id, c.batch_id + 1) GROUP BY c.batch_id),
 chk AS (
   SELECT *, list_filter(c_services, lambda x: NOT list_contains(services, x)) AS bad_services,
     list_filter(c_types, lambda x: NOT list_contains(types, x)) AS bad_types,
@@ -227,7 +227,7 @@ VERDICT = "CASE WHEN {0} >= 80 THEN 'faithful' WHEN {0} >= 40 THEN 'partially_fa
 
 @query(
     "event_facts",
-    f"""WITH {HRS}, b AS (SELECT unnest([batch_id, batch_id - 1]) AS batch_id, severity, service, incident_type FROM hrs WHERE batch_id % 2 = 0)
+    f"""WITH {HRS}, b AS (SELECT unnest([batch_id, batch_id - 1]) AS batch_id, severity, service, incident_type FROM hrs)
     SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS event_count,
       CAST(count(*) FILTER (severity IN ('high', 'critical')) AS BIGINT) AS urgent_count,
       CAST(count(DISTINCT service) AS BIGINT) AS services, CAST(count(DISTINCT incident_type) AS BIGINT) AS types FROM b GROUP BY batch_id""",

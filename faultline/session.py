@@ -66,6 +66,12 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, or a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
+    if folder and not local and spark.conf.get("spark.faultline.mountedCheckpointDir", "false") != "true":
+        # a bare path is in the default file system
+        scheme = folder.split(":", 1)[0] if ":" in folder else "file" if spark.conf.get("spark.hadoop.fs.defaultFS", "").startswith("file") else ""
+        if scheme == "file":
+            raise RuntimeError("spark.checkpoint.dir is local; set spark.faultline.mountedCheckpointDir=true if all executors mount it")
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

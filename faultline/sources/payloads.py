@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 
 
 def read_raw_payloads(spark: SparkSession, path: str, source_system: str, streaming: bool = False) -> DataFrame:
-    """One JSON payload per line -> raw, source_system, arrival_ts (time the file was written)."""
+    """One JSON payload per line -> raw, source_system, arrival_ts (time the file was written) and position.
+
+    The position tells equal lines apart: file, start of the split, and row number in the task, which stay the
+    same as long as files and split sizes do. On a stream it is added per micro-batch, see `streaming.ingest`.
+    """
     reader = spark.readStream if streaming else spark.read
     lines = reader.format("text").load(path)
-    return lines.select(
+    lines = lines.select(
         F.col("value").alias("raw"),
         F.lit(source_system).alias("source_system"),
         F.col("_metadata.file_modification_time").alias("arrival_ts"),
-    ).where(F.trim("raw") != "")
+        F.concat_ws(":", "_metadata.file_path", "_metadata.file_block_start").alias("position"),
+    )
+    if not streaming:
+        lines = lines.withColumn("position", F.concat_ws(":", "position", F.monotonically_increasing_id()))
+    return lines.where(F.trim("raw") != "")
 
 
 def read_kafka_payloads(spark: SparkSession, servers: str, topic: str, source_system: str) -> DataFrame:
@@ -22,7 +30,7 @@ def read_kafka_payloads(spark: SparkSession, servers: str, topic: str, source_sy
     stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
     return stream.select(
         F.col("value").cast("string").alias("raw"), F.lit(source_system).alias("source_system"),
-        F.col("timestamp").alias("arrival_ts"),
+        F.col("timestamp").alias("arrival_ts"), F.concat_ws(":", "topic", "partition", "offset").alias("position"),
     )
 
 

@@ -35,7 +35,7 @@ def cooldown_batch(alerts: DataFrame, fired_before: DataFrame | None, seconds: f
         fresh = rows.join(last, "name", "left").where(F.col("_last").isNull() | (F.col("ts") > F.col("_last"))).drop("_last")
         # an empty id is less than all others, so the known firing wins its instant
         rows = fresh.unionByName(fired_before.select("name", "ts", F.lit("").alias("alert_id")))
-    fired = hold_off(rows, "name", "ts", "alert_id", seconds).persist()
+    fired = hold_off(rows, "name", "ts", "alert_id", seconds)
     return fired.where(F.col("alert_id") != ""), fired.groupBy("name").agg(F.max("ts").alias("ts"))
 
 
@@ -62,7 +62,6 @@ def alert_state_batch(conditions: DataFrame, before: DataFrame | None, hold: int
         joined = joined.withColumn("active_since", since)
         firing = F.when(F.col(TICK) - F.col("active_since") >= hold, "firing").otherwise("pending")
         states = joined.withColumn("state", F.when(F.col("breached"), firing).otherwise("inactive")).drop("_since", "_unbroken")
-    states = states.persist()
     last = states.groupBy(*by).agg(F.max_by("active_since", TICK).alias("active_since"))
     if before is not None:
         # series without a step in this batch stay as they are
