@@ -1,7 +1,7 @@
 """Licences of files: notices found by TF-IDF cosine to templates, and inheritance from the nearest directory.
 
-Every line of every text is a possible notice, and a text whose words as a whole are those of a template is a
-licence file. Both are compared with the templates as sparse TF-IDF vectors; inverse document frequencies come from
+Every line of every text is a possible notice. A text that as a whole is a template, or a file named like a licence
+that is close to one, is a licence file. Lines and whole texts are compared with the templates as sparse TF-IDF vectors; inverse document frequencies come from
 the templates, and a word that no template has weighs most. Lines without any of the templates' telling words
 cannot reach the threshold and are not compared: what the other words of a template can add up to is below it.
 
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from faultline.llm.common import saved
 
 THRESHOLD = 0.6
+WHOLE = 0.9  # a text this close to a template as a whole is a licence file, whatever its name
+NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"  # files that are one from THRESHOLD on
 
 # fixed values: usual notices of public licences
 TEMPLATES: dict[str, Sequence[str]] = {
@@ -108,11 +110,11 @@ class Templates:
                 found = dot, name
         return found
 
-    def scan(self, text: str) -> tuple[str | None, float | None, int, bool]:
-        """(licence, cosine, lines with a notice, whether the whole text is a licence) of a text."""
+    def scan(self, text: str) -> tuple[str | None, float | None, int, float | None]:
+        """(licence, cosine, lines with a notice, cosine of the whole text if it reaches the threshold) of a text."""
         low = text.lower()
         if not any(w in low for w in self.telling):
-            return None, None, 0, False
+            return None, None, 0, None
         notices = [
             hit for line in low.split("\n") if any(w in line for w in self.telling) and (hit := self.best(license_words(line)))
         ]
@@ -121,7 +123,7 @@ class Templates:
         for hit in [*notices, *([whole] if whole else [])]:
             if best is None or hit[0] > best[0] or (hit[0] == best[0] and hit[1] < best[1]):
                 best = hit
-        return (best[1], round(best[0], 6), len(notices), whole is not None) if best else (None, None, 0, False)
+        return (best[1], round(best[0], 6), len(notices), whole[0] if whole else None) if best else (None, None, 0, None)
 
 
 def find_licenses(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -135,13 +137,15 @@ def find_licenses(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEM
             yield pa.RecordBatch.from_arrays(
                 [batch.column("file_id"), batch.column("path"), pa.array([r[0] for r in rows], pa.string()),
                  pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64()),
-                 pa.array([r[3] for r in rows], pa.bool_())],
-                ["file_id", "path", "own_license", "score", "n_notices", "license_file"],
+                 pa.array([r[3] for r in rows], pa.float64())],
+                ["file_id", "path", "own_license", "score", "n_notices", "whole"],
             )
 
     id_type = files.schema["file_id"].dataType.simpleString()
-    schema = f"file_id {id_type}, path string, own_license string, score double, n_notices bigint, license_file boolean"
+    schema = f"file_id {id_type}, path string, own_license string, score double, n_notices bigint, whole double"
     scanned = saved(files.select("file_id", "path", "text").mapInArrow(scan, schema), "licenses")
+    named = F.coalesce(F.col("path").rlike(NAMES), F.lit(False))
+    scanned = scanned.withColumn("license_file", F.coalesce((F.col("whole") >= WHOLE) | (F.col("whole").isNotNull() & named), F.lit(False)))
     # a null path has a null directory, which joins with nothing
     scanned = scanned.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
     best = F.struct((-F.col("score")).alias("low"), F.col("own_license").alias("license"))
