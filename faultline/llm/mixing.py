@@ -6,7 +6,7 @@ size. The whole part is taken as it is; the fractional part is a probability tha
 or 1. Its flight takes three documents at a time and moves their probabilities along the one direction that
 changes neither the sum of probabilities (documents) nor that of probability times size (words), until one of
 the three is settled; two stay open in the end. Flights run in groups of bounded size, and what they leave open
-flies again in fewer groups, until one group per source is left. Its last dozen documents are the landing problem:
+flies again in fewer groups, until one group per source is left. Its last sixteen documents at most are the landing problem:
 all choices are compared, and the one nearest in words is taken.
 
 Random choices are keyed by hashes of the document, so runs agree. Defined results: null text has size 0; a null
@@ -24,13 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import saved, word_count
+from faultline.llm.common import beside, saved, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)  # by rank of the source, repeating
 SHARE = 1.0  # of all words
 MOST = 3  # times a source's size
 GROUP = 4096  # documents that fly together
-LANDING = 10  # documents of a source held back for its landing, besides the two that a flight leaves open
+LANDING = 14  # documents of a source held back for its landing, besides the two that a flight leaves open
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -94,7 +94,10 @@ def _land(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["draw", "doc_key"], kind="stable").reset_index(drop=True)
     chance, size = group["chance"].to_numpy(float).copy(), group["size"].to_numpy(float)
     open_ = np.flatnonzero((chance > 0) & (chance < 1))
-    flying = open_[: max(0, len(open_) - LANDING)]
+    # held back: documents evenly spread over the sizes, so that their choices reach sums of all kinds
+    by_size = open_[np.argsort(size[open_], kind="stable")]
+    held = by_size[np.unique(np.linspace(0, len(by_size) - 1, min(LANDING, len(by_size))).astype(int))] if len(by_size) else by_size
+    flying = open_[~np.isin(open_, held)]
     chance[flying] = flight(chance[flying], size[flying], group["draw"].to_numpy()[flying])
     left = np.flatnonzero((chance > 0) & (chance < 1))
     if len(left):
@@ -113,10 +116,11 @@ def _settled(due: DataFrame) -> DataFrame:
     while True:
         # every round keeps two documents of up to GROUP, so a few rounds do for any number
         counts = due.groupBy("stratum").agg(F.count("*").alias("_n")).select("stratum", F.ceil(F.col("_n") / GROUP).alias("_groups"))
+        counts = saved(counts, "strata")
         most = counts.agg(F.max("_groups")).first()[0]
         if most is None or most <= 1:
             return _union([*parts, due.groupBy("stratum").applyInPandas(_land, schema)])
-        placed = due.join(counts, "stratum").withColumn("_g", F.pmod(F.xxhash64("doc_key", F.lit(len(parts))), F.col("_groups")))
+        placed = due.join(beside(counts), "stratum").withColumn("_g", F.pmod(F.xxhash64("doc_key", F.lit(len(parts))), F.col("_groups")))
         flown = saved(placed.drop("_groups").groupBy("stratum", "_g").applyInPandas(lambda g: _fly(g.drop(columns="_g")), schema), "flight")
         parts.append(flown.where("chance <= 0 OR chance >= 1"))
         due = flown.where("chance > 0 AND chance < 1")
@@ -149,7 +153,7 @@ def _mixed(docs: DataFrame, weights: Sequence[float], share: float, most: int) -
     sized = saved(_numbered(docs), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = saved(targets(sources, weights, share, most).withColumn("stratum", F.xxhash64("source")), "targets")
-    goal = goals.withColumnRenamed("source", "_source")
+    goal = beside(goals.withColumnRenamed("source", "_source"))
     due = sized.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(copies + 1e-12).cast("bigint")
