@@ -33,6 +33,14 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 100_000
+
+
+def beside(small: DataFrame) -> DataFrame:
+    """`small`, saved and of a few short columns, with a broadcast hint if its rows are few enough."""
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+
+
 def beta_prior(counts: DataFrame, least: float = 2.0, most: float = 1000.0) -> tuple[Column, Column]:
     """(mean, strength) of a beta prior for the rates failed / n of the groups in `counts` (n, failed).
 

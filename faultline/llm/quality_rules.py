@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import BLANKS, SPACE, WORD, beta_prior, beta_prior_sql, saved, words
+from faultline.llm.common import BLANKS, SPACE, WORD, beside, beta_prior, beta_prior_sql, saved, words
 
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -89,7 +89,7 @@ def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE, z: float =
 def judge_documents(docs: DataFrame, max_rate: float = MAX_HOST_RATE, z: float = BOUND_Z) -> DataFrame:
     """Per document (doc_id, text, source): the counts, base_failed, and kept."""
     measured = saved(_measured(docs, [F.col("doc_id"), F.col("source").alias("host")]), "quality")
-    hosts = host_verdicts(_host_counts(measured), max_rate, z)
+    hosts = beside(saved(host_verdicts(saved(_host_counts(measured), "hosts"), max_rate, z), "verdicts"))
     return measured.join(hosts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
         (~base_failed() & ~F.coalesce("rejected", F.lit(False))).alias("kept"),
@@ -104,7 +104,7 @@ def _host_counts(measured: DataFrame) -> DataFrame:
 def keep_documents(docs: DataFrame, max_rate: float = MAX_HOST_RATE, z: float = BOUND_Z) -> DataFrame:
     """The rows of `docs` that the rules keep, with all their columns; texts are read twice, not shuffled."""
     measured = saved(_measured(docs, [F.col("source").alias("host")]), "quality")
-    rejected = host_verdicts(_host_counts(measured), max_rate, z).where("rejected").select("host")
+    rejected = beside(saved(host_verdicts(saved(_host_counts(measured), "hosts"), max_rate, z).where("rejected").select("host"), "rejected"))
     whole = F.struct(*docs.columns).alias("_row")
     judged = _measured(docs, [whole, F.col("source").alias("host")])
     # a filter on a plain column would be pushed below its definition, with the definition copied into every use

@@ -20,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import beta_prior, beta_prior_sql, saved
+from faultline.llm.common import beside, beta_prior, beta_prior_sql, saved
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 MAX_RATE = 0.5
@@ -85,7 +85,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Mapping[str, str] =
     rates = host_rates(saved(labelled, "hosts"))
     bad = rates.select("host", "n", "failed", F.coalesce(F.col("low") > max_rate, F.lit(False)).alias("bad_host"))
     rule = fitting_rule(F.col("host"), F.col("path"), rules)
-    judged = parsed.join(bad, "host").withColumn("_rule", rule)
+    judged = parsed.join(beside(saved(bad, "rates")), "host").withColumn("_rule", rule)
     return judged.select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"),
         F.coalesce("_rule.verdict", F.when(F.col("bad_host"), "block").otherwise("allow")).alias("verdict"),
