@@ -1,9 +1,10 @@
 """Licences of files: notices found by TF-IDF cosine to templates, and inheritance from the nearest directory.
 
 Every line of every text is a possible notice. A text that as a whole is a template, or a file named like a licence
-that is close to one, is a licence file. Lines and whole texts are compared with the templates as sparse TF-IDF vectors; inverse document frequencies come from
-the templates, and a word that no template has weighs most. Lines without any of the templates' telling words
-cannot reach the threshold and are not compared: what the other words of a template can add up to is below it.
+that is close to one, is a licence file. Lines and whole texts are compared with the templates as sparse TF-IDF
+vectors; inverse document frequencies come from the templates, and a word that no template has weighs most. Lines
+without any of the templates' telling words cannot reach the threshold and are not compared: what the other words
+of a template can add up to is below it.
 
 A directory has the licence of the best licence file in it. A file without a notice of its own inherits from the
 nearest directory above that has one: each directory is joined with its ancestors, once per directory and level.
