@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import saved
+from faultline.llm.common import beside, saved
 
 THRESHOLD = 0.6
 WHOLE = 0.9  # a text this close to a template as a whole is a licence file, whatever its name
@@ -158,7 +158,7 @@ def find_licenses(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEM
     given = above.join(granted.withColumnRenamed("dir", "ancestor"), "ancestor").groupBy("dir").agg(
         F.max(F.struct("depth", "ancestor", "dir_license")).alias("from")
     )
-    out = scanned.join(given, "dir", "left")
+    out = scanned.join(beside(saved(given, "inherited")), "dir", "left")
     inherits = F.col("own_license").isNull()
     return out.select(
         "file_id", "path", "own_license", "score", "n_notices", "license_file",
