@@ -94,6 +94,38 @@ def test_cooldown_with_even_spacing(spark):
     assert sorted(r.id for r in got) == greedy(data, 50)
 
 
+@pytest.mark.parametrize("steps", [1024, 2])
+def test_cooldown_steps(spark, steps):
+    """Step functions against plain scans from every start, with times in several batches; few steps force scans."""
+    rnd = random.Random(steps)
+    for hold in (1, 9, 50, 400):
+        times = np.array(sorted(rnd.sample(range(300), 80)), np.int64)
+        known = cd.Steps(hold)
+        for part in np.split(times, [1, 7, 40]):
+            known.add(part)
+        for before in range(int(times[0]) - hold - 5, int(times[0])):
+            want = cd.first_in_hold(times, hold, before)[1]
+            assert cd.last_after(known.upper, known.last, hold, before) == want
+    data = [(0, 7 * i, i) for i in range(500)]
+    df = frame(spark, data).withColumn("k", F.col("k").cast("string"))
+    assert sorted(r.id for r in cd.hold_off(df, "k", "ts", "id", 50, 10, steps).collect()) == greedy(data, 50)
+
+
+@pytest.mark.parametrize("blocks", [4, 32])
+def test_cooldown_jobs(spark, blocks):
+    """Even spacing takes the same number of scans however many blocks there are."""
+    data = [(0, 7 * i, i) for i in range(500)]
+    df = frame(spark, data).withColumn("k", F.col("k").cast("string"))
+    group = f"cooldown-{blocks}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        assert sorted(r.id for r in cd.hold_off(df, "k", "ts", "id", 50, blocks).collect()) == greedy(data, 50)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 8
+
+
 def test_cooldown_sample(spark):
     data = [(0, s, s) for s in (0, 30, 60, 90, 130)]
     df = frame(spark, data).select(F.col("k").cast("string").alias("name"), "ts", F.col("id").alias("alert_id"))
