@@ -3,7 +3,9 @@
 Exact search prunes with pivots: each corpus vector belongs to its nearest pivot, and a query visits only
 the cells that the triangle inequality cannot rule out (unit vectors, where cosine order is distance
 order). Cells are cut into blocks of bounded size; a task multiplies one block of queries with one block
-of corpus vectors and gives back at most k rows per query, so pairs never become rows.
+of corpus vectors and gives back at most k rows per query, so pairs never become rows. Where vectors have no
+structure nothing is ruled out; the inverted file then is the way for large corpora: it visits as many of the
+nearest cells as a measured share of the true neighbours asks for.
 """
 
 from __future__ import annotations
@@ -16,11 +18,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.numeric import percent_text, round_half_even
+from faultline.functions.sampling import smallest_hashes
 from faultline.functions.text import fill
 from faultline.session import stable
 
 PIVOTS = 32
 BLOCK_VALUES = 4_000_000  # numbers in one block of vectors: 32 MB as doubles
+PER_CELL = 2048  # vectors in a cell of the inverted file
+MOST_CELLS = 4096
+CENTER_SAMPLE = 32_768  # vectors that the centers are fitted on
+PROBE_SAMPLE = 256  # vectors whose true neighbours say how many cells a query visits
+TARGET = 0.98  # share of these neighbours that lie in visited cells
+PER_BUCKET = 256  # vectors in a bucket of the hashed search
 DIGITS = 12  # distances closer than this are equal, and go by id
 
 
@@ -217,32 +226,124 @@ def _block_search(queries: DataFrame, corpus: DataFrame, k: int, block_values: i
     return local.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
-# --- approximate search -------------------------------------------------------------------------
-def similar_incidents_lsh(
-    queries: DataFrame, corpus: DataFrame, k: int = 3, tables: int = 8, bits: int = 6, seed: int = 7,
+# --- search in an inverted file -----------------------------------------------------------------
+def similar_incidents_ivf(
+    queries: DataFrame, corpus: DataFrame, k: int = 3, per_cell: int = PER_CELL, target: float = TARGET,
     block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
-    """As `similar_incidents`, among the vectors that share a random-hyperplane bucket in some table."""
+    """As `similar_incidents`, among the corpus vectors in the cells nearest to each query.
+
+    Cells grow with the corpus. How many of them a query visits is measured: a sample of corpus vectors is compared
+    with every vector, and `target` of the neighbours found so must lie in visited cells. Vectors in groups need few
+    cells, vectors without structure many. A corpus of one cell is searched whole.
+    """
     corpus = stable(_lowest_ids(_with_vector(corpus, "record_id"), k + 1))
     asked = _with_vector(queries, "query_id")
     distinct = asked.groupBy("embedding").agg(F.min("query_id").alias("_q"))
+    total = corpus.count()
+    if not total:
+        return _per_query(asked, distinct, _no_rows(distinct, corpus), k)
+    fitted = smallest_hashes(corpus, "record_id", CENTER_SAMPLE, total).collect()
+    centers = _centers(_unit(_matrix(pd.Series([r.embedding for r in fitted]))), min(MOST_CELLS, max(1, round(total / per_cell))))
 
-    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = 1 << np.arange(bits)
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            matrix = _matrix(batch["embedding"])
-            planes = np.random.default_rng(seed).standard_normal((tables, bits, matrix.shape[1]))
-            for t in range(tables):
-                code = ((matrix @ planes[t].T) >= 0) @ weights
-                yield batch.assign(cell=(t << bits) + code)
+            if len(batch):
+                yield batch.assign(cell=_to_pivots(_unit(_matrix(batch["embedding"])), centers).argmin(axis=1))
+
+    id_type = corpus.schema["record_id"].dataType.simpleString()
+    placed = stable(corpus.mapInPandas(assign, f"record_id {id_type}, embedding array<float>, cell int"))
+    probes = _probes(placed, fitted[:PROBE_SAMPLE], centers, k, target)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                far = _to_pivots(_unit(_matrix(batch["embedding"])), centers)
+                nearest = np.argsort(far, axis=1, kind="stable")[:, :probes]
+                yield batch.iloc[np.repeat(np.arange(len(batch)), probes)].assign(cell=nearest.ravel())
+
+    q_type = distinct.schema["_q"].dataType.simpleString()
+    routed = distinct.select("_q", "embedding").mapInPandas(route, f"_q {q_type}, embedding array<float>, cell int")
+    return _per_query(asked, distinct, _block_search(routed, placed, k + 1, block_values), k)
+
+
+def _centers(units: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """Unit centers of a sample by spherical k-means; a center without vectors stays."""
+    centers = units[np.random.default_rng(11).permutation(len(units))[:count]]
+    for _ in range(rounds if len(centers) > 1 else 0):
+        # a strip at a time, so the products stay small
+        cell = np.concatenate([(units[i : i + 2048] @ centers.T).argmax(axis=1) for i in range(0, len(units), 2048)])
+        sums = np.zeros_like(centers)
+        np.add.at(sums, cell, units)
+        moved = _unit(sums)
+        centers = np.where(np.abs(moved).sum(axis=1, keepdims=True) > 0, moved, centers)
+    return centers
+
+
+def _probes(placed: DataFrame, sample: list, centers: np.ndarray, k: int, target: float) -> int:
+    """Nearest cells to visit so that `target` of the sample's true neighbours are in one.
+
+    Each task reports the k + 1 nearest of its vectors for every sampled one, as distance and cell.
+    """
+    if len(centers) == 1:
+        return 1
+    asked = _unit(_matrix(pd.Series([r.embedding for r in sample])))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        far, cell = np.full((len(asked), k + 1), np.inf), np.full((len(asked), k + 1), -1)
+        for batch in batches:
+            if len(batch):
+                far = np.hstack([far, 1.0 - asked @ _unit(_matrix(batch["embedding"])).T])
+                cell = np.hstack([cell, np.broadcast_to(batch["cell"].to_numpy(), (len(asked), len(batch)))])
+                best = np.argsort(far, axis=1, kind="stable")[:, : k + 1]
+                far, cell = np.take_along_axis(far, best, 1), np.take_along_axis(cell, best, 1)
+        at, place = np.nonzero(cell >= 0)
+        yield pd.DataFrame({"at": at, "distance": far[at, place], "cell": cell[at, place]})
+
+    local = placed.select("embedding", "cell").mapInPandas(nearest, "at int, distance double, cell int")
+    rank = F.row_number().over(Window.partitionBy("at").orderBy("distance", "cell"))
+    # the nearest of all is the sampled vector itself; at most k * PROBE_SAMPLE rows
+    found = local.withColumn("_r", rank).where((F.col("_r") > 1) & (F.col("_r") <= k + 1)).select("at", "cell").collect()
+    order = np.argsort(np.argsort(_to_pivots(asked, centers), axis=1, kind="stable"), axis=1, kind="stable")
+    ranks = np.sort([order[r.at, r.cell] for r in found])
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))]) + 1 if len(ranks) else 1
+
+
+# --- hashed search ------------------------------------------------------------------------------
+def similar_incidents_lsh(
+    queries: DataFrame, corpus: DataFrame, k: int = 3, tables: int = 8, bits: int | None = None, flips: int = 2, seed: int = 7,
+    block_values: int = BLOCK_VALUES,
+) -> DataFrame:
+    """As `similar_incidents`, among the vectors that share a random-hyperplane bucket in some table.
+
+    The bits of a bucket follow from the size of the corpus, about PER_BUCKET vectors each, unless given. A query
+    also visits the buckets on the other side of its `flips` nearest planes, one at a time.
+    """
+    corpus = stable(_lowest_ids(_with_vector(corpus, "record_id"), k + 1))
+    asked = _with_vector(queries, "query_id")
+    distinct = asked.groupBy("embedding").agg(F.min("query_id").alias("_q"))
+    depth = max(1, round(np.log2(max(1, corpus.count()) / PER_BUCKET))) if bits is None else bits
+
+    def keyed(df: DataFrame, key: str, more: int) -> DataFrame:
+        def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            weights = 1 << np.arange(depth, dtype=np.int64)
+            for batch in batches:
+                if not len(batch):
+                    continue
+                matrix = _matrix(batch["embedding"])
+                planes = np.random.default_rng(seed).standard_normal((tables, depth, matrix.shape[1]))
+                for t in range(tables):
+                    side = matrix @ planes[t].T
+                    code = (t << depth) + (side >= 0) @ weights
+                    yield batch.assign(cell=code)
+                    close = np.argsort(np.abs(side), axis=1)[:, :more]
+                    for column in close.T:
+                        yield batch.assign(cell=code ^ weights[column])
 
-    def keyed(df: DataFrame, key: str) -> DataFrame:
         kind = df.schema[key].dataType.simpleString()
-        return df.select(key, "embedding").mapInPandas(buckets, f"{key} {kind}, embedding array<float>, cell int")
+        return df.select(key, "embedding").mapInPandas(buckets, f"{key} {kind}, embedding array<float>, cell bigint")
 
-    found = _block_search(keyed(distinct, "_q"), keyed(corpus, "record_id"), k + 1, block_values)
+    found = _block_search(keyed(distinct, "_q", flips), keyed(corpus, "record_id", 0), k + 1, block_values)
     return _per_query(asked, distinct, found, k)
 
 

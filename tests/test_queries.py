@@ -31,7 +31,7 @@ def test_flagship(spark):
 
 
 # queries that run Python on Arrow batches, and why
-PYTHON = {"similar_incidents", "similar_incidents_lsh", "lsh_recall", "retrieval_context", "rag_evaluate", "retrieval_outcome",
+PYTHON = {"similar_incidents", "similar_incidents_lsh", "lsh_recall", "ivf_recall", "retrieval_context", "rag_evaluate", "retrieval_outcome",
           "neighbour_action_profile", "cooldown_alerts", "claim_actions"}
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.functions.sampling import smallest_hashes
 from faultline.operators import cooldown as cd
 from faultline.operators import ordered as od
 from faultline.operators import reliability as rl
@@ -168,6 +169,32 @@ def test_similar_incidents_edges(spark):
     assert sm.similar_incidents(asked, corpus.where("record_id > 2"), 3).count() == 0
 
 
+@pytest.mark.parametrize("spread, most", [(0.1, 0.2), (10.0, 0.95)])
+def test_inverted_file_visits_what_its_recall_asks_for(spark, monkeypatch, spread, most):
+    rng = np.random.default_rng(5)
+    matrix = np.vstack([np.repeat(rng.standard_normal((40, 16)) * 5, 15, axis=0) + rng.standard_normal((600, 16)) * spread, np.ones((30, 16))])
+    q, c = vectors(spark, matrix, "query_id"), vectors(spark, matrix, "record_id")
+    seen, probes = [], sm._probes
+    monkeypatch.setattr(sm, "_probes", lambda placed, sample, centers, k, target: seen.append((probes(placed, sample, centers, k, target), len(centers))) or seen[-1][0])
+    r = sm.recall(sm.similar_incidents_ivf(q, c, per_cell=16), sm.similar_incidents(q, c)).collect()[0]
+    assert r.expected == 1890 and r.recall >= 0.9
+    visited, cells = seen[0]
+    assert cells > 30 and visited <= most * cells
+
+
+def test_inverted_file_of_one_cell_is_exact(spark):
+    matrix = np.random.default_rng(6).standard_normal((90, 8))
+    q, c = vectors(spark, matrix, "query_id"), vectors(spark, matrix, "record_id")
+    assert neighbours(sm.similar_incidents_ivf(q, c)) == brute(matrix, 3)
+    assert sm.similar_incidents_ivf(q, c.where("record_id < 0")).count() == 0
+
+
+def test_smallest_hashes_are_those_of_the_whole(spark):
+    df = spark.range(20_000)
+    got = {r.id for r in smallest_hashes(df, "id", 100, 20_000).collect()}
+    assert got == {r.id for r in df.orderBy(F.xxhash64("id")).limit(100).collect()}
+
+
 def test_lsh_finds_most_of_clustered_neighbours(spark):
     rng = np.random.default_rng(4)
     centers = rng.standard_normal((20, 16)) * 5
