@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import components, saved
+from faultline.llm.common import beside, components, saved
 
 THRESHOLD = 0.98
 TARGET_RECALL = 0.9999
@@ -185,6 +185,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target: float
     cells = placed.groupBy("group", "cell").agg(
         F.ceil(F.sum(1 - F.col("role")) / BLOCK).cast("int").alias("members"), F.ceil(F.sum("role") / BLOCK).cast("int").alias("queries")
     ).where("members > 0 AND queries > 0")
+    # the few cells go to the vectors: a full cell is dealt out in blocks before its vectors travel
+    cells = beside(saved(cells, "cell-sizes"))
     mine = F.when(F.col("role") == 0, F.col("members")).otherwise(F.col("queries"))
     other = F.when(F.col("role") == 0, F.col("queries")).otherwise(F.col("members"))
     dealt = placed.join(cells, ["group", "cell"]).withColumn("own", F.pmod(F.xxhash64("node"), mine)).withColumn("with", F.explode(F.sequence(F.lit(0), other - 1)))
