@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.sampling import smallest_hashes
 from faultline.llm.common import beside, components, saved
 
 THRESHOLD = 0.98
@@ -156,7 +157,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target: float
     if not size[0]:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = max(2, size[1])
-    sample = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
+    sample = smallest_hashes(classes, "node", SAMPLE, size[0]).collect()
     count = min(MOST_WORDS, max(4, round((size[0] / PER_CELL) ** 0.5)))
     grid = Grid(units([r.embedding for r in sample], width), count, threshold, target)
     shared = rows.sparkSession.sparkContext.broadcast(grid)
