@@ -3,6 +3,10 @@
 One input row stands for one increment. Rows are counted per step first; everything after works on
 (label, step) rows, whose number depends on the time covered and not on the traffic. A step at time t
 holds what happened in (t - step, t], and a trailing window of w seconds holds (t - w, t].
+
+A `period` (first and last second) bounds the grid: rows outside it are left out, and `outside` gives them. Without
+one the grid reaches from the first to the last time seen, and a span of more than MOST_STEPS steps is an error, so
+one wrong date neither fills the cluster nor loses rows unseen.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from faultline.functions.numeric import ratio
 
 TICK = "tick"
 DAY = 86400
+MOST_STEPS = 5_000_000  # of a label: nine years of minutes
+Period = tuple[int, int]
 
 
 def tick_of(ts: Column | str, step: int) -> Column:
@@ -26,8 +32,22 @@ def tick_of(ts: Column | str, step: int) -> Column:
     return F.floor((micros - F.pmod(micros, F.lit(step * 1000000))) / 1000000)
 
 
-def step_counts(df: DataFrame, ts: str, step: int, by: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
+def _inside(ts: str, period: Period) -> Column:
+    # compared as times, so that a scan can skip files
+    return F.col(ts).between(F.timestamp_seconds(F.lit(period[0])), F.timestamp_seconds(F.lit(period[1])))
+
+
+def outside(df: DataFrame, ts: str, period: Period) -> DataFrame:
+    """The rows that a grid over `period` leaves out, those without a time among them."""
+    return df.where(~F.coalesce(_inside(ts, period), F.lit(False)))
+
+
+def step_counts(
+    df: DataFrame, ts: str, step: int, by: Sequence[str], measures: Mapping[str, Column], period: Period | None = None
+) -> DataFrame:
     """Counts per label and step, only where there is something; conditions are counted where true."""
+    if period:
+        df = df.where(_inside(ts, period))
     sums = [F.count_if(c).alias(n) for n, c in measures.items()]
     return df.groupBy(*by, tick_of(ts, step).alias(TICK)).agg(*sums)
 
@@ -38,6 +58,9 @@ def dense(counts: DataFrame, step: int, by: Sequence[str]) -> DataFrame:
     everything = Window.partitionBy()
     spans = counts.groupBy(*by).agg(F.min(TICK).alias("_a"), F.max(TICK).alias("_b"))
     spans = spans.select(*by, F.min("_a").over(everything).alias("_a"), F.max("_b").over(everything).alias("_b"))
+    steps = (F.col("_b") - F.col("_a")) / step
+    wide = F.concat(F.lit("the times seen span "), steps.cast("bigint").cast("string"), F.lit(" steps: give a period"))
+    spans = spans.withColumn("_b", F.when(steps > MOST_STEPS, F.raise_error(wide).cast("bigint")).otherwise(F.col("_b")))
     # by days first, so that no long span is one array
     stride = max(1, DAY // step) * step
     days = spans.select(*by, "_b", F.explode(F.sequence("_a", "_b", F.lit(stride).cast("bigint"))).alias("_d"))
@@ -53,20 +76,25 @@ def trailing(series: DataFrame, step: int, window: int, by: Sequence[str], value
     return series.withColumns({v: F.sum(v).over(frame) for v in values})
 
 
-def increase(df: DataFrame, ts: str, step: int, window: int, by: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
-    counts = dense(step_counts(df, ts, step, by, measures), step, by)
+def increase(
+    df: DataFrame, ts: str, step: int, window: int, by: Sequence[str], measures: Mapping[str, Column], period: Period | None = None
+) -> DataFrame:
+    counts = dense(step_counts(df, ts, step, by, measures, period), step, by)
     return trailing(counts, step, window, by, list(measures))
 
 
-def rate(df: DataFrame, ts: str, step: int, window: int, by: Sequence[str], per: int = 1) -> DataFrame:
+def rate(df: DataFrame, ts: str, step: int, window: int, by: Sequence[str], per: int = 1, period: Period | None = None) -> DataFrame:
     """Rows per `per` seconds over the trailing window."""
-    counted = increase(df, ts, step, window, by, {"n": F.lit(True)})
+    counted = increase(df, ts, step, window, by, {"n": F.lit(True)}, period)
     return counted.select(*by, TICK, (F.col("n") * per / window).alias("rate"))
 
 
-def share(df: DataFrame, ts: str, step: int, window: int, part: Column, by: Sequence[str] = (), whole: Column | None = None) -> DataFrame:
+def share(
+    df: DataFrame, ts: str, step: int, window: int, part: Column, by: Sequence[str] = (), whole: Column | None = None,
+    period: Period | None = None,
+) -> DataFrame:
     """Share of rows where `part` holds among all (or `whole`) rows of the trailing window; null without rows."""
-    counted = increase(df, ts, step, window, by, {"part": part, "whole": F.lit(True) if whole is None else whole})
+    counted = increase(df, ts, step, window, by, {"part": part, "whole": F.lit(True) if whole is None else whole}, period)
     return counted.select(*by, TICK, ratio(F.col("part"), F.col("whole"), None).alias("value"))
 
 
@@ -131,21 +159,23 @@ def bucket_quantile(q: float, bounds: Sequence[float], counts: Sequence[Column],
 
 def trailing_quantiles(
     df: DataFrame, ts: str, step: int, window: int, value: Column, bounds: Sequence[float],
-    quantiles: Mapping[str, float], by: Sequence[str] = (),
+    quantiles: Mapping[str, float], by: Sequence[str] = (), period: Period | None = None,
 ) -> DataFrame:
     """Quantiles of the trailing window from its bucket counts, as histogram_quantile(q, rate(...))."""
     measures = {**bucket_counts(value, bounds), "n": value.isNotNull()}
-    summed = increase(df, ts, step, window, by, measures)
+    summed = increase(df, ts, step, window, by, measures, period)
     counts = [F.col(n) for n in bucket_names(bounds)]
     return summed.select(
         *by, TICK, *[bucket_quantile(q, bounds, counts, F.col("n")).alias(n) for n, q in quantiles.items()]
     )
 
 
-def bucket_heatmap(df: DataFrame, ts: str, step: int, window: int, value: Column, bounds: Sequence[float]) -> DataFrame:
+def bucket_heatmap(
+    df: DataFrame, ts: str, step: int, window: int, value: Column, bounds: Sequence[float], period: Period | None = None
+) -> DataFrame:
     """Observations per second that fall into each single bucket, per step."""
     measures = {**bucket_counts(value, bounds), "n": value.isNotNull()}
-    summed = increase(df, ts, step, window, [], measures)
+    summed = increase(df, ts, step, window, [], measures, period)
     names = [*bucket_names(bounds), "n"]
     cells, below = [], F.lit(0)
     for name, bound in zip(names, [*map(float, bounds), float("inf")]):
@@ -155,29 +185,31 @@ def bucket_heatmap(df: DataFrame, ts: str, step: int, window: int, value: Column
 
 
 # --- alerts -------------------------------------------------------------------------------------
-def stalled(df: DataFrame, ts: str, step: int, window: int, by: Sequence[str] = ()) -> DataFrame:
+def stalled(df: DataFrame, ts: str, step: int, window: int, by: Sequence[str] = (), period: Period | None = None) -> DataFrame:
     """Steps at which a series that has been seen shows nothing in the trailing window."""
-    counts = dense(step_counts(df, ts, step, by, {"n": F.lit(True)}), step, by)
+    counts = dense(step_counts(df, ts, step, by, {"n": F.lit(True)}, period), step, by)
     seen = Window.partitionBy(*by).orderBy(TICK).rowsBetween(Window.unboundedPreceding, 0)
     marked = counts.withColumn("_seen", F.sum("n").over(seen))
     summed = trailing(marked, step, window, by, ["n"])
     return summed.select(*by, TICK, ((F.col("n") == 0) & (F.col("_seen") > 0)).alias("breached"))
 
 
-def target_down(heartbeats: DataFrame, ts: str, step: int, by: Sequence[str] = ()) -> DataFrame:
+def target_down(heartbeats: DataFrame, ts: str, step: int, by: Sequence[str] = (), period: Period | None = None) -> DataFrame:
     """Steps without any heartbeat."""
-    counts = dense(step_counts(heartbeats, ts, step, by, {"n": F.lit(True)}), step, by)
+    counts = dense(step_counts(heartbeats, ts, step, by, {"n": F.lit(True)}, period), step, by)
     return counts.select(*by, TICK, (F.col("n") == 0).alias("breached"))
 
 
-def breached(values: DataFrame, above: float | None = None, below: float | None = None, value: str = "value") -> DataFrame:
-    """Adds the condition of a threshold alert; no value means it does not hold."""
+def breached(
+    values: DataFrame, above: float | Column | None = None, below: float | Column | None = None, value: str = "value"
+) -> DataFrame:
+    """Adds the condition of a threshold alert, one limit or one per row; no value means it does not hold."""
     test = F.col(value) > above if above is not None else F.col(value) < below
     return values.withColumn("breached", F.coalesce(test, F.lit(False)))
 
 
-def alert_state(conditions: DataFrame, hold: int, by: Sequence[str] = ()) -> DataFrame:
-    """inactive, pending or firing per step: firing once the condition has held for `hold` seconds."""
+def alert_state(conditions: DataFrame, hold: int | Column, by: Sequence[str] = ()) -> DataFrame:
+    """inactive, pending or firing per step: firing once the condition has held for `hold` seconds, one number or one per row."""
     order = Window.partitionBy(*by).orderBy(TICK).rowsBetween(Window.unboundedPreceding, 0)
     # the number of false steps so far names the run a true step belongs to
     marked = conditions.withColumn("_run", F.sum(F.when(F.col("breached"), 0).otherwise(1)).over(order))

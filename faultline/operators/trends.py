@@ -44,7 +44,10 @@ def distinct_workflows(records: DataFrame) -> DataFrame:
 
 
 def metrics_summary(records: DataFrame) -> DataFrame:
-    """All counts in one scan: (metric, name, count, value), grouped by each label and by none."""
+    """All counts in one scan: (metric, name, count, average_score, place), grouped by each label and by none.
+
+    The five most common actions have a place, equal counts by name.
+    """
     sets = [["status"], ["severity"], ["suggested_action"], ["workflow"], []]
     labels = ["status", "severity", "suggested_action", "workflow"]
     grouped = records.groupingSets([[F.col(c) for c in s] for s in sets], *labels).agg(
@@ -60,8 +63,13 @@ def metrics_summary(records: DataFrame) -> DataFrame:
     )
     name = F.coalesce("status", "severity", "suggested_action", "workflow")
     named = grouped.select(metric.alias("metric"), name.alias("name"), "count", "average")
-    return named.where((F.col("metric") != "suggested_action") | F.col("name").isNotNull()).select(
-        "metric", "name", "count", F.when(F.col("metric") == "total", F.coalesce("average", F.lit(0.0))).alias("average_score")
+    action = F.col("metric") == "suggested_action"
+    # the few actions are one group; each other row is one of its own
+    order = Window.partitionBy("metric", F.when(~action, F.col("name"))).orderBy(F.desc("count"), "name")
+    placed = named.where(~action | F.col("name").isNotNull()).withColumn("place", F.row_number().over(order))
+    return placed.select(
+        "metric", "name", "count", F.when(F.col("metric") == "total", F.coalesce("average", F.lit(0.0))).alias("average_score"),
+        F.when(action & (F.col("place") <= 5), F.col("place")).alias("place"),
     )
 
 

@@ -200,12 +200,12 @@ def _latency_sql() -> str:
 def alert_latency(spark, folder):
     rows = incidents(spark, folder).where(F.col("event_type").isin(*LATENCY_SLO))
     values = slo.trailing_quantiles(rows, "ts", MINUTE, 300, latency(), fixed.RETRIEVAL_BOUNDS, {"value": 0.95}, ["event_type"])
-    out = None
-    for handler, (limit, hold) in LATENCY_SLO.items():
-        mine = slo.breached(values.where(F.col("event_type") == handler), above=limit)
-        states = slo.alert_state(mine, hold, ["event_type"]).select("event_type", "tick", "breached", "state", "active_since")
-        out = states if out is None else out.unionByName(states)
-    return out
+
+    def of_handler(part: int):
+        return F.element_at(F.create_map(*[F.lit(x) for h, v in LATENCY_SLO.items() for x in (h, v[part])]), F.col("event_type"))
+
+    states = slo.alert_state(slo.breached(values, above=of_handler(0)), of_handler(1), ["event_type"])
+    return states.select("event_type", "tick", "breached", "state", "active_since")
 
 
 @query(

@@ -234,7 +234,9 @@ def distinct_workflows(spark, folder):
       UNION ALL SELECT 'workflow', workflow, count(*) FROM rec GROUP BY workflow
       UNION ALL SELECT 'total', NULL, count(*) FROM rec)
     SELECT metric, name, CAST(count AS BIGINT) AS count,
-      CASE WHEN metric = 'total' THEN (SELECT round_even(sum(score) / count(*), 2) FROM rec) END AS average_score FROM g""",
+      CASE WHEN metric = 'total' THEN (SELECT round_even(sum(score) / count(*), 2) FROM rec) END AS average_score,
+      CASE WHEN metric = 'suggested_action' AND place <= 5 THEN CAST(place AS INTEGER) END AS place
+    FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY count DESC, name) AS place FROM g)""",
 )
 def metrics_summary(spark, folder):
     return tr.metrics_summary(records(spark, folder))

@@ -101,6 +101,24 @@ def test_rate_window_is_open_at_the_far_end(spark):
     assert got[60] == 1 / 300 and got[300] == 3 / 300 and got[360] == 2 / 300 and got[600] == 1 / 300 and got[540] == 1 / 300
 
 
+def test_one_far_off_date_does_not_stretch_the_grid(spark):
+    df = at(spark, [60, 120, 300, 253_000_000_000])
+    with pytest.raises(Exception, match="give a period"):
+        slo.rate(df, "ts", 60, 300, []).collect()
+    got = slo.rate(df, "ts", 60, 300, [], period=(0, 86_400))
+    assert [r.tick for r in got.orderBy("tick").collect()] == [60, 120, 180, 240, 300]
+    assert slo.target_down(df, "ts", 60, period=(0, 86_400)).where("breached").count() == 2
+    assert [r.s for r in slo.outside(df.unionByName(df.limit(1).withColumn("ts", F.lit(None).cast("timestamp"))), "ts", (0, 86_400)).orderBy("s").collect()] == [60, 253_000_000_000]
+
+
+def test_limits_and_holds_per_row(spark):
+    rows = [(k, t, v) for k in ("a", "b") for t, v in ((60, 5.0), (120, 5.0), (180, 5.0))]
+    df = spark.createDataFrame(rows, "k string, tick bigint, value double")
+    by_key = lambda a, b: F.when(F.col("k") == "a", a).otherwise(b)
+    got = slo.alert_state(slo.breached(df, above=by_key(4.0, 6.0)), by_key(60, 0), ["k"]).orderBy("k", "tick").collect()
+    assert [r.state for r in got] == ["pending", "firing", "firing", "inactive", "inactive", "inactive"]
+
+
 def test_histogram_is_monotone_and_complete(spark):
     df = spark.range(100).withColumn("v", F.col("id") * 1.3)
     counts = [r["count"] for r in slo.histogram_buckets(df, F.col("v"), fixed.SCORE_BOUNDS).orderBy("le").collect()]
