@@ -10,12 +10,12 @@ hash of fixed shape, the same for equal values. Texts are cut at the matches and
 | email | local@domain.tld | keyed hash at a reserved domain |
 | key | AKIA and 16 capitals or digits | AKIA and 16 keyed hex capitals |
 | secret | a word such as password or token, = or :, a value; runs of 32 hex digits or more | keyed hash of the same length |
-| iban | two letters, two digits, 11 to 30 more, check sum 97 | digits permuted, check digits made right |
+| iban | two letters, two digits, 11 to 30 more, check sum 97; runs of whole groups, of the country's length first | digits permuted, check digits made right |
 | ip | four parts of 0 to 255 | 32 bits permuted |
 | date | yyyy-mm-dd (also with / or .), dd.mm.yyyy, mm/dd/yyyy in the calendar, 1900 to 2099 | days permuted |
 | ssn | ddd-dd-dddd in the allowed ranges | digits permuted inside the ranges |
 | phone | +1 or (ddd) and the like; + and 8 to 15 digits | digits permuted inside the numbering plan |
-| card | 13 to 19 digits with right check digit | all but the check digit permuted, check digit made right |
+| card | 13 to 19 digits with right check digit; runs of whole groups, usual groupings first | all but the check digit permuted, check digit made right |
 
 Defined results: null text stays null, with counts of 0; text without a match stays as it is, byte for byte; a
 candidate that fails its check stays; ids, repeated rows and further columns pass through; a column named like
@@ -30,11 +30,22 @@ from pyspark.sql import functions as F
 DEFAULT_KEY = "faultline-pseudonyms"
 ROUNDS = 10
 
+# characters of an account number by country; other countries may have any length
+IBAN_LENGTHS = {
+    c: n for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO EG GT HU LB NI PL SV", 29: "BR PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items() for c in countries.split()
+}
+
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
+HEX = r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])"
 SECRET = (
     r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:[ \t]{0,4}[=:][ \t]{0,4})"
-    r"[\"']?[A-Za-z0-9_+/.~-]{6,512}|(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])"
+    r"[\"']?[A-Za-z0-9_+/.~-]{6,512}|" + HEX
 )
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
@@ -45,10 +56,22 @@ DATE = (
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 US_PHONE = r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\)[ ]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
 PHONE = r"\+[1-9](?:[ ()/.-]{0,2}[0-9]){7,14}(?![0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+# what may stand right beside a number and is no part of it
+_BESIDE = "|".join(f"(?:{p})" for p in (EMAIL, KEY, SECRET, IP, DATE, SSN, US_PHONE))
+_GAP = rf"(?: (?!{_BESIDE}))?+"
+# all groups of digits that stand together, at least 13 digits: the numbers among them are told apart later
+CARD = rf"(?<![0-9])[0-9](?:(?:[ -](?!{_BESIDE}))?+[0-9]){{12,}}+"
+# an account number of its country's length, or else of any, and the groups after it, which may be other numbers
+_OF_COUNTRY = "|".join(
+    rf"(?:{'|'.join(c for c in IBAN_LENGTHS if IBAN_LENGTHS[c] == n)})[0-9]{{2}}(?:{_GAP}[0-9A-Z]{{4}}){{{n // 4 - 1}}}"
+    + (rf"{_GAP}[0-9A-Z]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])"
+    for n in sorted(set(IBAN_LENGTHS.values()))
+)
+_ACCOUNT = rf"(?:{_OF_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?:{_GAP}[0-9A-Z]{{4}}){{2,7}}(?:{_GAP}[0-9A-Z]{{1,3}})?(?![A-Za-z0-9]))"
+ACCOUNT = rf"(?<![A-Za-z0-9]){_ACCOUNT}(?:[ -](?!{_BESIDE})(?:{_ACCOUNT}|[0-9]++(?![A-Za-z0-9])))*+"
 # in this order, as the first that fits at a place is taken
 KINDS = {
-    "email": EMAIL, "key": KEY, "secret": SECRET, "iban": IBAN, "ip": IP, "date": DATE, "ssn": SSN, "us_phone": US_PHONE,
+    "email": EMAIL, "key": KEY, "secret": SECRET, "iban": ACCOUNT, "ip": IP, "date": DATE, "ssn": SSN, "us_phone": US_PHONE,
     "phone": PHONE, "card": CARD,
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -56,6 +79,9 @@ COUNTED = ("email", "key", "secret", "iban", "ip", "date", "ssn", "phone", "card
 COUNTS = [f"n_{k}" for k in COUNTED]
 # every kind holds one of these: spares most texts the search
 HINT = "[0-9@=:]|AKIA"
+LONGEST = 34  # characters of an account number
+# numbers as cards bear them; other groupings count where no such number is among them
+CARD_GROUPS = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 # 270 * 271 days from 1900-01-01 reach beyond 2099-12-31: a domain of two coprime factors needs no second try
 DAY_ROWS, DAY_COLUMNS = 270, 271
 
@@ -131,11 +157,13 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
+    """A valid card number as another one."""
+
     def made(digits: Column) -> Column:
         body = permute_digits(F.substring(digits, F.lit(1), F.char_length(digits) - 1), key, "card")
         return _with(body, lambda b: refill(value, F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))
 
-    return _with(_only_digits(value), lambda d: F.when(luhn_sum(d) % 10 == 0, made(d)).otherwise(value))
+    return _with(_only_digits(value), made)
 
 
 def _mod97(text: Column) -> Column:
@@ -148,6 +176,8 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(value: Column, key: str) -> Column:
+    """A valid account number as another one."""
+
     def made(flat: Column) -> Column:
         rest = F.substring(flat, F.lit(5), F.char_length(flat))
         digits = _only_digits(rest)
@@ -157,7 +187,80 @@ def _iban(value: Column, key: str) -> Column:
         check = _with(moved, lambda m: F.concat(F.lpad((98 - _mod97(F.concat(country, F.lit("00"), m))).cast("string"), 2, "0"), _only_digits(m)))
         return refill(value, check)
 
-    return _with(F.replace(value, F.lit(" ")), lambda v: F.when(_mod97(v) == 1, made(v)).otherwise(value))
+    return _with(F.replace(value, F.lit(" ")), made)
+
+
+def _numbers(value: Column, key: str) -> Column:
+    """(text, n_iban, n_card) of groups that stand together: each run of whole groups that is a number is replaced.
+
+    From left to right; at each group an account number of its country's length comes first, then any other account
+    number, then a card number in usual groups, then one in any groups that takes nothing of a number in usual groups;
+    of several, the longest.
+    """
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+
+    part_of = F.lit("[ -]?(?:[0-9]+|[A-Z]+)")
+    # inside what has the form of an account number, only usual groups are a card
+    inside = F.size(F.regexp_extract_all(F.regexp_extract(value, f"^{_ACCOUNT}", 0), part_of, F.lit(0)))
+
+    def replaced(parts: Column) -> Column:
+        n = F.size(parts)
+
+        def text(first: Column, last: Column) -> Column:
+            return F.array_join(F.slice(parts, first + 1, last - first + 1), "")
+
+        def bare(first: Column, last: Column) -> Column:
+            return F.regexp_replace(text(first, last), "^[ -]", "")
+
+        def longest(first: Column, valid) -> Column:
+            """The last group of the longest valid run from `first`, or null."""
+            ends = F.sequence(first, F.least(first + LONGEST - 1, n - 1))
+            return F.array_max(F.filter(ends, lambda e: _with(bare(first, e), lambda t: valid(t, e))))
+
+        def card(t: Column, e: Column) -> Column:
+            return t.rlike("^[0-9](?:[ -]?[0-9]){12,18}$") & (luhn_sum(_only_digits(t)) % 10 == 0)
+
+        def usual(t: Column, e: Column) -> Column:
+            return t.rlike(CARD_GROUPS) & (luhn_sum(_only_digits(t)) % 10 == 0)
+
+        def account(t: Column, e: Column) -> Column:
+            border = (e == n - 1) | F.get(parts, e + 1).rlike("^[ -]")
+            return border & t.rlike(f"^(?:{IBAN})$") & (_mod97(F.replace(t, F.lit(" "))) == 1)
+
+        def of_country(t: Column, e: Column) -> Column:
+            flat = F.replace(t, F.lit(" "))
+            return (F.char_length(flat) == F.try_element_at(lengths, F.substring(flat, 1, 2))) & account(t, e)
+
+        def unless_usual(first: Column, last: Column) -> Column:
+            cut = F.exists(F.sequence(first + 1, F.greatest(last, first + 1)), lambda k: (k <= last) & longest(k, usual).isNotNull())
+            return F.when(~cut, last)
+
+        def at(k: Column) -> Column:
+            """(kind, last group) of the number that begins at group `k`; null if none does."""
+            part = F.get(parts, k)
+            accounts = F.coalesce(longest(k, of_country), longest(k, account))
+            cards = F.coalesce(longest(k, usual), _with(longest(k, card), lambda e: F.when(e.isNotNull() & (k >= inside), unless_usual(k, e))))
+            head = part.rlike("^[ -]?[A-Z]{2}$") & ((k == 0) | part.rlike("^[ -]"))
+            return F.when(head, F.struct(F.lit("iban").alias("kind"), accounts.alias("last"))).when(
+                part.rlike("[0-9]"), F.struct(F.lit("card").alias("kind"), cards.alias("last")))
+
+        def step(s: Column, k: Column) -> Column:
+            def found(hit: Column) -> Column:
+                sep = F.regexp_extract(F.get(parts, k), "^[ -]?", 0)
+                is_iban = hit["kind"] == "iban"
+                new = _with(bare(k, hit["last"]), lambda t: F.struct(t.alias("t"), F.when(is_iban, _iban(t, key)).otherwise(_card(t, key)).alias("new")))
+                return _with(new, lambda r: F.struct(
+                    F.concat(s["text"], sep, r["new"]).alias("text"), hit["last"].alias("done"),
+                    (s["n_iban"] + (is_iban & (r["t"] != r["new"])).cast("int")).alias("n_iban"),
+                    (s["n_card"] + (~is_iban & (r["t"] != r["new"])).cast("int")).alias("n_card")))
+
+            as_is = F.struct(F.concat(s["text"], F.get(parts, k)).alias("text"), s["done"].alias("done"), s["n_iban"].alias("n_iban"), s["n_card"].alias("n_card"))
+            return F.when(k <= s["done"], s).otherwise(_with(at(k), lambda hit: F.when(hit["last"].isNotNull(), found(hit)).otherwise(as_is)))
+
+        start = F.struct(F.lit("").alias("text"), F.lit(-1).alias("done"), F.lit(0).alias("n_iban"), F.lit(0).alias("n_card"))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
+
+    return _with(F.regexp_extract_all(value, part_of, F.lit(0)), replaced)
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -240,19 +343,28 @@ def _secret(value: Column, key: str) -> Column:
 
 
 _MADE = {
-    "email": _email, "key": _key, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "us_phone": _us_phone,
-    "phone": _phone, "card": _card,
+    "email": _email, "key": _key, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "us_phone": _us_phone, "phone": _phone,
 }
 
 
 def _replaced(value: Column, key: str) -> Column:
-    """(kind, text) of one match; kind is null if its check fails."""
-    chosen = F.lit(None).cast("struct<kind:string,text:string>")
-    for kind in reversed(KINDS):
-        made = F.struct(F.lit("phone" if kind == "us_phone" else kind).alias("kind"), _MADE[kind](value, key).alias("text"))
-        chosen = F.when(value.rlike(f"^(?:{KINDS[kind]})$"), made).otherwise(chosen)
+    """(kind, text, n_iban, n_card) of one match; kind is null for numbers, which are counted by themselves, and if
+    the check of another kind fails."""
+
+    def one(kind: Column, text: Column) -> Column:
+        return F.struct(kind.alias("kind"), text.alias("text"), F.lit(0).alias("n_iban"), F.lit(0).alias("n_card"))
+
     # a match that depends on what stands around it stays if no kind fits it alone
-    return F.coalesce(chosen, F.struct(F.lit(None).cast("string").alias("kind"), value.alias("text")))
+    chosen = one(F.lit(None).cast("string"), value)
+    for kind in reversed(KINDS):
+        if kind in _MADE:
+            made = one(F.lit("phone" if kind == "us_phone" else kind), _MADE[kind](value, key))
+            chosen = F.when(value.rlike(f"^(?:{KINDS[kind]})$"), made).otherwise(chosen)
+        elif kind == "iban":
+            # groups of digits too: the first kind that fits is taken, and what begins with a digit is none of the others
+            numbers = _with(_numbers(value, key), lambda r: F.struct(F.lit(None).cast("string").alias("kind"), r["text"].alias("text"), r["n_iban"].alias("n_iban"), r["n_card"].alias("n_card")))
+            chosen = F.when(value.rlike(f"^(?:{ACCOUNT}|{CARD})$"), numbers).otherwise(chosen)
+    return chosen
 
 
 def _matched(docs: DataFrame, key: str) -> tuple[DataFrame, Column, Column]:
@@ -261,7 +373,7 @@ def _matched(docs: DataFrame, key: str) -> tuple[DataFrame, Column, Column]:
     hit = text.rlike(HINT)
 
     def judged(value: Column) -> Column:
-        return _with(_replaced(value, key), lambda r: F.struct(r["kind"].alias("kind"), r["text"].alias("text"), (r["text"] != value).alias("changed")))
+        return _with(_replaced(value, key), lambda r: F.struct(*[r[c].alias(c) for c in ("kind", "text", "n_iban", "n_card")], (r["text"] != value).alias("changed")))
 
     found = docs.select(
         F.struct(*docs.columns).alias("_row"),
@@ -286,6 +398,10 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     wide = found.select(*others, changed.alias("_changed"))
 
     def count(kind: str) -> Column:
-        return F.coalesce(F.size(F.filter("_changed", lambda m: m["kind"] == kind)), F.lit(0)).cast("bigint").alias(f"n_{kind}")
+        if kind in ("iban", "card"):
+            n = F.aggregate("_changed", F.lit(0), lambda a, m: a + m[f"n_{kind}"])
+        else:
+            n = F.size(F.filter("_changed", lambda m: m["kind"] == kind))
+        return F.coalesce(n, F.lit(0)).cast("bigint").alias(f"n_{kind}")
 
     return wide.select(*[c for c in docs.columns if c not in COUNTS], *[count(k) for k in COUNTED])

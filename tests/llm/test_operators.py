@@ -263,6 +263,38 @@ def test_pseudonyms_keep_the_format(spark):
     datetime.date.fromisoformat(re.search(r"\d{4}-\d\d-\d\d", got["date"].text).group())
 
 
+def test_numbers_with_neighbours(spark):
+    card, iban, other = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "GB29 NWBK 6016 1331 9268 19"
+    flat = "4111111111111111"
+    hungarian = "HU42 1177 3016 1111 1018 0000 0000"
+    # text, cards, account numbers, what must not stay, what must
+    cases = [
+        (f"card {card} 12/27", 1, 0, [card], ["12/27"]), (f"{flat} 123", 1, 0, [flat], ["123"]), (f"no 7 {card}", 1, 0, [card], ["no 7 "]),
+        (f"{card} 123 12/27", 1, 0, [card], []), (f"12 34 56 78 90 12 34 {card}", 1, 0, [card], []), (f"{card} {flat}", 2, 0, [card, flat], []),
+        (f"{flat} 4012-8888-8888-1881 3782 822463 10005", 3, 0, [flat, "4012-8888-8888-1881", "3782 822463 10005"], []),
+        (f"12345678901234567890 {card}", 1, 0, [card], ["12345678901234567890 "]), (f"ID42 {card}", 1, 0, [card], ["ID42 "]),
+        (f"{iban} BIC", 0, 1, [iban], [" BIC"]), (f"{iban} BANK CODE", 0, 1, [iban], [" BANK CODE"]), (f"{iban} {card}", 1, 1, [iban, card], []),
+        (f"{iban} {other}", 0, 2, [iban, other], []), (f"{hungarian} {other}", 0, 2, [hungarian, other], []), (f"{card} {iban}", 1, 1, [iban, card], []),
+        (f"{flat} 10.20.30.40", 1, 0, [flat, "10.20.30.40"], []), (f"{card} 2024-01-05", 1, 0, [card, "2024-01-05"], []),
+        (f"{iban} 2024-01-05", 0, 1, [iban, "2024-01-05"], []), (f"{flat} 123@example.com", 1, 0, [flat, "123@example"], []),
+        (f"{iban} PWD=abcdef99", 0, 1, [iban, "abcdef99"], []), ("1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 " * 40 + card, None, 0, [card], []),
+        ("4111 1111 1111 1112 12", None, 0, [], []), ("ES92 2100 0418 4502 0005 1332 BIC", 0, 0, [], ["ES92 2100 0418 4502 0005 1332 BIC"]),
+    ]
+    docs = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "doc_id int, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(docs).collect()}
+    for k, (text, cards, ibans, gone, stays) in enumerate(cases):
+        r = got[k]
+        assert len(r.text) == len(text) or "@" in text or "10.20" in text
+        assert cards is None or r.n_card == cards, text
+        assert r.n_iban == ibans, text
+        assert not [x for x in gone if x in r.text], (text, r.text)
+        assert all(x in r.text for x in stays), (text, r.text)
+    # one number, one pseudonym, whatever stands beside it
+    alone = pii.mask_texts(spark.createDataFrame([(1, card), (2, iban)], "doc_id int, text string")).collect()
+    new = {r.doc_id: r.text for r in alone}
+    assert new[1] in got[0].text and new[1] in got[2].text and new[2] in got[9].text and new[2] in got[10].text
+
+
 def test_feistel_is_one_to_one(spark):
     frame = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert frame.select(pii.permute_digits(F.col("d"), "k", "x").alias("e")).distinct().count() == 1000
