@@ -1,7 +1,9 @@
 """Licences of files: notices found by TF-IDF cosine to templates, and inheritance from the nearest directory.
 
-Every line of every text is a possible notice. A text that as a whole is a template, or a file named like a licence
-that is close to one, is a licence file. Lines and whole texts are compared with the templates as sparse TF-IDF
+Every line of every text is a possible notice. A text that as a whole is a template or a licence's whole text is a
+licence file; so is a file named like a licence that is close to one or has a notice. Whole texts have templates and
+document frequencies of their own; a text that is surely one of them has that licence, whatever lines it holds.
+Lines and whole texts are compared with the templates as sparse TF-IDF
 vectors; inverse document frequencies come from the templates, and a word that no template has weighs most. Lines
 without any of the templates' telling words cannot reach the threshold and are not compared: what the other words
 of a template can add up to is below it.
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import beside, saved
+from faultline.llm.license_texts import TEXTS
 
 THRESHOLD = 0.6
 WHOLE = 0.9  # a text this close to a template as a whole is a licence file, whatever its name
 NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"  # files that are one from THRESHOLD on
+TEXT_HINTS = ("licen", "copyright", "redistribut", "warrant")  # a whole text of a licence has some of them
 
 # fixed values: usual notices of public licences
 TEMPLATES: dict[str, Sequence[str]] = {
@@ -104,6 +108,9 @@ class Templates:
         """The closest template and its cosine, if that reaches the threshold."""
         raw = {w: k * self.idf.get(w, self.unknown) for w, k in Counter(words).items()}
         length = math.sqrt(sum(x * x for x in raw.values()))
+        # no cosine is above the share of the text's length that lies in words of the templates
+        if sum(x * x for w, x in raw.items() if w in self.idf) < (0.999 * self.threshold * length) ** 2:
+            return None
         found = None
         for name, vector in self.vectors:
             dot = sum(x * vector[w] for w, x in raw.items() if w in vector) / length if length else 0.0
@@ -111,30 +118,33 @@ class Templates:
                 found = dot, name
         return found
 
-    def scan(self, text: str) -> tuple[str | None, float | None, int, float | None]:
-        """(licence, cosine, lines with a notice, cosine of the whole text if it reaches the threshold) of a text."""
+    def scan(self, text: str, texts: Templates | None = None) -> tuple[str | None, float | None, int, float | None]:
+        """(licence, cosine, lines with a notice, cosine of the whole text if it reaches the threshold) of a text;
+        `texts` are the templates that only a whole text is compared with."""
         low = text.lower()
-        if not any(w in low for w in self.telling):
+        if not any(w in low for w in self.telling) and not (texts and any(w in low for w in TEXT_HINTS)):
             return None, None, 0, None
         notices = [
             hit for line in low.split("\n") if any(w in line for w in self.telling) and (hit := self.best(license_words(line)))
         ]
-        whole = self.best(license_words(low))
-        best = None
-        for hit in [*notices, *([whole] if whole else [])]:
-            if best is None or hit[0] > best[0] or (hit[0] == best[0] and hit[1] < best[1]):
-                best = hit
+        words = license_words(low)
+        wholes = [hit for known in (self, texts) if known and (hit := known.best(words))]
+        whole = min(wholes, key=lambda h: (-h[0], h[1]), default=None)
+        best = whole if whole and whole[0] >= WHOLE else min([*notices, *wholes], key=lambda h: (-h[0], h[1]), default=None)
         return (best[1], round(best[0], 6), len(notices), whole[0] if whole else None) if best else (None, None, 0, None)
 
 
-def find_licenses(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def find_licenses(
+    files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = THRESHOLD, texts: Mapping[str, str] = TEXTS
+) -> DataFrame:
     """Per row of `files` (file_id, path, text): file_id, path, own_license, score, n_notices, license_file,
     license (own, or the inherited one), inherited_from (the directory, if inherited)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates, threshold)
+        whole = Templates({name: [text] for name, text in texts.items()}, threshold) if texts else None
         for batch in batches:
-            rows = [known.scan(t or "") for t in batch.column("text").to_pylist()]
+            rows = [known.scan(t or "", whole) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("file_id"), batch.column("path"), pa.array([r[0] for r in rows], pa.string()),
                  pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64()),
@@ -146,7 +156,7 @@ def find_licenses(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEM
     schema = f"file_id {id_type}, path string, own_license string, score double, n_notices bigint, whole double"
     scanned = saved(files.select("file_id", "path", "text").mapInArrow(scan, schema), "licenses")
     named = F.coalesce(F.col("path").rlike(NAMES), F.lit(False))
-    scanned = scanned.withColumn("license_file", F.coalesce((F.col("whole") >= WHOLE) | (F.col("whole").isNotNull() & named), F.lit(False)))
+    scanned = scanned.withColumn("license_file", F.coalesce((F.col("whole") >= WHOLE) | (F.col("own_license").isNotNull() & named), F.lit(False)))
     # a null path has a null directory, which joins with nothing
     scanned = scanned.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
     best = F.struct((-F.col("score")).alias("low"), F.col("own_license").alias("license"))

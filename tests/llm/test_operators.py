@@ -229,6 +229,25 @@ def test_licences_and_inheritance(spark):
                    7: ("GPL-3.0", None), 8: ("GPL-3.0", "p/src/deep")}
 
 
+def test_whole_licence_files_grant_their_directory(spark):
+    whole = sorted(licenses.TEXTS)
+    assert {"GPL-3.0", "Apache-2.0", "BSD-3-Clause", "MPL-2.0", "LGPL-3.0", "MIT", "GPL-2.0"} <= set(whole)
+    files = []
+    for k, name in enumerate(whole):
+        # as it is, with a line of the owner, wrapped anew; without a telling name too
+        text = licenses.TEXTS[name]
+        files += [(4 * k, f"{name}/LICENSE", "Copyright 2020 Some Owner\n\n" + text), (4 * k + 1, f"{name}/src/a.py", "x = 1"),
+                  (4 * k + 2, f"{name}/other/legal.txt", " ".join(text.split())), (4 * k + 3, f"{name}/other/b.py", None)]
+    header = "Project x, by y.\n\nThis work is licensed under a Creative Commons Attribution 4.0 International License.\n" + "plain words of a read me, line by line\n" * 40
+    files += [(900, "cc/LICENSE.txt", header), (901, "cc/a.md", "text"), (902, "dd/README", header), (903, "dd/a.md", "text")]
+    got = {r.file_id: r for r in licenses.find_licenses(spark.createDataFrame(files, "file_id int, path string, text string")).collect()}
+    for k, name in enumerate(whole):
+        assert [(got[4 * k + j].license, got[4 * k + j].license_file, got[4 * k + j].inherited_from) for j in range(4)] == [
+            (name, True, None), (name, False, name), (name, True, None), (name, False, f"{name}/other")]
+    assert (got[900].license_file, got[901].license, got[901].inherited_from) == (True, "CC-BY-4.0", "cc")
+    assert (got[902].license_file, got[902].license, got[903].license) == (False, "CC-BY-4.0", None)
+
+
 def test_telling_words_spare_no_notice(spark):
     known = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
     for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect():
