@@ -180,6 +180,17 @@ def test_near_copies_against_brute_force(spark):
             assert r.component_id == r.doc_id and r.kept
 
 
+def test_near_copies_of_the_pipeline_from_80_percent(spark):
+    words = [f"w{k}" for k in range(200)]
+    texts = [words, words[:180] + [f"x{k}" for k in range(20)], words[:150] + [f"y{k}" for k in range(50)]]
+    sets = [set(minhash.shingles(minhash.text_words(" ".join(t)))) for t in texts]
+    assert 0.80 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near copies"]
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == {0, 2}
+    assert {r.doc_id for r in minhash.one_of_each(docs).collect()} == {0, 1, 2}
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(100, 164)] + [(7, k) for k in range(8, 40)] + [(3, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
