@@ -5,8 +5,9 @@ leaves over is shared again. Inside a source every document is then due the same
 size. The whole part is taken as it is; the fractional part is a probability that the cube method turns into 0
 or 1. Its flight takes three documents at a time and moves their probabilities along the one direction that
 changes neither the sum of probabilities (documents) nor that of probability times size (words), until one of
-the three is settled; two stay open in the end. Flights run in groups of bounded size, and what they leave open
-flies again in fewer groups, until one group per source is left. Its last sixteen documents at most are the landing problem:
+the three is settled; two stay open in the end. Texts that are long against their source are settled first, and
+the chances of the others moved to balance them. Flights of sources too large for one group run in groups of bounded
+size that hold documents back for the landing, and what they leave open flies again in fewer groups. Its last sixteen documents at most are the landing problem:
 all choices are compared, and the one nearest in words is taken.
 
 Random choices are keyed by hashes of the document, so runs agree. Defined results: null text has size 0; a null
@@ -30,6 +31,7 @@ WEIGHTS = (5.0, 2.0, 1.0)  # by rank of the source, repeating
 SHARE = 1.0  # of all words
 MOST = 3  # times a source's size
 GROUP = 4096  # documents that fly together
+LONG_MEAN, LONG = 32, 1024  # long: above 32 times the mean of its source, and above 1 in 1024 of its words
 LANDING = 14  # documents of a source held back for its landing, besides the two that a flight leaves open
 
 
@@ -82,9 +84,41 @@ def flight(chance: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarra
         held = [k for k in held if 0 < out[k] < 1]
 
 
-def _fly(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["draw", "doc_key"], kind="stable")
-    group["chance"] = flight(group["chance"].to_numpy(), group["size"].to_numpy(float), group["draw"].to_numpy())
+def _spread(open_: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """Up to `most` of the open documents, evenly spread over the sizes, so that their choices reach sums of all kinds."""
+    by_size = open_[np.argsort(size[open_], kind="stable")]
+    return by_size[np.unique(np.linspace(0, len(by_size) - 1, min(most, len(by_size))).astype(int))] if len(by_size) else by_size
+
+
+def _fly(group: pd.DataFrame, most: int) -> pd.DataFrame:
+    """A flight of all but `most` documents, which are kept for the landing."""
+    group = group.sort_values(["draw", "doc_key"], kind="stable").reset_index(drop=True)
+    chance, size = group["chance"].to_numpy(float).copy(), group["size"].to_numpy(float)
+    open_ = np.flatnonzero((chance > 0) & (chance < 1))
+    flying = open_[~np.isin(open_, _spread(open_, size, most))]
+    chance[flying] = flight(chance[flying], size[flying], group["draw"].to_numpy()[flying])
+    group["chance"] = chance
+    return group
+
+
+def _settle_long(group: pd.DataFrame) -> pd.DataFrame:
+    """The long documents of a source, settled; `_rest` words are in its other documents.
+
+    What they take above or below what is due, the others give: their chances move by `_move`. Of the choices for the
+    two that a flight leaves open, the drawn one is taken if the others can balance it, else the one nearest to that.
+    """
+    group = group.sort_values(["draw", "doc_key"], kind="stable").reset_index(drop=True)
+    before, size, draw = (group[c].to_numpy(float) for c in ("chance", "size", "draw"))
+    rest, chance = float(group["_rest"].iloc[0]), flight(before, size, draw)
+    left = np.flatnonzero((chance > 0) & (chance < 1))
+    choices = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    over = size @ (chance - before) + (choices - chance[left]) @ size[left]
+    move = -over / rest
+    beyond = np.maximum(0, np.maximum(before[0] + move - 1, -(before[0] + move)))
+    drawn = (choices != (draw[left] < chance[left])).sum(axis=1)
+    pick = np.lexsort([drawn, beyond])[0]
+    chance[left] = choices[pick]
+    group["chance"], group["_move"] = chance, move[pick]
     return group
 
 
@@ -94,9 +128,7 @@ def _land(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["draw", "doc_key"], kind="stable").reset_index(drop=True)
     chance, size = group["chance"].to_numpy(float).copy(), group["size"].to_numpy(float)
     open_ = np.flatnonzero((chance > 0) & (chance < 1))
-    # held back: documents evenly spread over the sizes, so that their choices reach sums of all kinds
-    by_size = open_[np.argsort(size[open_], kind="stable")]
-    held = by_size[np.unique(np.linspace(0, len(by_size) - 1, min(LANDING, len(by_size))).astype(int))] if len(by_size) else by_size
+    held = _spread(open_, size, LANDING)
     flying = open_[~np.isin(open_, held)]
     chance[flying] = flight(chance[flying], size[flying], group["draw"].to_numpy()[flying])
     left = np.flatnonzero((chance > 0) & (chance < 1))
@@ -109,21 +141,48 @@ def _land(group: pd.DataFrame) -> pd.DataFrame:
     return group
 
 
+def _without_long(due: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents that are long against their source, settled; the others, due what balances those).
+
+    The flight moves a long text least, so it would stay open to the end, where few others are left to balance it.
+    """
+    open_ = F.col("chance").between(1e-9, 1 - 1e-9)
+    whole = saved(due.where(open_).groupBy("stratum").agg(F.sum("size").alias("_words"), F.count("*").alias("_n")), "words")
+    sized = due.join(beside(whole), "stratum", "left")
+    # at most LONG of them in a source
+    is_long = open_ & (F.col("size") * F.col("_n") > LONG_MEAN * F.col("_words")) & (F.col("size") * LONG > F.col("_words"))
+    long = sized.where(is_long)
+    rest = long.groupBy("stratum").agg((F.first("_words") - F.sum("size")).alias("_rest")).where("_rest > 0")
+    long = long.join(rest, "stratum").select(*due.columns, F.col("_rest").cast("double").alias("_rest"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long.schema.fields)
+    settled = saved(long.groupBy("stratum").applyInPandas(lambda g: _settle_long(g.assign(_move=0.0)), f"{fields}, _move double"), "long")
+    moves = saved(settled.groupBy("stratum").agg(F.first("_move").alias("_move")), "moves")
+    moved = F.when(open_ & F.col("_move").isNotNull(), F.least(F.greatest(F.col("chance") + F.col("_move"), F.lit(0.0)), F.lit(1.0))).otherwise(F.col("chance"))
+    others = sized.where(~F.coalesce(is_long, F.lit(False)) | F.col("_words").isNull()).join(beside(moves), "stratum", "left")
+    # a source of long documents alone has nothing to balance them with; they stay as they are
+    kept = sized.where(is_long).join(beside(moves), "stratum", "left_anti").select(*due.columns)
+    return settled.select(*due.columns), others.withColumn("chance", moved).select(*due.columns).unionByName(kept)
+
+
 def _settled(due: DataFrame) -> DataFrame:
     """`due` (stratum, doc_key, size, chance, draw) with every chance 0 or 1, in rounds of fewer groups."""
     schema = due.schema
-    parts = []
+    long, due = _without_long(due)
+    parts = [long]
+    most = min(LANDING, GROUP // 8)
+    due = saved(due, "others")
     while True:
-        # every round keeps two documents of up to GROUP, so a few rounds do for any number
+        # every round keeps few documents of up to GROUP, so a few rounds do for any number
         counts = due.groupBy("stratum").agg(F.count("*").alias("_n")).select("stratum", F.ceil(F.col("_n") / GROUP).alias("_groups"))
-        counts = saved(counts, "strata")
-        most = counts.agg(F.max("_groups")).first()[0]
-        if most is None or most <= 1:
+        counts = saved(counts.where("_groups > 1"), "strata")
+        if counts.isEmpty():
             return _union([*parts, due.groupBy("stratum").applyInPandas(_land, schema)])
+        # a source of one group waits for its landing, whatever the size of the others
         placed = due.join(beside(counts), "stratum").withColumn("_g", F.pmod(F.xxhash64("doc_key", F.lit(len(parts))), F.col("_groups")))
-        flown = saved(placed.drop("_groups").groupBy("stratum", "_g").applyInPandas(lambda g: _fly(g.drop(columns="_g")), schema), "flight")
+        flown = saved(placed.drop("_groups").groupBy("stratum", "_g").applyInPandas(lambda g: _fly(g.drop(columns="_g"), most), schema), "flight")
         parts.append(flown.where("chance <= 0 OR chance >= 1"))
-        due = flown.where("chance > 0 AND chance < 1")
+        waiting = due.join(beside(counts), "stratum", "left_anti")
+        due = saved(waiting.unionByName(flown.where("chance > 0 AND chance < 1")), "open")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

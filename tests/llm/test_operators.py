@@ -375,6 +375,26 @@ def test_flights_in_groups_keep_the_totals(spark, monkeypatch):
         assert abs(sum(r.copies for r in mine) - len(mine) * mine[0].target / mine[0].source_size) <= 5
 
 
+def test_a_source_lands_alike_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 128)
+    goal = spark.createDataFrame([(1, i, 1 + i * i % 97, 0.4, (i * 37 % 100) / 100) for i in range(100)], "stratum long, doc_key long, size long, chance double, draw double")
+    large = spark.range(1000).selectExpr("2L stratum", "id + 1000 doc_key", "1 + id % 50 size", "0.4D chance", "(id * 7 % 1000) / 1000D draw")
+    alone = {r.doc_key: r.chance for r in mixing._settled(goal).collect()}
+    both = {r.doc_key: r.chance for r in mixing._settled(goal.unionByName(large)).collect()}
+    assert len(both) == 1100 and set(both.values()) <= {0.0, 1.0} and alone == {k: both[k] for k in alone}
+    sizes = {1000 + i: 1 + i % 50 for i in range(1000)}
+    assert abs(sum(both[k] * n for k, n in sizes.items()) - 0.4 * sum(sizes.values())) <= 2
+
+
+def test_a_very_long_text_is_balanced_by_the_others(spark):
+    for seed in range(4):
+        rows = [(1, k, 200 + (k * (seed + 3)) % 73, 0.4, float((k * 7919 + seed * 131) % 1000) / 1000) for k in range(800)]
+        rows.append((1, 9000 + seed, 60_000, 0.4, (seed * 0.3) % 1))
+        out = mixing._settled(spark.createDataFrame(rows, "stratum long, doc_key long, size long, chance double, draw double")).collect()
+        assert len(out) == 801 and {r.chance for r in out} <= {0.0, 1.0}
+        assert abs(sum(r.chance * r.size for r in out) - 0.4 * sum(r[2] for r in rows)) <= 60
+
+
 def test_repeated_rows_share_their_copies(spark):
     docs = odd(spark)
     out = Counter(tuple(r) for r in mixing.repeat_documents(docs).collect())
