@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import classifier, embeddings, licenses, minhash, mixing, packing, pii, quality_rules, tokens, url_filters
+from faultline.llm import (
+    classifier, embeddings, fingerprints, licenses, minhash, mixing, packing, periodic_runs, pii, quality_rules, tokens, url_filters, whitening,
+)
 from faultline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +86,31 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_mixing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(table(spark, folder, "embeddings"))
+    each = white.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "part"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"),
+        "part.whitened", "part.explained", "identity_error",
+    )
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, folder, "documents")))
+    found = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_fingerprints")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
