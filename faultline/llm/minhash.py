@@ -12,8 +12,10 @@ confirmed on the full sets. So a link between different texts is lost only if no
 10^-6 at the threshold) or the estimate is that far off.
 
 Defined results: null or blank texts have an empty set and stay alone; a null doc_id stays alone with a null
-component and is kept; rows that share a doc_id are one node per text, and nodes that share a smallest doc_id
-are one; repeated rows each give a row; other columns are ignored.
+component and is kept; a node is a text, so rows that share a doc_id are linked only if their texts are, and a
+component is named by the smallest doc_id of its rows; repeated rows each give a row; other columns are ignored.
+Of each component `one_of_each` keeps the row with the smallest doc_id, of several texts under it the one with the
+smallest hash, of equal texts the first by the other columns; rows without words stay, one per doc_id and text.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.common import components, saved
@@ -101,6 +103,11 @@ def band_keys(low: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(bands[b].tobytes(), b) - 2**63 for b in range(BANDS)]
 
 
+def text_key(tokens: list[bytes]) -> bytes | None:
+    """128 bits, the same for texts of the same words."""
+    return xxhash.xxh3_128_digest(b" ".join(tokens)) if tokens else None
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, keys, bands = [], [], []
@@ -108,20 +115,21 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = text_words(text)
             cells = shingles(tokens)
             sizes.append(len(cells))
-            keys.append(xxhash.xxh3_128_digest(b" ".join(tokens)) if tokens else None)
+            keys.append(text_key(tokens))
             bands.append(band_keys(signature(cells, BANDS * ROWS)) if tokens else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "text_key", "bands"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            ["doc_id", "text_hash", "n_shingles", "text_key", "bands"],
         )
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        cells = [shingles(text_words(t)) for t in batch["text"]]
+        tokens = [text_words(t) for t in batch["text"]]
+        cells = [shingles(t) for t in tokens]
         lows = [signature(c, BYTES) for c in cells]
         yield pd.DataFrame({
-            "node": batch["node"],
+            "text_key": [text_key(t) for t in tokens],
             "n": [len(c) for c in cells],
             "cells": [c.tobytes() for c in cells],
             "sig": [x.astype(np.uint8).tobytes() for x in lows],
@@ -216,25 +224,34 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return meet.groupBy("bucket", "i", "j").applyInPandas(lambda g: _block_pairs(g, percent), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+def text_hash() -> Column:
+    """Tells texts apart, null and empty ones too."""
+    return F.md5(F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("n")))
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """Per row of `docs`: doc_id, text_hash, n_shingles, node and component (a node; null for rows that link with nothing)
+    and low, the smallest doc_id of the component."""
     pairs_schema = "a bigint, b bigint"
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketched = source.select("doc_id", "text", text_hash().alias("text_hash"))
     sketches = saved(
-        source.mapInArrow(_sketches, "doc_id bigint, n_shingles bigint, text_key binary, bands array<bigint>"), "sketches"
+        sketched.mapInArrow(_sketches, "doc_id bigint, text_hash string, n_shingles bigint, text_key binary, bands array<bigint>"), "sketches"
     )
-    # every doc_id here is known; texts with the same words are one node, named by their smallest doc_id
+    # every doc_id here is known; texts with the same words are one node, whose number is that of its row in the saved table
     known = sketches.where("doc_id IS NOT NULL AND text_key IS NOT NULL")
-    nodes = saved(known.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    texts = known.groupBy("text_key").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
+    nodes = saved(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     first = rows.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     shared = saved(rows.join(first.select("bucket", "first"), "bucket"), "buckets")
 
-    wanted = shared.select("node").distinct()
-    texts = source.join(wanted, source.doc_id == wanted.node, "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = saved(
-        texts.select(F.col("doc_id").alias("node"), "text").mapInPandas(_sets, "node bigint, n bigint, cells binary, sig binary, keys binary"), "sets"
-    )
+    wanted = saved(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("text_key", "node", "low"), "wanted")
+    # a doc_id may have several texts: the sets of all of them are made, and those of the wanted ones kept, once each
+    read = source.join(wanted.select("low").distinct(), source.doc_id == F.col("low"), "left_semi").dropDuplicates(["doc_id", "text"])
+    made = read.select("text").mapInPandas(_sets, "text_key binary, n bigint, cells binary, sig binary, keys binary")
+    made = made.join(wanted.select("text_key", "node"), "text_key").drop("text_key")
+    sets = saved(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "cells", "sig", "keys")]), "sets")
     stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     likely = _pairs_with(stars, sets, "n", "sig").mapInPandas(lambda it: _estimated(it, percent), pairs_schema)
     links = saved(confirm(likely, sets, percent), "links")
@@ -248,20 +265,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     bridges = bridges.join(tight.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
     joined = components(bridges.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
 
-    final = nodes.select("text_key", "node").join(tight, "node", "left").select("text_key", F.coalesce("component", "node").alias("near"))
+    final = nodes.select("text_key", "node", "low").join(tight, "node", "left").withColumn("near", F.coalesce("component", "node")).drop("component")
     final = final.join(joined.select(F.col("node").alias("near"), "component"), "near", "left")
-    final = final.select("text_key", F.coalesce("component", "near").alias("found"))
-    return sketches.join(final, "text_key", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("found", "doc_id"), F.lit(True)).alias("kept"),
+    final = saved(final.select("text_key", "low", F.coalesce("component", "near").alias("component")), "texts")
+    lowest = final.groupBy("component").agg(F.min("low").alias("low"))
+    named = final.select("text_key", "component").join(lowest, "component")
+    # rows without a key stay out of the join, where they would all meet in one task
+    linked = known.select("doc_id", "text_hash", "n_shingles", "text_key").join(named, "text_key", "left").drop("text_key")
+    alone = sketches.where("doc_id IS NULL OR text_key IS NULL").select("doc_id", "text_hash", "n_shingles")
+    return linked.unionByName(alone, allowMissingColumns=True)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    component = F.coalesce("low", "doc_id")
+    return _grouped(docs, percent).select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 
 
 def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of `docs` that stay, one per group of near copies and one per doc_id; a null doc_id stays."""
-    kept = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """The rows of `docs` that stay, one per group of near copies; rows with a null doc_id stay."""
+    rows = _grouped(docs.where("doc_id IS NOT NULL"), percent)
+    best = F.min(F.struct("doc_id", "text_hash"))
+    chosen = rows.where("component IS NOT NULL").groupBy("component").agg(best.alias("best")).select("best.*")
+    chosen = saved(chosen.union(rows.where("component IS NULL").select("doc_id", "text_hash").distinct()), "chosen")
+    mine = chosen.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"))
+    hashed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_d"), text_hash().alias("_h"))
+    kept = hashed.join(mine, (F.col("_d") == F.col("_doc_id")) & (F.col("_h") == F.col("_text_hash")), "left_semi")
+    # repeated rows: the limit on the rank is applied before the shuffle
+    order = Window.partitionBy("_d", "_h").orderBy(F.to_json("_row"))
+    kept = kept.withColumn("_no", F.row_number().over(order)).where("_no = 1")
+    columns = [F.col(f"_row.`{c}`") for c in docs.columns]
+    return kept.select(*columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 ORACLE_SQL = r"""
