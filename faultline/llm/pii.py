@@ -9,25 +9,31 @@ hash of fixed shape, the same for equal values. Texts are cut at the matches and
 |---|---|---|
 | email | local@domain.tld | keyed hash at a reserved domain |
 | key | AKIA and 16 capitals or digits | AKIA and 16 keyed hex capitals |
-| secret | a word such as password or token, = or :, a value; runs of 32 hex digits or more | keyed hash of the same length |
+| secret | a word such as password or token, = or :, a value of any length, quoted or up to a blank; bearer tokens, signed web tokens, vendor keys; runs of 32 hex digits or more | keyed hash of the same length |
+| secret | a private key block, also one without its end | its first and last line, between them a keyed hash |
 | iban | two letters, two digits, 11 to 30 more, check sum 97; runs of whole groups, of the country's length first | digits permuted, check digits made right |
 | ip | four parts of 0 to 255 | 32 bits permuted |
+| ip | eight hex groups, or fewer and ::, with a digit | 128 bits permuted, written as eight groups |
 | date | yyyy-mm-dd (also with / or .), dd.mm.yyyy, mm/dd/yyyy in the calendar, 1900 to 2099 | days permuted |
 | ssn | ddd-dd-dddd in the allowed ranges | digits permuted inside the ranges |
-| phone | +1 or (ddd) and the like; + and 8 to 15 digits | digits permuted inside the numbering plan |
+| phone | +1 or (ddd) and the like; + and 8 to 15 digits; 0, an area code, a gap and the rest, 9 to 12 digits | digits permuted inside the numbering plan |
 | card | 13 to 19 digits with right check digit; runs of whole groups, usual groupings first | all but the check digit permuted, check digit made right |
 
 Defined results: null text stays null, with counts of 0; text without a match stays as it is, byte for byte; a
 candidate that fails its check stays; ids, repeated rows and further columns pass through; a column named like
-a count is replaced by it.
+a count is replaced by it. The key is given, or `spark.faultline.pseudonymKey` of the session; without either a
+built-in one is used with a warning, as whoever knows it can undo the permutations.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_KEY = "faultline-pseudonyms"
+KEY_SETTING = "spark.faultline.pseudonymKey"
 ROUNDS = 10
 
 # characters of an account number by country; other countries may have any length
@@ -40,15 +46,29 @@ IBAN_LENGTHS = {
     }.items() for c in countries.split()
 }
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+_NAME = r"A-Za-z0-9._%+\p{L}\p{N}-"
+EMAIL = rf"(?<![{_NAME}])[{_NAME}]++@(?:[A-Za-z0-9\p{{L}}\p{{N}}-]{{1,63}}\.){{1,8}}[A-Za-z\p{{L}}]{{2,24}}"
 KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 HEX = r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])"
+_NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}"
+# a key of a known maker keeps what names the maker
+_MAKER = r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_(?:live|test)_|sk-|AIza)"
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,.-]{0,199}[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\r\n]*+)"
+)
 SECRET = (
-    r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:[ \t]{0,4}[=:][ \t]{0,4})"
-    r"[\"']?[A-Za-z0-9_+/.~-]{6,512}|" + HEX
+    rf"(?<![A-Za-z0-9]){_NAMED}(?:\"[^\"\r\n]{{6,}}+\"|'[^'\r\n]{{6,}}+'|[\"']?[^\s\"'<>]{{6,}}+)"
+    r"|(?<![A-Za-z0-9])(?i:bearer)[ \t]{1,4}[A-Za-z0-9._~+/=-]{16,}+"
+    r"|(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++"
+    rf"|(?<![A-Za-z0-9_]){_MAKER}[A-Za-z0-9_-]{{16,}}+|{PRIVATE_KEY}|{HEX}"
 )
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+# eight groups, or up to seven around a double colon; a digit must be among them, as words of a to f may stand around one too
+_H = "[0-9a-fA-F]{1,4}"
+IPV6 = (
+    rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{{0,28}}[0-9])(?:(?:{_H}:){{7}}{_H}|(?:{_H}(?::{_H}){{0,5}})?::{_H}(?::{_H}){{0,5}})(?![0-9A-Za-z:])"
+)
 DATE = (
     r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|(?:19|20)[0-9]{2}\.[0-9]{2}\.[0-9]{2}"
     r"|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])"
@@ -56,6 +76,7 @@ DATE = (
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 US_PHONE = r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\)[ ]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
 PHONE = r"\+[1-9](?:[ ()/.-]{0,2}[0-9]){7,14}(?![0-9])"
+NATIONAL = r"(?<![0-9+./-])0[1-9][0-9]{1,4}[ /-][0-9]{2,8}(?:[ -][0-9]{2,4}){0,3}(?![0-9]|[./-][0-9])"
 # what may stand right beside a number and is no part of it
 _BESIDE = "|".join(f"(?:{p})" for p in (EMAIL, KEY, SECRET, IP, DATE, SSN, US_PHONE))
 _GAP = rf"(?: (?!{_BESIDE}))?+"
@@ -71,14 +92,16 @@ _ACCOUNT = rf"(?:{_OF_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?:{_GAP}[0-9A-Z]{{4}}){{2,7}
 ACCOUNT = rf"(?<![A-Za-z0-9]){_ACCOUNT}(?:[ -](?!{_BESIDE})(?:{_ACCOUNT}|[0-9]++(?![A-Za-z0-9])))*+"
 # in this order, as the first that fits at a place is taken
 KINDS = {
-    "email": EMAIL, "key": KEY, "secret": SECRET, "iban": ACCOUNT, "ip": IP, "date": DATE, "ssn": SSN, "us_phone": US_PHONE,
-    "phone": PHONE, "card": CARD,
+    "email": EMAIL, "key": KEY, "secret": SECRET, "iban": ACCOUNT, "ip": IP, "ipv6": IPV6, "date": DATE, "ssn": SSN, "us_phone": US_PHONE,
+    "phone": PHONE, "national": NATIONAL, "card": CARD,
 }
+# kinds that are counted under another's name
+_COUNTED_AS = {"us_phone": "phone", "national": "phone", "ipv6": "ip"}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 COUNTED = ("email", "key", "secret", "iban", "ip", "date", "ssn", "phone", "card")
 COUNTS = [f"n_{k}" for k in COUNTED]
 # every kind holds one of these: spares most texts the search
-HINT = "[0-9@=:]|AKIA"
+HINT = "[0-9@=:]|AKIA|-----BEGIN|eyJ|(?i:bearer)|gh[pousr]_|xox[abprs]-|sk[_-]"
 LONGEST = 34  # characters of an account number
 # numbers as cards bear them; other groupings count where no such number is among them
 CARD_GROUPS = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
@@ -274,6 +297,37 @@ def _ip(value: Column, key: str) -> Column:
     return _with(F.split(value, r"\."), lambda p: F.when(valid(p), made(p)).otherwise(value))
 
 
+def _ipv6(value: Column, key: str) -> Column:
+    """All 128 bits, in two halves of 64 that are mixed by exclusive or; equal addresses stay equal however they are written."""
+
+    def group(side: Column) -> Column:
+        return F.filter(F.split(side, ":"), lambda g: g != "")
+
+    def whole(sides: Column) -> Column:
+        head, tail = group(F.get(sides, 0)), group(F.coalesce(F.get(sides, 1), F.lit("")))
+        zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(head) - F.size(tail))
+        return F.array_join(F.transform(F.concat(head, zeros, tail), lambda g: F.lpad(F.lower(g), 4, "0")), "")
+
+    def half(text: Column) -> Column:
+        return F.conv(text, 16, -10).cast("bigint")
+
+    def mixed(state: Column, k: Column, side: str) -> Column:
+        return half(F.substring(_digest(key, F.lit("ipv6"), k, state[side]), 1, 16))
+
+    def made(digits: Column) -> Column:
+        start = F.struct(half(F.substring(digits, 1, 16)).alias("l"), half(F.substring(digits, 17, 16)).alias("r"))
+        out = F.aggregate(
+            F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start,
+            lambda s, k: F.when(k % 2 == 0, F.struct(s["l"].bitwiseXOR(mixed(s, k, "r")).alias("l"), s["r"].alias("r"))).otherwise(
+                F.struct(s["l"].alias("l"), s["r"].bitwiseXOR(mixed(s, k, "l")).alias("r"))),
+        )
+        written = _with(out, lambda o: F.concat(*[F.lpad(F.lower(F.hex(o[x])), 16, "0") for x in ("l", "r")]))
+        return _with(written, lambda w: F.concat_ws(":", *[F.lower(F.hex(half(F.substring(w, 4 * g + 1, 4)))) for g in range(8)]))
+
+    fits = lambda sides: F.size(group(F.get(sides, 0))) + F.size(group(F.coalesce(F.get(sides, 1), F.lit("")))) <= 8
+    return _with(F.split(value, "::"), lambda sides: F.when(fits(sides), _with(whole(sides), made)).otherwise(value))
+
+
 def _date(value: Column, key: str) -> Column:
     def made(form: str) -> Column:
         day = F.try_to_timestamp(value, F.lit(form)).cast("date")
@@ -325,6 +379,17 @@ def _phone(value: Column, key: str) -> Column:
     )
 
 
+def _national(value: Column, key: str) -> Column:
+    """A number as dialled inside its country: 0 and the digit after it stay."""
+    return _with(
+        _only_digits(value),
+        lambda d: F.when(
+            F.char_length(d).between(9, 12),
+            refill(value, F.concat(F.substring(d, 1, 2), permute_digits(F.substring(d, F.lit(3), F.char_length(d)), key, "national"))),
+        ).otherwise(value),
+    )
+
+
 def _email(value: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(_digest(key, F.lit("email"), F.lower(value)), 1, 16), F.lit("@mail.invalid"))
 
@@ -334,16 +399,24 @@ def _key(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    """The naming word, if any, stays; the value after it becomes as many hex digits."""
-    named = r"^((?i)[a-z_-]+[ \t]{0,4}[=:][ \t]{0,4}[\"']?)"
+    """The naming word, if any, and quotes stay; what is secret becomes as many hex digits."""
+    named = rf"^({_NAMED}[\"']?|(?i:bearer)[ \t]{{1,4}}|{_MAKER})"
     head = F.regexp_extract(value, named, 1)
-    tail = F.substring(value, F.char_length(head) + 1, F.char_length(value))
-    spread = F.repeat(_digest(key, F.lit("secret"), tail), F.ceil(F.char_length(tail) / 64).cast("int"))
-    return F.concat(head, F.substring(spread, F.lit(1), F.char_length(tail)))
+    quote = F.when(head.rlike("[\"']$") & (F.right(value, F.lit(1)) == F.right(head, F.lit(1))), F.right(head, F.lit(1))).otherwise(F.lit(""))
+
+    def spread(tail: Column) -> Column:
+        long = F.repeat(_digest(key, F.lit("secret"), tail), F.ceil(F.char_length(tail) / 64).cast("int"))
+        return F.substring(long, F.lit(1), F.char_length(tail))
+
+    between = F.substring(value, F.char_length(head) + 1, F.char_length(value) - F.char_length(head) - F.char_length(quote))
+    first, last = F.regexp_extract(value, "^-----BEGIN [A-Z ]{0,40}KEY-----", 0), F.regexp_extract(value, "-----END [A-Z ]{0,40}KEY-----$", 0)
+    block = F.concat(first, F.lit("\n"), _digest(key, F.lit("block"), F.regexp_replace(value, r"\s", "")), F.lit("\n"), last)
+    return F.when(first != "", block).otherwise(F.concat(head, _with(between, spread), quote))
 
 
 _MADE = {
-    "email": _email, "key": _key, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "us_phone": _us_phone, "phone": _phone,
+    "email": _email, "key": _key, "secret": _secret, "ip": _ip, "ipv6": _ipv6, "date": _date, "ssn": _ssn, "us_phone": _us_phone, "phone": _phone,
+    "national": _national,
 }
 
 
@@ -358,7 +431,7 @@ def _replaced(value: Column, key: str) -> Column:
     chosen = one(F.lit(None).cast("string"), value)
     for kind in reversed(KINDS):
         if kind in _MADE:
-            made = one(F.lit("phone" if kind == "us_phone" else kind), _MADE[kind](value, key))
+            made = one(F.lit(_COUNTED_AS.get(kind, kind)), _MADE[kind](value, key))
             chosen = F.when(value.rlike(f"^(?:{KINDS[kind]})$"), made).otherwise(chosen)
         elif kind == "iban":
             # groups of digits too: the first kind that fits is taken, and what begins with a digit is none of the others
@@ -367,8 +440,16 @@ def _replaced(value: Column, key: str) -> Column:
     return chosen
 
 
-def _matched(docs: DataFrame, key: str) -> tuple[DataFrame, Column, Column]:
+def session_key(docs: DataFrame, key: str | None) -> str:
+    found = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not found:
+        warnings.warn(f"no key given and {KEY_SETTING} is not set: pseudonyms made with the built-in key can be undone", stacklevel=3)
+    return found or DEFAULT_KEY
+
+
+def _matched(docs: DataFrame, key: str | None) -> tuple[DataFrame, Column, Column]:
     """The rows as a struct with the matches of their texts, the new text, and the matches that changed."""
+    key = session_key(docs, key)
     text = F.col("text")
     hit = text.rlike(HINT)
 
@@ -385,13 +466,13 @@ def _matched(docs: DataFrame, key: str) -> tuple[DataFrame, Column, Column]:
     return found, new, F.filter("_found", lambda m: m["changed"])
 
 
-def mask_texts(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def mask_texts(docs: DataFrame, key: str | None = None) -> DataFrame:
     """`docs` with pseudonyms in `text`; all other columns as they are."""
     found, new, _ = _matched(docs, key)
     return found.select(*[new.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
-def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
     """`docs` with pseudonyms in `text`, and a count of replaced values per kind (n_email and so on)."""
     found, new, changed = _matched(docs, key)
     others = [new.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c not in COUNTS]
