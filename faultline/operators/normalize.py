@@ -132,18 +132,28 @@ NORMALIZERS: dict[str, Normalizer] = {
 
 
 # --- operators ----------------------------------------------------------------------------------
+def with_ids(payloads: DataFrame) -> DataFrame:
+    """Adds `incident_id` if there is none: a hash of source, text, and the place in the source or else the arrival.
+
+    Equal lines at different places are separate events, and a line keeps its id however often and late it is read.
+    """
+    if "incident_id" in payloads.columns:
+        return payloads
+    place = F.col("arrival_ts").cast("string")
+    if "position" in payloads.columns:
+        place = F.coalesce("position", place)
+    content = F.concat_ws("|", "source_system", F.coalesce(place, F.lit("")), "raw")
+    return payloads.withColumn("incident_id", F.substring(F.sha2(content, 256), 1, 32))
+
+
 def normalize(df: DataFrame, normalizers: Mapping[str, Normalizer] | None = None) -> DataFrame:
     """raw, source_system, arrival_ts -> the event columns and `reasons`, in one pass.
 
     `reasons` is empty for a good event; see `accepted` and `rejected`. Rows keep an `incident_id` they
-    bring along, else get one from their content and, where the source gives it, their `position` there: equal
-    lines are separate events.
+    bring along, else get one, see `with_ids`.
     """
     normalizers = {**NORMALIZERS, **(normalizers or {})}
-    if "incident_id" not in df.columns:
-        place = [F.coalesce("position", F.lit(""))] if "position" in df.columns else []
-        content = F.concat_ws("|", "source_system", F.col("arrival_ts").cast("string"), *place, "raw")
-        df = df.withColumn("incident_id", F.substring(F.sha2(content, 256), 1, 32))
+    df = with_ids(df)
     df = computed_once(df, "_variant", parse_object("raw"))
     parsed = F.col("_variant").isNotNull()
     # two steps per source: only the keys of a row's own source are read, and each generated method stays small

@@ -1,6 +1,7 @@
 """All named queries."""
 
 from faultline.plans import (  # noqa: F401
+    folder_queries,
     ingest_queries,
     service_queries,
     state_queries,

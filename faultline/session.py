@@ -68,9 +68,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     local = spark.sparkContext.master.startswith("local")
     if folder and not local and spark.conf.get("spark.faultline.mountedCheckpointDir", "false") != "true":
-        # a bare path is in the default file system
-        scheme = folder.split(":", 1)[0] if ":" in folder else "file" if spark.conf.get("spark.hadoop.fs.defaultFS", "").startswith("file") else ""
-        if scheme == "file":
+        # a bare path is in the default file system, whichever setting names that
+        if _path(spark, folder)[1].getScheme() == "file":
             raise RuntimeError("spark.checkpoint.dir is local; set spark.faultline.mountedCheckpointDir=true if all executors mount it")
     if folder:
         return folder.rstrip("/")
@@ -81,6 +80,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _path(spark, path)
+    return files.exists(at)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is directly in a folder; none if there is no such folder."""
+    at, files = _path(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Take away a folder this library made."""
+    at, files = _path(spark, path)
+    files.delete(at, True)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder, so later reads see the same rows in the same partitions."""
     context = df.sparkSession.sparkContext

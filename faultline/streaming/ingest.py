@@ -10,8 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from faultline.operators.evaluate import cycle_summary
 from faultline.operators.ingest import ingest
-from faultline.sources.buffer import messages
 from faultline.operators.normalize import incident_type_from_error
+from faultline.sources.buffer import messages
+from faultline.sources.payloads import with_positions
 
 MIN_INTERVAL, MAX_INTERVAL = 1, 60
 
@@ -27,9 +28,8 @@ def run_cycle(payloads: DataFrame, batch_id: int, root: str, retrieve: Callable[
     `retrieve` maps the records to their neighbours (query_id, record_id, ...) among what earlier cycles
     stored; it runs before the records of this cycle are written, so none finds itself.
     """
-    if "position" in payloads.columns:
-        # equal lines of one file are told apart by their number in the micro-batch
-        payloads = payloads.withColumn("position", F.concat_ws(":", "position", F.lit(batch_id), F.monotonically_increasing_id()))
+    if {"file", "split"} <= set(payloads.columns):
+        payloads = with_positions(payloads)
     payloads = payloads.persist()
     done = ingest(payloads)
     records = done.records.withColumn("cycle_id", F.lit(batch_id)).persist()
