@@ -52,6 +52,39 @@ def running_totals(
     )
 
 
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], highest_before: Mapping[str, Column],
+    blocks: int | None = None,
+) -> DataFrame:
+    """Adds, per key and in order, sums up to and including the row, and the highest values of the rows before it."""
+    names = {**sums, **{n: c for n, c in highest_before.items()}}
+    ranged = ordered_blocks(df.withColumns(names), keys, order, blocks)
+    groups = [*keys, BLOCK]
+    inside = Window.partitionBy(*groups).orderBy(*order)
+    upto, earlier = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per key and block it touches
+    carry = ranged.groupBy(*groups).agg(
+        *[F.sum(n).alias(f"_t_{n}") for n in sums], *[F.max(n).alias(f"_t_{n}") for n in highest_before]
+    )
+    carry = carry.select(
+        *[F.col(g).alias(f"_k_{g}") for g in groups],
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
+        *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in highest_before],
+    )
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in groups])
+    inner = ranged.withColumns(
+        {**{n: F.sum(n).over(upto) for n in sums}, **{n: F.max(n).over(earlier) for n in highest_before}}
+    )
+    joined = inner.join(carry, same)
+    return joined.select(
+        *[F.col(c) for c in df.columns if c not in names],
+        *[(F.col(n) + F.col(f"_c_{n}")).alias(n) for n in sums],
+        # null is lower than all
+        *[F.greatest(n, f"_c_{n}").alias(n) for n in highest_before],
+    )
+
+
 def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_no", blocks: int | None = None
 ) -> DataFrame:

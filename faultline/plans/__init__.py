@@ -6,6 +6,7 @@ from faultline.plans import (  # noqa: F401
     service_queries,
     state_queries,
     stream_queries,
+    sweep_queries,
     trend_queries,
     window_queries,
 )

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.operators import slo
 from faultline.plans import ingest_queries  # noqa: F401  (registers the SQL used below)
 from faultline.plans.registry import SQL, query
 from faultline.plans.service_queries import greedy_sql
-from faultline.plans.window_queries import HRS
-from faultline.plans.workload import incidents_of, payloads_of, stamp
-from faultline.session import shared_folder
-from faultline.streaming.alerts import start_cooldown
+from faultline.plans.window_queries import ASSESSMENT, HRS, PATTERN, STEPS
+from faultline.plans.workload import incidents_of, payloads_of, stamp, table
+from faultline.session import shared_folder, stable
+from faultline.streaming.alerts import alert_states, start_cooldown
 from faultline.streaming.ingest import start_ingest
-from faultline.streaming.windows import stream_service_summary, write_windows
+from faultline.streaming.windows import flush, start_windows, window_reports, window_summaries
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,22 +31,71 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/faultline-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _pieces(spark: SparkSession, df: DataFrame, root: str, piece: Column) -> DataFrame:
+    """`df` as a stream of files, one per micro-batch, in the order of `piece`."""
+    for k in sorted(r[0] for r in df.select(piece.alias("p")).distinct().collect()):
+        df.where(piece == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+
+def _windows(spark: SparkSession, folder: str) -> str:
+    """All windows of the events table, which comes in two pieces: the second is late all over the time covered."""
+    root = _place(spark, "windows")
+    events = table(spark, folder, "events")
+    stream = incidents_of(_pieces(spark, events, root, F.col("event_id") % 2))
+    start_windows(stream, root, 3600, ts="ts", every=None).awaitTermination()
+    flush(spark, root, 3600)
+    return root
+
+
 @query(
     "stream_window_summary",
     f"""WITH {HRS} SELECT strftime(make_timestamp(batch_id * 3600000000), '%Y-%m-%d %H:%M:%S') AS window_start, service,
       CAST(count AS BIGINT) AS count, dominant_severity, array_to_string(types, ',') AS incident_types, CAST(urgent AS BIGINT) AS urgent
-    FROM w1 WHERE (batch_id + 1) * 3600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM inc)""",
+    FROM w1""",
 )
 def stream_window_summary(spark, folder):
-    root = _place(spark, "windows")
-    summary = stream_service_summary(incidents_of(_events(spark, folder)), 3600, ts="ts")
-    write_windows(summary, f"{root}/out", f"{root}/progress").awaitTermination()
-    out = spark.read.schema(summary.schema).parquet(f"{root}/out")
+    out = window_summaries(spark, _windows(spark, folder))
     return out.withColumns(
         {"window_start": F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), "incident_types": F.array_join("incident_types", ",")}
     )
 
 
+@query(
+    "stream_window_report",
+    f"""WITH {HRS}, n AS (SELECT batch_id, string_agg(service || ':' || count || ':' || dominant_severity || ':'
+        || array_to_string(types, ','), ';' ORDER BY service) AS events_by_service,
+        string_agg(service, ',' ORDER BY service) AS services_affected FROM w1 GROUP BY batch_id)
+    SELECT strftime(make_timestamp(batch_id * 3600000000), '%Y-%m-%d %H:%M:%S') AS window_start, CAST(n AS BIGINT) AS event_count,
+      CAST(u AS BIGINT) AS urgent_count, {ASSESSMENT} AS overall_assessment, {PATTERN} AS critical_pattern, {STEPS} AS recommended_actions,
+      events_by_service, services_affected FROM rep JOIN n USING (batch_id)""",
+)
+def stream_window_report(spark, folder):
+    report = window_reports(spark, _windows(spark, folder), 3600)
+    entry = F.transform(
+        "events_by_service",
+        lambda e: F.concat_ws(":", e["service"], e["count"].cast("string"), e["dominant_severity"], F.array_join(e["incident_types"], ",")),
+    )
+    return report.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_count", "urgent_count", "overall_assessment",
+        "critical_pattern", F.array_join("recommended_actions", "|").alias("recommended_actions"),
+        F.array_join(entry, ";").alias("events_by_service"), F.array_join("services_affected", ",").alias("services_affected"),
+    )
+
+
+@query("stream_alert_states", SQL["alert_stalled"])
+def stream_alert_states(spark, folder):
+    """The step conditions of stalled sources, day after day."""
+    root = _place(spark, "states")
+    conditions = stable(slo.stalled(incidents_of(table(spark, folder, "events")), "ts", 60, 300, ["source_system"]))
+    stream = _pieces(spark, conditions, root, F.floor(F.col("tick") / (7 * 86400)))
+    states = alert_states(stream, 600, ["source_system"], expiry=None)
+    writer = states.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/_progress")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(states.schema).parquet(f"{root}/out")
+    return out.select("source_system", "tick", "breached", "state", "active_since")
+
+
 @query("stream_ingest_records", SQL["ingest_records"])
 def stream_ingest_records(spark, folder):
     root = _place(spark, "ingest")

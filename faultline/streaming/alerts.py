@@ -1,5 +1,8 @@
 """Cooldown and hold-for alerts over a stream.
 
+`alert_states` keeps, in Spark's own state store, when the condition of a series began to hold, for the series where it holds
+now and no longer than `expiry` after it was last seen. The other functions work per micro-batch:
+
 State is a small table (a row per alert name, or per series) in the shared folder, one version per
 micro-batch: batch n reads version n - 1 and writes version n, so a batch that runs again after a failure
 gives the same rows. Within a batch the work is the batch operator, so a hot name is spread over tasks.
@@ -7,11 +10,13 @@ gives the same rows. Within a batch the work is the batch operator, so a hot nam
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from faultline.operators.cooldown import hold_off
 from faultline.operators.slo import TICK, alert_state
@@ -69,6 +74,58 @@ def alert_state_batch(conditions: DataFrame, before: DataFrame | None, hold: int
     return states, last
 
 
+class HoldFor(StatefulProcessor):
+    """States of one series, from the start of its unbroken run of true steps."""
+
+    def __init__(self, by: Sequence[str], hold: int, expiry: int | None):
+        self.by, self.hold, self.expiry = list(by), hold, expiry
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # no entry: the condition did not hold at the last step
+        self.since = handle.getValueState("since", "since long", ttlDurationMs=None if self.expiry is None else 1000 * self.expiry)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # the steps of one series in one micro-batch: as many as the time it covers has
+        steps = pd.concat(list(rows)).sort_values(TICK, kind="stable")
+        since = self.since.get()[0] if self.since.exists() else None
+        states, starts = [], []
+        for tick, holds in zip(steps[TICK], steps["breached"], strict=True):
+            since = (tick if since is None else since) if holds else None
+            states.append("inactive" if since is None else "firing" if tick - since >= self.hold else "pending")
+            starts.append(since)
+        if since is None:
+            self.since.clear()
+        else:
+            # also renews the time it is kept
+            self.since.update((int(since),))
+        steps["state"], steps["active_since"] = states, pd.array(starts, dtype="Int64")
+        yield steps[[*self.by, TICK, "breached", "state", "active_since"]]
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EXPIRY = 7 * 86400
+
+
+def alert_states(conditions: DataFrame, hold: int, by: Sequence[str] = (), expiry: int | None = EXPIRY) -> DataFrame:
+    """A stream of step conditions (by..., tick, breached), in order of time per series -> the states, as a stream.
+
+    Needs the RocksDB state store, which is set on the session here. With an expiry (seconds since a series was last seen)
+    the store asks for batches without end, so a run over what is there now, `availableNow`, takes None.
+    """
+    conditions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    kept = StructType([conditions.schema[c] for c in (*by, TICK, "breached")])
+    schema = StructType([*kept.fields, StructField("state", StringType()), StructField("active_since", LongType())])
+    # a series without labels is one key
+    keys = list(by) or ["_all"]
+    steps = conditions.select(*by, TICK, "breached", *([] if by else [F.lit("all").alias("_all")]))
+    return steps.groupBy(*keys).transformWithStateInPandas(
+        HoldFor(by, hold, expiry), schema, "Append", "None" if expiry is None else "ProcessingTime"
+    )
+
+
 def start_alert_states(conditions: DataFrame, root: str, hold: int, by: Sequence[str], every: int | None = 10) -> StreamingQuery:
     """Step conditions (by..., tick, breached) in order of time -> alert states, under root/states."""
 

@@ -13,23 +13,92 @@ from faultline.sources import payloads as pl
 from faultline.sources import store as st
 from faultline.streaming import alerts as sa
 from faultline.streaming.ingest import start_ingest
-from faultline.streaming.windows import stream_service_summary, write_windows
+from faultline.streaming.state import VersionedTable
+from faultline.streaming.windows import flush, run_windows, start_windows, window_reports, window_summaries
 
 START = datetime(2024, 1, 1)
 
 
-def test_stream_windows_equal_batch(spark, tmp_path):
-    rows = [(START + timedelta(minutes=7 * i), f"s{i % 3}", ["low", "high", "critical"][i % 3 if i % 5 else 0], "t") for i in range(100)]
+SEVERITIES = ["low", "high", "critical"]
+
+
+def window_rows(spark, folder, parts):
+    """Files of events, each its own micro-batch; rows of one file lie up to hours before those of the file before."""
     schema = "timestamp timestamp, service string, severity string, incident_type string"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    stream = stream_service_summary(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 3600)
-    write_windows(stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
-    closed = START + timedelta(minutes=7 * 99 - 10) - timedelta(hours=1)
-    batch = spark.read.parquet(str(tmp_path / "in")).withColumn("batch_id", window_start("timestamp", 3600))
-    want = window_service_summary(batch).where(F.col("batch_id") <= F.lit(closed)).select(
+    for k, minutes in enumerate(parts):
+        rows = [(START + timedelta(minutes=m) if m is not None else None, f"s{j % 3}", SEVERITIES[j % 3 if j % 5 else 0], f"t{j % 2}")
+                for j, m in enumerate(minutes)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return schema
+
+
+def batch_summary(spark, folder):
+    rows = spark.read.parquet(f"{folder}/in").withColumn("batch_id", window_start("timestamp", 3600))
+    return window_service_summary(rows).select(
         F.col("batch_id").alias("window_start"), "service", "count", "dominant_severity", "incident_types", "urgent")
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert got.count() > 20 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_stream_windows_keep_rows_however_late(spark, tmp_path):
+    parts = [range(0, 700, 7), [650, 720, 3, 65], [900, 1, 2, 3, 700], [5000], [10, 4999, 2000, None]]
+    schema = window_rows(spark, tmp_path, parts)
+    root = str(tmp_path / "out")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    start_windows(stream, root, 3600, every=None).awaitTermination()
+    want = batch_summary(spark, tmp_path)
+    closed = START + timedelta(minutes=5000 - 10) - timedelta(hours=1)
+    got = window_summaries(spark, root)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.where(F.col("window_start") <= F.lit(closed)).collect()))
+    assert spark.read.parquet(f"{root}/late").agg(F.sum("count")).first()[0] >= 8
+    flush(spark, root, 3600)
+    timed = window_summaries(spark, root).where("window_start IS NOT NULL")
+    assert sorted(map(str, timed.collect())) == sorted(map(str, want.collect()))
+    # a row without a time is in a window without a start, which the batch leaves out
+    assert window_summaries(spark, root).where("window_start IS NULL").first()["count"] == 1
+    # two versions of each touched day at most
+    days = spark.read.parquet(f"{tmp_path}/in").select(F.to_date("timestamp")).distinct().count()
+    assert VersionedTable(spark, f"{root}/sums", "x int").size() <= 2 * days
+    report = {r.window_start: r for r in window_reports(spark, root, 3600).collect()}
+    assert report[START].event_count == want.where(F.col("window_start") == F.lit(START)).agg(F.sum("count")).first()[0]
+    # input that comes after all takes the flush back and gives the whole again
+    window_rows(spark, tmp_path, [[5001, 5100, 8]])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    start_windows(stream, root, 3600, every=None).awaitTermination()
+    flush(spark, root, 3600)
+    timed = window_summaries(spark, root).where("window_start IS NOT NULL")
+    assert sorted(map(str, timed.collect())) == sorted(map(str, batch_summary(spark, tmp_path).collect()))
+
+
+def test_a_micro_batch_may_run_again(spark, tmp_path):
+    rows = [(START + timedelta(minutes=m), f"s{m % 2}", "high", "t") for m in (0, 30, 200, 5)]
+    df = spark.createDataFrame(rows, "timestamp timestamp, service string, severity string, incident_type string")
+    root = str(tmp_path)
+    run_windows(df, 0, root, 3600)
+    for _ in range(3):
+        run_windows(df, 1, root, 3600)
+    flush(spark, root, 3600)
+    assert window_summaries(spark, root).agg(F.sum("count")).first()[0] == 8
+
+
+@pytest.mark.parametrize("by", [["series"], []], ids=["label", "none"])
+def test_alert_states_of_a_stream(spark, tmp_path, by):
+    names = ("a", "bb", "ccc") if by else ("a",)
+    rows = [(s, 60 * i, (i * 7 + len(s)) % 11 > 2 and not (s == "ccc" and i >= 20)) for s in names for i in range(60)]
+    schema = "series string, tick bigint, breached boolean"
+    df = spark.createDataFrame(rows, schema)
+    for k in range(6):
+        df.where(F.col("tick").between(600 * k, 600 * k + 599)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    writer = sa.alert_states(stream, 180, by, expiry=None).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    running = writer.option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+    running.awaitTermination()
+    key = [*by, "tick", "state", "active_since"]
+    got = spark.read.parquet(f"{tmp_path}/out").select(key)
+    assert sorted(map(str, got.collect())) == sorted(map(str, slo.alert_state(df, 180, by).select(key).collect()))
+    # state is kept where the condition holds, and nowhere else
+    holding = df.where("tick = 3540 AND breached").count()
+    assert holding < 3
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in running.recentProgress if p["stateOperators"]]
+    assert kept and kept[-1] <= 2 * holding and max(kept) <= 2 * len(names)
 
 
 def test_stream_ingest_equals_batch(spark, tmp_path):
