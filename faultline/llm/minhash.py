@@ -242,9 +242,11 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     known = sketches.where("doc_id IS NOT NULL AND text_key IS NOT NULL")
     texts = known.groupBy("text_key").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
     nodes = saved(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    first = rows.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    shared = saved(rows.join(first.select("bucket", "first"), "bucket"), "buckets")
+    rows = nodes.select("node", "low", F.explode("bands").alias("bucket"))
+    # a bucket's first node is its oldest: that is more often what the others were copied from than any other node
+    first = rows.groupBy("bucket").agg(F.min(F.struct("low", "node"))["node"].alias("first"), F.min("node").alias("a"), F.max("node").alias("b"))
+    first = first.where("a <> b")
+    shared = saved(rows.drop("low").join(first.select("bucket", "first"), "bucket"), "buckets")
 
     wanted = saved(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("text_key", "node", "low"), "wanted")
     # a doc_id may have several texts: the sets of all of them are made, and those of the wanted ones kept, once each
