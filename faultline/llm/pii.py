@@ -49,7 +49,7 @@ IBAN_LENGTHS = {
 _NAME = r"A-Za-z0-9._%+\p{L}\p{N}-"
 EMAIL = rf"(?<![{_NAME}])[{_NAME}]++@(?:[A-Za-z0-9\p{{L}}\p{{N}}-]{{1,63}}\.){{1,8}}[A-Za-z\p{{L}}]{{2,24}}"
 KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-HEX = r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])"
+HEX = r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])"
 _NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}"
 # a key of a known maker keeps what names the maker
 _MAKER = r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_(?:live|test)_|sk-|AIza)"
@@ -57,20 +57,20 @@ PRIVATE_KEY = (
     r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,.-]{0,199}[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\r\n]*+)"
 )
 SECRET = (
-    rf"(?<![A-Za-z0-9]){_NAMED}(?:\"[^\"\r\n]{{6,}}+\"|'[^'\r\n]{{6,}}+'|[\"']?[^\s\"'<>]{{6,}}+)"
-    r"|(?<![A-Za-z0-9])(?i:bearer)[ \t]{1,4}[A-Za-z0-9._~+/=-]{16,}+"
-    r"|(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++"
-    rf"|(?<![A-Za-z0-9_]){_MAKER}[A-Za-z0-9_-]{{16,}}+|{PRIVATE_KEY}|{HEX}"
+    rf"(?<![A-Za-z0-9])(?:(?=[PpSsTtAa]){_NAMED}(?:\"[^\"\r\n]{{6,}}+\"|'[^'\r\n]{{6,}}+'|[\"']?[^\s\"'<>]{{6,}}+)"
+    r"|(?=[Bb])(?i:bearer)[ \t]{1,4}[A-Za-z0-9._~+/=-]{16,}+"
+    r"|(?<![_.-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++"
+    rf"|(?=[gxsA])(?<!_){_MAKER}[A-Za-z0-9_-]{{16,}}+|{HEX})|{PRIVATE_KEY}"
 )
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 # eight groups, or up to seven around a double colon; a digit must be among them, as words of a to f may stand around one too
 _H = "[0-9a-fA-F]{1,4}"
 IPV6 = (
-    rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{{0,28}}[0-9])(?:(?:{_H}:){{7}}{_H}|(?:{_H}(?::{_H}){{0,5}})?::{_H}(?::{_H}){{0,5}})(?![0-9A-Za-z:])"
+    rf"(?=[0-9A-Fa-f]{{0,4}}:)(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{{0,28}}[0-9])(?:(?:{_H}:){{7}}{_H}|(?:{_H}(?::{_H}){{0,5}})?::{_H}(?::{_H}){{0,5}})(?![0-9A-Za-z:])"
 )
 DATE = (
-    r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|(?:19|20)[0-9]{2}\.[0-9]{2}\.[0-9]{2}"
+    r"(?=[0-9])(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|(?:19|20)[0-9]{2}\.[0-9]{2}\.[0-9]{2}"
     r"|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])"
 )
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
@@ -89,7 +89,7 @@ _OF_COUNTRY = "|".join(
     for n in sorted(set(IBAN_LENGTHS.values()))
 )
 _ACCOUNT = rf"(?:{_OF_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?:{_GAP}[0-9A-Z]{{4}}){{2,7}}(?:{_GAP}[0-9A-Z]{{1,3}})?(?![A-Za-z0-9]))"
-ACCOUNT = rf"(?<![A-Za-z0-9]){_ACCOUNT}(?:[ -](?!{_BESIDE})(?:{_ACCOUNT}|[0-9]++(?![A-Za-z0-9])))*+"
+ACCOUNT = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}}){_ACCOUNT}(?:[ -](?!{_BESIDE})(?:{_ACCOUNT}|[0-9]++(?![A-Za-z0-9])))*+"
 # in this order, as the first that fits at a place is taken
 KINDS = {
     "email": EMAIL, "key": KEY, "secret": SECRET, "iban": ACCOUNT, "ip": IP, "ipv6": IPV6, "date": DATE, "ssn": SSN, "us_phone": US_PHONE,
@@ -97,11 +97,12 @@ KINDS = {
 }
 # kinds that are counted under another's name
 _COUNTED_AS = {"us_phone": "phone", "national": "phone", "ipv6": "ip"}
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+# inside a word nothing begins but what begins with a digit or a sign
+ANY = "(?:(?<![A-Za-z0-9])|(?=[0-9(+-]))(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 COUNTED = ("email", "key", "secret", "iban", "ip", "date", "ssn", "phone", "card")
 COUNTS = [f"n_{k}" for k in COUNTED]
 # every kind holds one of these: spares most texts the search
-HINT = "[0-9@=:]|AKIA|-----BEGIN|eyJ|(?i:bearer)|gh[pousr]_|xox[abprs]-|sk[_-]"
+HINT = "[0-9@=:]|AKIA|-----BEGIN|eyJ|[Bb][Ee][Aa][Rr][Ee][Rr]|gh[pousr]_|xox[abprs]-|sk[_-]"
 LONGEST = 34  # characters of an account number
 # numbers as cards bear them; other groupings count where no such number is among them
 CARD_GROUPS = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
