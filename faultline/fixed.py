@@ -230,3 +230,22 @@ ROUTING_RULES = (
     ("repeated_incident_escalation", {"similar_incidents_1h": 3}, "escalate", 1),
     ("degraded_system_conservative", {"health_status": ["degraded", "unhealthy"]}, "conservative_approach", 3),
 )
+
+# --- prompts ------------------------------------------------------------------------------------
+# fixed values: texts that prompts must have
+REPAIR_PROMPT = (
+    "\nThe previous response was not valid JSON.\n\nReturn ONLY valid JSON.\n"
+    "Do not include explanations, markdown or extra text.\n\nInvalid response:\n{output}\n"
+)
+INCIDENT_PROMPT = (
+    "\nAnalyze this LLM pipeline incident:\n\nWorkflow: {workflow}\nStage: {stage}\nSource: {source}\nType: {incident_type}\n"
+    "Category: {category}\nSeverity: {severity}\nMessage: {message}\nTimestamp: {timestamp}\n\n"
+    "Please analyze this incident and call appropriate tools to address it."
+)
+COPILOT_SYSTEM = (
+    "You are an Incident Copilot for backend + LLM systems. "
+    "Your job is to interpret telemetry (KPIs, issues, health) and propose next steps. "
+    "Be concise, practical, and avoid speculation. If unsure, say so. "
+    "Return ONLY valid JSON with keys: summary, probableCause, suggestedActions, confidence. "
+    "confidence must be a number between 0 and 1."
+)

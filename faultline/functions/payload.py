@@ -20,6 +20,9 @@ ISO_PATTERN = (
     r"(?:[^0-9](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?([+-]\d{2}(?::?\d{2})?)?)?$"
 )
 
+# year, week, perhaps a day of the week, then the rest as in ISO_PATTERN; dashes in both places or in none
+WEEK_DATE = r"^(\d{4})(-?)W(\d{2})((?:\2([1-7]))?)([^0-9-].*)?$"
+
 
 class Payload:
     """Reads keys of one payload column made by `unpack`.
@@ -134,9 +137,23 @@ def epoch_timestamp(number: Column) -> Column:
 
 
 def iso_timestamp(text: Column) -> Column:
-    """ISO-8601 text with at least a full date; no offset means UTC; null where it is not a date."""
+    """ISO-8601 text with at least a full date, of the calendar or of a week; no offset means UTC; null where it is not a date."""
     zoned = F.when(text.rlike(r"(Z|[+-]\d\d:\d\d)$"), text).otherwise(F.concat(text, F.lit("Z")))
-    return F.when(text.rlike(COMMON_ISO), zoned.try_cast("timestamp")).otherwise(_any_iso_timestamp(text))
+    return F.when(text.rlike(COMMON_ISO), zoned.try_cast("timestamp")).otherwise(
+        # a lambda keeps the rare forms out of the generated code of the common one
+        F.get(F.transform(F.array(text), lambda t: _any_iso_timestamp(F.when(t.rlike(WEEK_DATE), _from_week(t)).otherwise(t))), 0)
+    )
+
+
+def _from_week(text: Column) -> Column:
+    """A date by week, such as 2024-W03-2 or 2024W032, as the date it is; null for a week that its year does not have."""
+    year, week, day = (F.regexp_extract(text, WEEK_DATE, k) for k in (1, 3, 5))
+    first = F.date_trunc("week", F.make_date(year.try_cast("int"), F.lit(1), F.lit(4))).cast("date")
+    monday = F.date_add(first, 7 * (week.try_cast("int") - 1))
+    date = F.date_add(monday, F.when(day == "", 0).otherwise(day.try_cast("int") - 1))
+    fits = (F.extract(F.lit("YEAROFWEEK"), monday) == year.try_cast("int")) & week.try_cast("int").between(1, 53)
+    written = F.when(F.regexp_extract(text, WEEK_DATE, 2) == "-", F.date_format(date, "yyyy-MM-dd")).otherwise(F.date_format(date, "yyyyMMdd"))
+    return F.when(fits & (year.try_cast("int") > 0), F.concat(written, F.regexp_extract(text, WEEK_DATE, 6)))
 
 
 def _any_iso_timestamp(text: Column) -> Column:

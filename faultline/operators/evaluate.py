@@ -15,11 +15,14 @@ RULE_SCHEMA = (
 
 
 def evaluation_rules(spark: SparkSession, rules=fixed.EVALUATION_RULES) -> DataFrame:
-    """The rule table, one row per incident type and severity."""
+    """The rule table, one row per incident type and severity, and one per type with a null severity for any other.
+
+    There are two bands: what is neither high nor critical is in the lower one, whatever it is called.
+    """
     rows = [
         (kind, severity, status, score, action, tag, *texts)
         for kind, severities, status, score, action, tag, texts in rules
-        for severity in severities
+        for severity in (severities if "high" in severities else (*severities, None))
     ]
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
@@ -27,15 +30,21 @@ def evaluation_rules(spark: SparkSession, rules=fixed.EVALUATION_RULES) -> DataF
 def evaluate_incidents(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Adds status, score, summary, reasoning, suggested_action and tags.
 
-    The built-in rule table has one row per (type, severity) and is made from a list on the driver, so it is
-    always small enough to broadcast. How a caller's table is joined is left to the optimizer; a (type, severity)
-    that it holds twice is an error, as it would double incidents.
+    A rule with a null severity holds for the severities of its type that have no rule of their own. The built-in rule
+    table is made from a list on the driver, so it is always small enough to broadcast. How a caller's table is joined is
+    left to the optimizer; a (type, severity) that it holds twice is an error, as it would double incidents.
     """
+    small = F.broadcast if rules is None else lambda x: x
     if rules is None:
-        rules = F.broadcast(evaluation_rules(df.sparkSession))
+        rules = evaluation_rules(df.sparkSession)
     elif not rules.groupBy("rule_type", "rule_severity").count().where("count > 1").isEmpty():
         raise ValueError("a rule table holds one row per type and severity")
-    match = (F.col("incident_type") == F.col("rule_type")) & (F.col("severity") == F.col("rule_severity"))
+    # one row per type, so that no incident meets two rules: the outcomes by severity, and the one for any other
+    outcome = F.struct("rule_status", "rule_score", "rule_action", "rule_tag", "rule_summary", "rule_reasoning")
+    own = F.collect_list(F.when(F.col("rule_severity").isNotNull(), F.struct(F.col("rule_severity"), outcome)))
+    by_type = rules.groupBy("rule_type").agg(
+        F.map_from_entries(own).alias("_own"), F.first(F.when(F.col("rule_severity").isNull(), outcome), True).alias("_other")
+    )
     status, score, action, (summary, reasoning) = fixed.DEFAULT_OUTCOME
     third = (
         F.when(F.col("rule_tag") == "stage", F.col("stage"))
@@ -45,8 +54,16 @@ def evaluate_incidents(df: DataFrame, rules: DataFrame | None = None) -> DataFra
     tags = F.when(F.col("rule_type").isNull(), F.array(F.lit("unclassified"))).otherwise(
         F.array(F.col("rule_type"), F.col("category"), third)
     )
-    return df.join(rules, match, "left").select(
-        *[df[c] for c in df.columns],
+    joined = df.join(small(by_type), F.col("incident_type") == F.col("rule_type"), "left")
+    # a null severity is any other one, too
+    found = F.coalesce(F.when(F.col("severity").isNotNull(), F.try_element_at("_own", F.col("severity"))), F.col("_other"))
+    joined = joined.withColumn("_rule", found)
+    names = [f.name for f in rules.schema.fields if f.name not in ("rule_type", "rule_severity")]
+    joined = joined.withColumn("rule_type", F.when(F.col("_rule").isNotNull(), F.col("rule_type"))).select(
+        *df.columns, "rule_type", *[F.col(f"_rule.{n}").alias(n) for n in names]
+    )
+    return joined.select(
+        *df.columns,
         F.coalesce("rule_status", F.lit(status)).alias("status"),
         F.coalesce("rule_score", F.lit(score)).alias("score"),
         F.coalesce("rule_summary", F.lit(summary)).alias("summary"),

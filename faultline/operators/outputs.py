@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faultline import fixed
 from faultline.functions.numeric import clamp
 from faultline.functions.payload import computed_once
-from faultline.functions.text import json_string
+from faultline.functions.text import fill, json_string
 
 
 def _at(value: Column, path: str, kind: str = "variant") -> Column:
@@ -239,11 +239,34 @@ def feature_spec_json(df: DataFrame) -> Column:
 
 
 def repair_prompt(bad_output: Column) -> Column:
-    return F.concat(
-        F.lit(
-            "\nThe previous response was not valid JSON.\n\nReturn ONLY valid JSON.\n"
-            "Do not include explanations, markdown or extra text.\n\nInvalid response:\n"
-        ),
-        bad_output,
-        F.lit("\n"),
+    """Asks for the JSON again; no output at all is an empty one."""
+    return fill(fixed.REPAIR_PROMPT, output=F.coalesce(bad_output, F.lit("")))
+
+
+def incident_prompt(timestamp: Column) -> Column:
+    """The text that asks for an analysis of one incident; what is missing is written as None."""
+    names = ("workflow", "stage", "source", "incident_type", "category", "severity", "message")
+    values = {n: F.coalesce(F.col(n), F.lit("None")) for n in names}
+    return fill(fixed.INCIDENT_PROMPT, **values, timestamp=F.coalesce(timestamp, F.lit("None")))
+
+
+def _json_number(value: Column) -> Column:
+    """A number without a fraction of zero, as scripts print it; null as null."""
+    return F.coalesce(F.regexp_replace(value.cast("string"), r"\.0$", ""), F.lit("null"))
+
+
+def copilot_prompt(df: DataFrame) -> DataFrame:
+    """service, environment, health, ts, rates and issues -> adds `system` and `user`, a text of indented JSON."""
+    issues = F.coalesce("issues", F.array().cast("array<string>"))
+    listed = F.concat(F.lit("[\n"), F.array_join(F.transform(issues, lambda x: F.concat(F.lit("    "), json_string(x))), ",\n"), F.lit("\n  ]"))
+    user = F.concat(
+        F.lit('{\n  "incident": {\n    "service": '), json_string(F.col("service")),
+        F.lit(',\n    "environment": '), json_string(F.col("environment")),
+        F.lit(',\n    "healthStatus": '), json_string(F.col("health")),
+        F.lit(',\n    "timestamp": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+        F.lit('"\n  },\n  "kpis": {\n    "retryRate": '), _json_number(F.col("retry_rate")),
+        F.lit(',\n    "fallbackRate": '), _json_number(F.col("fallback_rate")),
+        F.lit(',\n    "avgAttempts": '), _json_number(F.col("avg_attempts")),
+        F.lit('\n  },\n  "issues": '), F.when(F.size(issues) == 0, F.lit("[]")).otherwise(listed), F.lit("\n}"),
     )
+    return df.withColumn("system", F.lit(fixed.COPILOT_SYSTEM)).withColumn("user", user)

@@ -101,6 +101,11 @@ def share(
 def counter_by_label(df: DataFrame, ts: str, step: int, by: Sequence[str]) -> DataFrame:
     """Running total per label at each step with an increment."""
     counts = step_counts(df, ts, step, by, {"n": F.lit(True)})
+    if not by:
+        # one series: in blocks of steps
+        from faultline.operators.ordered import running_totals
+
+        return running_totals(counts, [], [TICK], {"total": F.col("n")})
     upto = Window.partitionBy(*by).orderBy(TICK).rowsBetween(Window.unboundedPreceding, 0)
     return counts.withColumn("total", F.sum("n").over(upto))
 

@@ -46,12 +46,13 @@ def distinct_workflows(records: DataFrame) -> DataFrame:
 def metrics_summary(records: DataFrame) -> DataFrame:
     """All counts in one scan: (metric, name, count, average_score, place), grouped by each label and by none.
 
-    The five most common actions have a place, equal counts by name.
+    The five most common actions have a place, of equal counts the one seen first, as in `top_actions`.
     """
     sets = [["status"], ["severity"], ["suggested_action"], ["workflow"], []]
     labels = ["status", "severity", "suggested_action", "workflow"]
     grouped = records.groupingSets([[F.col(c) for c in s] for s in sets], *labels).agg(
-        F.grouping_id().alias("gid"), F.count("*").alias("count"), _mean(F.col(SCORE), 2).alias("average")
+        F.grouping_id().alias("gid"), F.count("*").alias("count"), _mean(F.col(SCORE), 2).alias("average"),
+        F.min("record_id").alias("first_seen"),
     )
     # grouping_id has a bit per label, set where the label is not grouped by
     metric = (
@@ -62,10 +63,10 @@ def metrics_summary(records: DataFrame) -> DataFrame:
         .otherwise("total")
     )
     name = F.coalesce("status", "severity", "suggested_action", "workflow")
-    named = grouped.select(metric.alias("metric"), name.alias("name"), "count", "average")
+    named = grouped.select(metric.alias("metric"), name.alias("name"), "count", "average", "first_seen")
     action = F.col("metric") == "suggested_action"
     # the few actions are one group; each other row is one of its own
-    order = Window.partitionBy("metric", F.when(~action, F.col("name"))).orderBy(F.desc("count"), "name")
+    order = Window.partitionBy("metric", F.when(~action, F.col("name"))).orderBy(F.desc("count"), "first_seen", "name")
     placed = named.where(~action | F.col("name").isNotNull()).withColumn("place", F.row_number().over(order))
     return placed.select(
         "metric", "name", "count", F.when(F.col("metric") == "total", F.coalesce("average", F.lit(0.0))).alias("average_score"),

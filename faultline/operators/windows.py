@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultline import fixed
 from faultline.functions.joins import join_with_nulls
 from faultline.functions.text import cut, fill, lookup
-from faultline.operators.ordered import running_totals
+from faultline.operators.ordered import running, running_totals
 
 EVENTS_BY_SERVICE = "array<struct<service:string,count:bigint,dominant_severity:string,incident_types:array<string>>>"
 
@@ -120,16 +120,13 @@ def _empty_report(window_seconds: int) -> list[Column]:
 def with_empty_windows(report: DataFrame, batch: str, window_seconds: int) -> DataFrame:
     """Adds the fixed report for every window without events between the first and the last one.
 
-    `batch` is the window start. Each report row gives the starts from itself up to the next report, so
-    the span is never held in one array.
+    `batch` is the window start. Each report row gives the starts between the report before and itself, so the span is
+    never held in one array; the report before is found over blocks of the time axis.
     """
-    from pyspark.sql import Window
-
-    after = F.lead(batch).over(Window.orderBy(batch))
     step = F.expr(f"interval {window_seconds} seconds")
-    starts = report.select(F.col(batch).alias("_from"), after.alias("_next"))
-    gaps = starts.where(F.col("_next") > F.col("_from") + step).select(
-        F.explode(F.sequence(F.col("_from") + step, F.col("_next") - step, step)).alias(batch)
+    starts = running(report.select(F.col(batch).alias("_to")).where("_to IS NOT NULL"), [], ["_to"], {}, {"_from": F.col("_to")})
+    gaps = starts.where(F.col("_to") > F.col("_from") + step).select(
+        F.explode(F.sequence(F.col("_from") + step, F.col("_to") - step, step)).alias(batch)
     )
     empty = gaps.select(batch, *_empty_report(window_seconds))
     return report.unionByName(empty)
@@ -143,8 +140,10 @@ def analyze_window(events: DataFrame, as_of: Column, seconds: int, service: str
     recent = recent.where(F.col("arrival_ts") <= as_of)
     if service is not None:
         recent = recent.where(F.col("service") == service)
-    report = window_report(window_service_summary(recent.withColumn("batch_id", F.lit(0))), seconds)
-    empty = events.sparkSession.range(1).select(F.lit(0).alias("batch_id"), *_empty_report(seconds))
+    summary = window_service_summary(recent.withColumn("batch_id", F.lit(0)))
+    report = nested_report(window_report(summary, seconds), summary)
+    none = (F.array().cast(EVENTS_BY_SERVICE).alias("events_by_service"), F.array().cast("array<string>").alias("services_affected"))
+    empty = events.sparkSession.range(1).select(F.lit(0).alias("batch_id"), *_empty_report(seconds), *none)
     # the empty report is what is left where there is no other
     return report.unionByName(empty).orderBy(F.desc("event_count")).limit(1).drop("batch_id", "urgent_count")
 
@@ -206,6 +205,12 @@ def judge_prompt(events: DataFrame, batch: str, order: tuple[str, ...]) -> DataF
     return join_with_nulls(lines, totals, [batch]).select(batch, text.alias("prompt"))
 
 
+def full_judge_prompt(reports: DataFrame, events: DataFrame, batch: str, order: tuple[str, ...]) -> DataFrame:
+    """The whole judge prompt per batch: what the report says, then the events; nested reports."""
+    head, tail = judge_report_header(reports, batch), judge_prompt(events, batch, order)
+    return join_with_nulls(head, tail, [batch]).select(batch, F.concat("header", "prompt").alias("prompt"))
+
+
 def judge_report_header(reports: DataFrame, batch: str = "batch_id") -> DataFrame:
     """The report part of the judge prompt, from nested reports."""
 

@@ -76,6 +76,51 @@ def counter_by_label(spark, folder):
     return slo.counter_by_label(records(spark, folder), "received_at", 3600, ["status"])
 
 
+def _counter(name: str, source: str, ts: str, labels: dict[str, str], build) -> None:
+    """A counter of its own labels: running totals at the hours with an increment."""
+    names = "".join(f"{n}, " for n in labels)
+    shown = "".join(f"{e} AS {n}, " for n, e in labels.items())
+    over = f"PARTITION BY {names[:-2]} ORDER BY tick" if labels else "ORDER BY tick"
+    sql = f"""WITH {REC}, {HOURLY_REPORT}, c AS (SELECT {shown}((epoch_us({ts}) + 3599999999) // 3600000000) * 3600 AS tick, count(*) AS n FROM {source} GROUP BY ALL)
+      SELECT {names}CAST(tick AS BIGINT) AS tick, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER ({over}) AS BIGINT) AS total FROM c"""
+
+    @query(name, sql)
+    def run(spark, folder):
+        return slo.counter_by_label(build(spark, folder), "at", 3600, list(labels))
+
+
+# one batch report per hour with events
+HOURLY_REPORT = """hour AS (SELECT date_trunc('hour', received_at) AS began, 'low' AS hallucination_risk, 'false' AS llm_used FROM rec GROUP BY 1)"""
+
+
+def _reports(spark, folder):
+    from faultline.operators import windows as wn
+
+    events = incidents(spark, folder).withColumn("batch_id", F.date_trunc("hour", "ts"))
+    report = wn.window_report(wn.window_service_summary(events), 3600)
+    return report.select(F.col("batch_id").alias("at"), "hallucination_risk", F.col("llm_used").cast("string").alias("llm_used"))
+
+
+def _retrievals(spark, folder):
+    hit = F.when(F.col("event_id") % 6 > 1, "hit").otherwise("miss")
+    return records(spark, folder).select(F.col("received_at").alias("at"), hit.alias("retrieval"))
+
+
+def _actions(spark, folder):
+    from faultline.operators.evaluate import dispatch_actions
+
+    done = dispatch_actions(records(spark, folder))
+    return done.select(F.col("executed_at").alias("at"), "action_type", "outcome")
+
+
+_counter("counter_retrievals", "rec", "received_at", {"retrieval": "CASE WHEN event_id % 6 > 1 THEN 'hit' ELSE 'miss' END"}, _retrievals)
+_counter("counter_actions", "rec WHERE suggested_action IS NOT NULL", "received_at", {"action_type": "suggested_action", "outcome": "'success'"}, _actions)
+_counter("counter_batch_runs", "hour", "began", {"hallucination_risk": "hallucination_risk", "llm_used": "llm_used"}, _reports)
+_counter("counter_loop_iterations", "rec", "received_at", {}, lambda spark, folder: records(spark, folder).select(F.col("received_at").alias("at")))
+_counter("counter_loop_errors", "rec WHERE event_type = 'error'", "received_at", {},
+         lambda spark, folder: records(spark, folder).where("event_type = 'error'").select(F.col("received_at").alias("at")))
+
+
 def _histogram(name: str, column: str, expression: str, bounds, build):
     cases = " UNION ALL ".join(
         f"SELECT workflow, CAST({float(b)!r} AS DOUBLE) AS le, count(*) FILTER (v <= CAST({float(b)!r} AS DOUBLE)) AS count FROM s GROUP BY workflow"

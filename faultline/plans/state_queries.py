@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from faultline import fixed
 from faultline.operators import outputs as ou
 from faultline.operators import routing as rt
 from faultline.operators import snapshots as sn
@@ -110,6 +111,48 @@ def render_prompts(spark, folder):
     return ou.render_prompts(specs, template, values).select("doc_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
+@query(
+    "incident_prompts",
+    f"""WITH {INC} SELECT record_id, md5(chr(10) || 'Analyze this LLM pipeline incident:' || chr(10) || chr(10) || 'Workflow: ' || workflow || chr(10)
+      || 'Stage: ' || stage || chr(10) || 'Source: ' || source_system || chr(10) || 'Type: ' || incident_type || chr(10) || 'Category: ' || source_system
+      || chr(10) || 'Severity: ' || severity || chr(10) || 'Message: ' || message || chr(10) || 'Timestamp: ' || {sql_stamp('ts')} || chr(10) || chr(10)
+      || 'Please analyze this incident and call appropriate tools to address it.') AS prompt_md5 FROM inc""",
+)
+def incident_prompts(spark, folder):
+    base = incidents(spark, folder).withColumns({"source": F.col("source_system"), "category": F.col("source_system")})
+    return base.select("record_id", F.md5(ou.incident_prompt(stamp("ts"))).alias("prompt_md5"))
+
+
+@query(
+    "repair_prompts",
+    """SELECT doc_id, md5(chr(10) || 'The previous response was not valid JSON.' || chr(10) || chr(10) || 'Return ONLY valid JSON.' || chr(10)
+      || 'Do not include explanations, markdown or extra text.' || chr(10) || chr(10) || 'Invalid response:' || chr(10) || coalesce(text, '') || chr(10))
+      AS prompt_md5 FROM documents""",
+)
+def repair_prompts(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.md5(ou.repair_prompt(F.col("text"))).alias("prompt_md5"))
+
+
+@query(
+    "copilot_prompts",
+    f"""WITH {INC} SELECT record_id, md5('{{' || chr(10) || '  "incident": {{' || chr(10) || '    "service": "' || service || '",' || chr(10)
+      || '    "environment": "prod",' || chr(10) || '    "healthStatus": "' || upper(severity) || '",' || chr(10) || '    "timestamp": "'
+      || strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) % 1000000 // 1000 AS VARCHAR), 3, '0') || 'Z"' || chr(10) || '  }},' || chr(10)
+      || '  "kpis": {{' || chr(10) || '    "retryRate": 0.' || CAST(25 + 50 * (event_id % 2) AS VARCHAR) || ',' || chr(10) || '    "fallbackRate": '
+      || event_id % 4 || ',' || chr(10) || '    "avgAttempts": ' || event_id % 7 || '.5' || chr(10) || '  }},' || chr(10) || '  "issues": '
+      || CASE WHEN event_id % 3 = 0 THEN '[]' ELSE '[' || chr(10) || '    "' || message || '",' || chr(10) || '    "a \\"b\\""' || chr(10) || '  ]' END
+      || chr(10) || '}}') AS user_md5, length('{fixed.COPILOT_SYSTEM}') AS system_length FROM inc""",
+)
+def copilot_prompts(spark, folder):
+    n = F.col("event_id")
+    base = incidents(spark, folder).withColumns({
+        "environment": F.lit("prod"), "health": F.upper("severity"), "retry_rate": (25 + 50 * (n % 2)) / 100, "fallback_rate": (n % 4).cast("double"),
+        "avg_attempts": n % 7 + 0.5, "issues": F.when(n % 3 != 0, F.array(F.col("message"), F.lit('a "b"'))),
+    })
+    out = ou.copilot_prompt(base)
+    return out.select("record_id", F.md5(F.col("user")).alias("user_md5"), F.length("system").cast("bigint").alias("system_length"))
+
+
 # --- routing ------------------------------------------------------------------------------------------
 SIM = """
 sim AS (SELECT *, count(*) OVER (PARTITION BY incident_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS similar_1h,

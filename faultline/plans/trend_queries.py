@@ -140,6 +140,23 @@ def list_incidents(spark, folder):
     return rows.select("record_id", stamp("received_at").alias("received"), "workflow", "status", "score")
 
 
+@query(
+    "list_incident_records",
+    f"""WITH {REC} SELECT record_id, {sql_stamp('received_at')} AS received, workflow, stage, incident_type, severity, source, message, status, score,
+      CAST(NULL AS VARCHAR) AS missing FROM rec WHERE status = 'critical' AND event_type <> 'signup' ORDER BY received_at DESC, record_id DESC LIMIT 100""",
+)
+def list_incident_records(spark, folder):
+    """Records written to the store and read back with the incident and the result as they were."""
+    ruled = ev.evaluate_incidents(records(spark, folder).where(F.col("event_type") != "signup").drop("status", "score", "suggested_action", "summary", "reasoning", "tags"))
+    back = _stored(spark, st.write_evaluations, ruled, "incident-records")
+    rows = st.incident_records(st.list_incidents(back, status="critical", limit=100))
+    one, result = "incident", "result"
+    return rows.select(
+        "record_id", stamp("received_at").alias("received"), *[f"{one}.{c}" for c in ("workflow", "stage", "incident_type", "severity", "source", "message")],
+        *[f"{result}.{c}" for c in ("status", "score")], F.try_element_at(f"{result}.tags", F.lit(9)).alias("missing"),
+    )
+
+
 @query(
     "list_actions",
     f"""WITH {ACT} SELECT action_id, {sql_stamp('executed_at')} AS executed, action_type FROM act
@@ -228,15 +245,15 @@ def distinct_workflows(spark, folder):
 @query(
     "metrics_summary",
     f"""WITH {REC}, g AS (
-      SELECT 'status' AS metric, status AS name, count(*) AS count FROM rec GROUP BY status
-      UNION ALL SELECT 'severity', severity, count(*) FROM rec GROUP BY severity
-      UNION ALL SELECT 'suggested_action', suggested_action, count(*) FROM rec WHERE suggested_action IS NOT NULL GROUP BY suggested_action
-      UNION ALL SELECT 'workflow', workflow, count(*) FROM rec GROUP BY workflow
-      UNION ALL SELECT 'total', NULL, count(*) FROM rec)
+      SELECT 'status' AS metric, status AS name, count(*) AS count, min(record_id) AS seen FROM rec GROUP BY status
+      UNION ALL SELECT 'severity', severity, count(*), min(record_id) FROM rec GROUP BY severity
+      UNION ALL SELECT 'suggested_action', suggested_action, count(*), min(record_id) FROM rec WHERE suggested_action IS NOT NULL GROUP BY suggested_action
+      UNION ALL SELECT 'workflow', workflow, count(*), min(record_id) FROM rec GROUP BY workflow
+      UNION ALL SELECT 'total', NULL, count(*), NULL FROM rec)
     SELECT metric, name, CAST(count AS BIGINT) AS count,
       CASE WHEN metric = 'total' THEN (SELECT round_even(sum(score) / count(*), 2) FROM rec) END AS average_score,
       CASE WHEN metric = 'suggested_action' AND place <= 5 THEN CAST(place AS INTEGER) END AS place
-    FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY count DESC, name) AS place FROM g)""",
+    FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY count DESC, seen, name) AS place FROM g)""",
 )
 def metrics_summary(spark, folder):
     return tr.metrics_summary(records(spark, folder))
@@ -317,7 +334,9 @@ def status_shares(spark, folder):
       round_even(count(*) / (SELECT count(*) FROM rec) * 100, 1) AS value FROM rec GROUP BY severity
     UNION ALL SELECT 'day', strftime(received_at, '%Y-%m-%d'), count(*), round_even(sum(score) / count(*), 2) FROM rec GROUP BY 2
     UNION ALL SELECT 'workflow', workflow, total, round_even(failed / total, 4) FROM f
-    UNION ALL SELECT 'total', NULL, count(*), NULL FROM rec""",
+    UNION ALL SELECT 'total', NULL, count(*), NULL FROM rec
+    UNION ALL SELECT 'rolling', record_id, NULL, rolling_avg FROM (SELECT * FROM (SELECT record_id, received_at, {ROLLING} FROM rec
+      WINDOW w AS (ORDER BY received_at, record_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) ORDER BY received_at DESC, record_id DESC LIMIT 10)""",
 )
 def analytics_report(spark, folder):
     parts = tr.analytics_report(records(spark, folder))
@@ -327,6 +346,7 @@ def analytics_report(spark, folder):
         .unionByName(parts["daily_score_trend"].select(F.lit("day").alias("part"), F.col("date").alias("name"), "count", F.col("avg_score").alias("value")))
         .unionByName(parts["workflow_failure_rate"].select(F.lit("workflow").alias("part"), F.col("workflow").alias("name"), F.col("total").alias("count"), F.col("failure_rate").alias("value")))
         .unionByName(parts["rows"].agg(F.count("*").alias("count")).select(F.lit("total").alias("part"), none.alias("name"), "count", F.lit(None).cast("double").alias("value")))
+        .unionByName(parts["rolling_score"].select(F.lit("rolling").alias("part"), F.col("record_id").alias("name"), F.lit(None).cast("bigint").alias("count"), F.col("rolling_avg").alias("value")))
     )
 
 

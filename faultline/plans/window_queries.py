@@ -115,7 +115,53 @@ def empty_window_report(spark, folder):
 def analyze_window(spark, folder):
     events = incidents(spark, folder).withColumn("arrival_ts", F.col("ts"))
     report = wn.analyze_window(events, F.lit("2024-01-20 10:00:00").cast("timestamp"), HOUR)
-    return report.withColumn("recommended_actions", F.array_join("recommended_actions", "|"))
+    flat = report.drop("events_by_service", "services_affected")
+    return flat.withColumn("recommended_actions", F.array_join("recommended_actions", "|"))
+
+
+@query(
+    "analyze_window_services",
+    f"""WITH {INC}, w AS (SELECT * FROM inc WHERE ts BETWEEN TIMESTAMP '2024-01-20 09:00:00' AND TIMESTAMP '2024-01-20 10:00:00'),
+    s AS (SELECT service, count(*) AS n, CASE max({{rank}}) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS top,
+      array_to_string(list_sort(list(DISTINCT incident_type)), ',') AS kinds FROM w GROUP BY service)
+    SELECT 'last hour' AS name, coalesce(string_agg(service, ',' ORDER BY service), '') AS services_affected,
+      coalesce(string_agg(service || ':' || n || ':' || top || ':' || kinds, ';' ORDER BY service), '') AS events_by_service FROM s
+    UNION ALL SELECT 'before all', '', ''""".replace("{rank}", "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"),
+)
+def analyze_window_services(spark, folder):
+    events = incidents(spark, folder).withColumn("arrival_ts", F.col("ts"))
+    parts = []
+    for name, at in (("last hour", "2024-01-20 10:00:00"), ("before all", "1999-01-01 00:00:00")):
+        report = wn.analyze_window(events, F.lit(at).cast("timestamp"), HOUR)
+        parts.append(report.select(F.lit(name).alias("name"), "events_by_service", "services_affected"))
+    entry = F.transform(
+        "events_by_service",
+        lambda e: F.concat_ws(":", e["service"], e["count"].cast("string"), e["dominant_severity"], F.array_join(e["incident_types"], ",")),
+    )
+    both = parts[0].unionByName(parts[1])
+    return both.select("name", F.array_join("services_affected", ",").alias("services_affected"), F.array_join(entry, ";").alias("events_by_service"))
+
+
+@query(
+    "full_judge_prompt",
+    f"""WITH {HRS}, q AS (SELECT batch_id, service, chr(39) || service || chr(39) AS name, '{{' || chr(39) || 'service' || chr(39) || ': ' || chr(39) || service
+          || chr(39) || ', ' || chr(39) || 'count' || chr(39) || ': ' || count || ', ' || chr(39) || 'dominant_severity' || chr(39) || ': ' || chr(39)
+          || dominant_severity || chr(39) || ', ' || chr(39) || 'incident_types' || chr(39) || ': ['
+          || array_to_string(list_transform(types, lambda x: chr(39) || x || chr(39)), ', ') || ']}}' AS entry FROM w1),
+      h AS (SELECT batch_id, string_agg(name, ', ' ORDER BY service) AS names, string_agg(entry, ', ' ORDER BY service) AS entries FROM q GROUP BY batch_id),
+      l AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ts, record_id) AS no, count(*) OVER (PARTITION BY batch_id) AS total FROM hrs),
+      e AS (SELECT batch_id, 'ACTUAL EVENTS (' || total || ' total, showing first ' || least(total, 50) || '):' || chr(10)
+        || string_agg(no || '. service=' || service || ' severity=' || severity || ' type=' || incident_type || ' msg='
+        || substr(message, 1, 80), chr(10) ORDER BY no) AS lines FROM l WHERE no <= 50 GROUP BY batch_id, total)
+    SELECT CAST(batch_id AS BIGINT) AS batch_id, 'BATCH ANALYSIS REPORT:' || chr(10) || 'services_affected: [' || names || ']' || chr(10)
+      || 'overall_assessment: ' || {ASSESSMENT} || chr(10) || 'critical_pattern: ' || coalesce({PATTERN}, 'None') || chr(10)
+      || 'events_by_service: [' || entries || ']' || chr(10) || chr(10) || lines AS prompt FROM rep JOIN h USING (batch_id) JOIN e USING (batch_id)""",
+)
+def full_judge_prompt(spark, folder):
+    events = hourly(spark, folder)
+    summary = wn.window_service_summary(events)
+    nested = wn.nested_report(wn.window_report(summary, HOUR), summary)
+    return wn.full_judge_prompt(nested, events, "batch_id", ("ts", "record_id"))
 
 
 @query(

@@ -50,6 +50,11 @@ def list_incidents(records: DataFrame, workflow: str | None = None, status: str
     return _newest(records, {"workflow": workflow, "status": status}, limit, "received_at", "record_id")
 
 
+def incident_records(stored: DataFrame) -> DataFrame:
+    """Stored rows as whole records: the incident and the result as structs, beside the id and the time."""
+    return stored.select("record_id", "received_at", "incident", "result")
+
+
 def list_actions(actions: DataFrame, workflow: str | None = None, action_type: str | None = None, limit: int = 50) -> DataFrame:
     return _newest(actions, {"workflow": workflow, "action_type": action_type}, limit, "executed_at", "action_id")
 
