@@ -385,10 +385,12 @@ def retrieval_context(found: DataFrame) -> DataFrame:
 
 def rag_evaluate(evaluated: DataFrame, contexts: DataFrame, key: str = "record_id") -> DataFrame:
     """Evaluations with the retrieved context after their reasoning."""
-    joined = evaluated.join(contexts.withColumnRenamed("query_id", key), key, "left")
-    used = F.col("context").isNotNull()
-    text = F.when(used, F.concat("reasoning", F.lit("\n\n"), "context")).otherwise(F.col("reasoning"))
-    return joined.withColumns({"reasoning": text, "context_used": used}).drop("context")
+    # an incident may have a context of its own
+    told = contexts.select(F.col("query_id").alias(key), F.col("context").alias("_context"))
+    joined = evaluated.join(told, key, "left")
+    used = F.col("_context").isNotNull()
+    text = F.when(used, F.concat("reasoning", F.lit("\n\n"), "_context")).otherwise(F.col("reasoning"))
+    return joined.withColumns({"reasoning": text, "context_used": used}).drop("_context")
 
 
 def retrieval_outcome(queries: DataFrame, neighbours: DataFrame) -> DataFrame:

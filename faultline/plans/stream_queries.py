@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from faultline.operators import slo
 from faultline.plans import ingest_queries  # noqa: F401  (registers the SQL used below)
+from faultline.plans.ingest_queries import _rule_case
 from faultline.plans.registry import SQL, query
 from faultline.plans.service_queries import greedy_sql
-from faultline.plans.window_queries import ASSESSMENT, HRS, PATTERN, STEPS
-from faultline.plans.workload import incidents_of, payloads_of, stamp, table
+from faultline.plans.window_queries import ASSESSMENT, CONTEXT, HRS, PATTERN, STEPS, VECTORS, vectors
+from faultline.plans.workload import EVT, incidents_of, payloads_of, stamp, table
 from faultline.session import shared_folder, stable
 from faultline.streaming.alerts import alert_states, start_cooldown
 from faultline.streaming.ingest import start_ingest
+from faultline.streaming.memory import CycleMemory
 from faultline.streaming.windows import flush, start_windows, window_reports, window_summaries
 
 
@@ -108,6 +110,35 @@ def stream_ingest_records(spark, folder):
     )
 
 
+# good events as evaluated records, the neighbours of each among those of earlier cycles, and the context these make
+CYCLE = f"""{EVT}, {VECTORS},
+up AS (SELECT *, severity IN ('high', 'critical') AS up, event_id % 3 AS cycle FROM good),
+ruled AS (SELECT incident_id AS record_id, cycle, service AS workflow, severity, incident_type,
+    {_rule_case(0)} AS status, {_rule_case(1, False)} AS score, {_rule_case(2)} AS suggested_action, {_rule_case(3)} AS summary, {_rule_case(4)} AS reasoning FROM up),
+pairs AS (SELECT a.record_id AS query_id, b.record_id, round(1 - list_inner_product(x.e, y.e) / (x.n * y.n), 12) AS d
+  FROM ruled a JOIN nrm x USING (record_id) JOIN ruled b ON b.cycle < a.cycle JOIN nrm y ON y.record_id = b.record_id),
+knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, record_id) AS rank FROM pairs QUALIFY rank <= 3),
+{CONTEXT}"""
+
+
+@query(
+    "stream_cycle_with_context",
+    f"""WITH {CYCLE} SELECT record_id, cycle::BIGINT AS cycle, context IS NOT NULL AS context_used,
+      md5(reasoning || CASE WHEN context IS NULL THEN '' ELSE chr(10) || chr(10) || context END) AS reasoning_md5
+    FROM ruled LEFT JOIN ctx ON ctx.query_id = ruled.record_id""",
+)
+def stream_cycle_with_context(spark, folder):
+    """Three cycles over a third of the events each; every evaluation is told of its neighbours in the cycles before."""
+    root = _place(spark, "context")
+    events = table(spark, folder, "events")
+    stream = payloads_of(incidents_of(_pieces(spark, events, root, F.col("event_id") % 3)))
+    stored = vectors(spark, folder)
+    memory = CycleMemory(spark, root, lambda records: records.select("record_id").join(stored, "record_id"))
+    start_ingest(stream, root, None, memory=memory).awaitTermination()
+    rec = spark.read.parquet(f"{root}/records")
+    return rec.select("record_id", F.col("batch_id").cast("bigint").alias("cycle"), "context_used", F.md5("reasoning").alias("reasoning_md5"))
+
+
 @query("stream_cooldown_alerts", greedy_sql("event_type", "1 HOUR"))
 def stream_cooldown_alerts(spark, folder):
     root = _place(spark, "cooldown")

@@ -392,9 +392,11 @@ def stored_records(spark, folder):
     return rec
 
 
-VEC = """
+VECTORS = """
 vec AS (SELECT 'rec_' || lpad(CAST(vec_id AS VARCHAR), 12, '0') AS record_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-nrm AS (SELECT record_id, e, sqrt(list_inner_product(e, e)) AS n FROM vec),
+nrm AS (SELECT record_id, e, sqrt(list_inner_product(e, e)) AS n FROM vec)"""
+
+VEC = VECTORS + """,
 dst AS (SELECT a.record_id AS query_id, b.record_id, round(1 - list_inner_product(a.e, b.e) / (a.n * b.n), 12) AS d
   FROM nrm a JOIN nrm b ON a.record_id <> b.record_id),
 knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, record_id) AS rank FROM dst QUALIFY rank <= 3)"""
@@ -451,6 +453,16 @@ def lsh_recall(spark, folder):
     return with_recall(spark, folder, sm.similar_incidents_lsh)
 
 
+CONTEXT = """
+blk AS (SELECT query_id, string_agg('### Incident ' || rank || ' (similarity: ' || printf('%.0f', round_even(greatest(0, 1 - d / 2), 3) * 100) || '%)' || chr(10)
+    || '- **Workflow:** ' || workflow || chr(10) || '- **Type / Severity:** ' || incident_type || ' / ' || severity || chr(10)
+    || '- **Evaluation:** ' || status || ' (score ' || score || ')' || chr(10) || '- **Summary:** ' || summary || chr(10)
+    || '- **Action taken:** ' || suggested_action || chr(10), chr(10) ORDER BY rank) AS body
+  FROM knn JOIN ruled USING (record_id) GROUP BY query_id),
+ctx AS (SELECT query_id, '## Historical Context — Similar Past Incidents' || chr(10) || chr(10)
+    || 'The following incidents from the operational history are semantically similar' || chr(10)
+    || 'to the current one and may provide useful signal for evaluation:' || chr(10) || chr(10) || body AS context FROM blk)"""
+
 RET = REC + "," + VEC + """,
 band AS (SELECT *, severity IN ('high', 'critical') AS up FROM rec),
 ruled AS (SELECT * REPLACE (
@@ -464,14 +476,7 @@ ruled AS (SELECT * REPLACE (
       WHEN 'technical_error' THEN CASE WHEN up THEN 'Critical technical failure detected in the workflow.' ELSE 'Technical issue detected in the workflow.' END
       WHEN 'semantic_error' THEN 'Semantic quality issue detected in the workflow output.' ELSE 'Workflow degradation detected.' END AS summary
   FROM band),
-blk AS (SELECT query_id, string_agg('### Incident ' || rank || ' (similarity: ' || printf('%.0f', round_even(greatest(0, 1 - d / 2), 3) * 100) || '%)' || chr(10)
-    || '- **Workflow:** ' || workflow || chr(10) || '- **Type / Severity:** ' || incident_type || ' / ' || severity || chr(10)
-    || '- **Evaluation:** ' || status || ' (score ' || score || ')' || chr(10) || '- **Summary:** ' || summary || chr(10)
-    || '- **Action taken:** ' || suggested_action || chr(10), chr(10) ORDER BY rank) AS body
-  FROM knn JOIN ruled USING (record_id) GROUP BY query_id),
-ctx AS (SELECT query_id, '## Historical Context — Similar Past Incidents' || chr(10) || chr(10)
-    || 'The following incidents from the operational history are semantically similar' || chr(10)
-    || 'to the current one and may provide useful signal for evaluation:' || chr(10) || chr(10) || body AS context FROM blk)"""
+""" + CONTEXT
 
 
 @query("retrieval_context", f"WITH {RET} SELECT query_id, context FROM ctx")

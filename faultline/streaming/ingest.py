@@ -11,8 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from faultline.operators.evaluate import cycle_summary
 from faultline.operators.ingest import ingest
 from faultline.operators.normalize import incident_type_from_error
+from faultline.operators.similarity import rag_evaluate, retrieval_context
+from faultline.session import stable
 from faultline.sources.buffer import messages
 from faultline.sources.payloads import with_positions
+from faultline.streaming.memory import CycleMemory
 
 MIN_INTERVAL, MAX_INTERVAL = 1, 60
 
@@ -22,11 +25,14 @@ def _write(df: DataFrame, root: str, name: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
 
 
-def run_cycle(payloads: DataFrame, batch_id: int, root: str, retrieve: Callable[[DataFrame], DataFrame] | None = None) -> None:
+def run_cycle(
+    payloads: DataFrame, batch_id: int, root: str, retrieve: Callable[[DataFrame], DataFrame] | None = None, memory: CycleMemory | None = None
+) -> None:
     """One cycle over one set of payloads: records, actions, quarantine, buffer messages and the summary.
 
     `retrieve` maps the records to their neighbours (query_id, record_id, ...) among what earlier cycles
-    stored; it runs before the records of this cycle are written, so none finds itself.
+    stored; it runs before the records of this cycle are written, so none finds itself. With a `memory` the neighbours are
+    looked up there, their evaluations become context in the reasoning of this cycle's, and its records are added after.
     """
     if {"file", "split"} <= set(payloads.columns):
         payloads = with_positions(payloads)
@@ -35,6 +41,14 @@ def run_cycle(payloads: DataFrame, batch_id: int, root: str, retrieve: Callable[
     records = done.records.withColumn("cycle_id", F.lit(batch_id)).persist()
     actions = done.actions().withColumn("cycle_id", F.lit(batch_id)).persist()
     hits = records.select("cycle_id").limit(0)
+    plain = records
+    found = memory.recall(records, batch_id) if memory is not None else None
+    if found is not None:
+        found = stable(found)
+        records = rag_evaluate(records, retrieval_context(found)).persist()
+        hits = found.select("query_id").distinct().select(F.lit(batch_id).alias("cycle_id"))
+    elif memory is not None:
+        records = records.withColumn("context_used", F.lit(False))
     if retrieve is not None:
         hits = retrieve(records).select("query_id").distinct().select(F.lit(batch_id).alias("cycle_id"))
     _write(cycle_summary(records, actions, hits).drop("cycle_id"), root, "cycles", batch_id)
@@ -43,17 +57,20 @@ def run_cycle(payloads: DataFrame, batch_id: int, root: str, retrieve: Callable[
     _write(done.quarantine, root, "quarantine", batch_id)
     typed = done.events.withColumn("incident_type", incident_type_from_error(F.col("error_type")))
     _write(messages(typed), root, "buffer", batch_id)
-    for df in (actions, records, payloads):
+    if memory is not None:
+        memory.remember(plain, batch_id)
+    for df in (actions, records, plain, payloads):
         df.unpersist()
 
 
 def start_ingest(
-    payloads: DataFrame, root: str, seconds: int | None = 10, retrieve: Callable[[DataFrame], DataFrame] | None = None
+    payloads: DataFrame, root: str, seconds: int | None = 10, retrieve: Callable[[DataFrame], DataFrame] | None = None,
+    memory: CycleMemory | None = None,
 ) -> StreamingQuery:
     """Run a cycle every `seconds`; None takes what is there now and stops."""
     if seconds is not None and not MIN_INTERVAL <= seconds <= MAX_INTERVAL:
         raise ValueError(f"the interval must be {MIN_INTERVAL} to {MAX_INTERVAL} seconds")
-    writer = payloads.writeStream.foreachBatch(lambda df, batch_id: run_cycle(df, batch_id, root, retrieve))
+    writer = payloads.writeStream.foreachBatch(lambda df, batch_id: run_cycle(df, batch_id, root, retrieve, memory))
     writer = writer.option("checkpointLocation", f"{root}/_progress")
     trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
     return writer.trigger(**trigger).start()
