@@ -19,17 +19,34 @@ def snapshot_versions(states: DataFrame, state: Column, thread: str = "thread_id
     The version counts distinct states in the order they first came; a state saved again keeps its version
     and takes the newer payload and time. The parent is the state before it.
     """
+    return numbered(distinct_states(states, state, thread, at), thread).drop("payload_order")
+
+
+def distinct_states(states: DataFrame, state: Column, thread: str = "thread_id", at: str = "at") -> DataFrame:
+    """One row per thread and state: first and last time, the newest payload, and what it was chosen by."""
     keyed = states.withColumn("snapshot_id", snapshot_id(state))
     others = [c for c in states.columns if c not in (thread, at)]
     # of states saved at one instant the same one is taken in every run
-    newest = F.max_by(F.struct(*others), F.struct(F.col(at), F.xxhash64(*others)))
-    merged = keyed.groupBy(thread, "snapshot_id").agg(
-        F.min(at).alias("first_at"), F.max(at).alias("last_at"), newest.alias("payload")
+    order = F.struct(F.col(at).alias("at"), F.xxhash64(*others).alias("hash"))
+    return keyed.groupBy(thread, "snapshot_id").agg(
+        F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.max_by(F.struct(*others), order).alias("payload"), F.max(order).alias("payload_order")
     )
-    numbered = row_numbers(merged, [thread], ["first_at", "snapshot_id"], "version")
-    linked = sliding(numbered, [thread], "version", 1, {"_parent": F.first("snapshot_id")})
+
+
+def merged_states(parts: DataFrame, thread: str = "thread_id") -> DataFrame:
+    """Distinct states of several batches as those of all of them."""
+    return parts.groupBy(thread, "snapshot_id").agg(
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max_by("payload", "payload_order").alias("payload"),
+        F.max("payload_order").alias("payload_order"),
+    )
+
+
+def numbered(merged: DataFrame, thread: str = "thread_id") -> DataFrame:
+    """Distinct states with their version and parent."""
+    placed = row_numbers(merged, [thread], ["first_at", "snapshot_id"], "version")
+    linked = sliding(placed, [thread], "version", 1, {"_parent": F.first("snapshot_id")})
     parent = F.when(F.col("version") > 1, F.col("_parent"))
-    return linked.select(thread, "snapshot_id", "version", parent.alias("parent_id"), "first_at", "last_at", "payload")
+    return linked.select(thread, "snapshot_id", "version", parent.alias("parent_id"), "first_at", "last_at", "payload", "payload_order")
 
 
 def latest_snapshot(versions: DataFrame, thread: str = "thread_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from faultline import fixed
@@ -10,6 +12,8 @@ from faultline.operators import routing as rt
 from faultline.operators import snapshots as sn
 from faultline.plans.registry import query
 from faultline.plans.workload import INC, incidents, sql_stamp, stamp, table
+from faultline.session import shared_folder
+from faultline.streaming.snapshots import stored_versions, upsert_snapshots
 
 
 # --- model outputs ----------------------------------------------------------------------------------
@@ -274,13 +278,19 @@ def execution_summary(spark, folder):
 
 
 # --- snapshots ----------------------------------------------------------------------------------------
-def _versions(spark, folder):
+STATE = ("role", "mood")
+
+
+def _states(spark, folder):
     """Turns of conversations as saved states; states of a thread repeat."""
-    states = table(spark, folder, "conversations").select(
+    return table(spark, folder, "conversations").select(
         F.col("conv_id").alias("thread_id"), F.expr("timestamp_seconds(1704067200 + turn * 43200)").alias("at"), "role",
         (F.length("text") % 4).alias("mood"), "turn",
     )
-    return sn.snapshot_versions(states, F.concat_ws(":", "role", "mood"))
+
+
+def _versions(spark, folder):
+    return sn.snapshot_versions(_states(spark, folder), F.concat_ws(":", *STATE))
 
 
 SNP = """
@@ -305,6 +315,17 @@ def snapshot_versions(spark, folder):
     return _flat(_versions(spark, folder))
 
 
+@query("snapshot_upsert", f"WITH {SNP} SELECT {SNP_COLUMNS} FROM snp")
+def snapshot_upsert(spark, folder):
+    """The states in three batches, the later turns first, and the last batch twice."""
+    root = f"{shared_folder(spark)}/faultline-snapshots-{uuid.uuid4().hex[:12]}"
+    states = _states(spark, folder)
+    late = F.col("turn") >= 3
+    for batch_id, part in ((0, late), (1, ~late & (F.col("turn") % 2 == 1)), (2, ~late & (F.col("turn") % 2 == 0)), (2, ~late & (F.col("turn") % 2 == 0))):
+        upsert_snapshots(states.where(part), F.concat_ws(":", *STATE), root, batch_id, buckets=8)
+    return _flat(stored_versions(states, root))
+
+
 @query(
     "latest_snapshot",
     f"WITH {SNP} SELECT {SNP_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY version DESC) AS rn FROM snp) WHERE rn = 1",
