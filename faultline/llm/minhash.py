@@ -125,11 +125,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        tokens = [text_words(t) for t in batch["text"]]
-        cells = [shingles(t) for t in tokens]
+        cells = [shingles(text_words(t)) for t in batch["text"]]
         lows = [signature(c, BYTES) for c in cells]
         yield pd.DataFrame({
-            "text_key": [text_key(t) for t in tokens],
+            "node": batch["node"],
             "n": [len(c) for c in cells],
             "cells": [c.tobytes() for c in cells],
             "sig": [x.astype(np.uint8).tobytes() for x in lows],
@@ -240,20 +239,21 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     )
     # every doc_id here is known; texts with the same words are one node, whose number is that of its row in the saved table
     known = sketches.where("doc_id IS NOT NULL AND text_key IS NOT NULL")
-    texts = known.groupBy("text_key").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
-    nodes = saved(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # each is read again from one row that holds it: the one with the smallest doc_id, and of its texts the smallest hash
+    texts = known.groupBy("text_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("held"), F.first("bands").alias("bands"))
+    nodes = saved(texts.select("text_key", F.col("held.doc_id").alias("low"), F.col("held.text_hash").alias("held_hash"), "bands").withColumn(
+        "node", F.monotonically_increasing_id()), "nodes")
     rows = nodes.select("node", "low", F.explode("bands").alias("bucket"))
     # a bucket's first node is its oldest: that is more often what the others were copied from than any other node
     first = rows.groupBy("bucket").agg(F.min(F.struct("low", "node"))["node"].alias("first"), F.min("node").alias("a"), F.max("node").alias("b"))
     first = first.where("a <> b")
     shared = saved(rows.drop("low").join(first.select("bucket", "first"), "bucket"), "buckets")
 
-    wanted = saved(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("text_key", "node", "low"), "wanted")
-    # a doc_id may have several texts: the sets of all of them are made, and those of the wanted ones kept, once each
-    read = source.join(wanted.select("low").distinct(), source.doc_id == F.col("low"), "left_semi").dropDuplicates(["doc_id", "text"])
-    made = read.select("text").mapInPandas(_sets, "text_key binary, n bigint, cells binary, sig binary, keys binary")
-    made = made.join(wanted.select("text_key", "node"), "text_key").drop("text_key")
-    sets = saved(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "cells", "sig", "keys")]), "sets")
+    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "low", "held_hash")
+    read = sketched.join(wanted, (F.col("doc_id") == F.col("low")) & (F.col("text_hash") == F.col("held_hash")))
+    # repeated rows; the rows are where the join has put them
+    read = read.groupBy("doc_id", "text_hash").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    sets = saved(read.select("node", "text").mapInPandas(_sets, "node bigint, n bigint, cells binary, sig binary, keys binary"), "sets")
     stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     likely = _pairs_with(stars, sets, "n", "sig").mapInPandas(lambda it: _estimated(it, percent), pairs_schema)
     links = saved(confirm(likely, sets, percent), "links")
