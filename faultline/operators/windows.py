@@ -58,9 +58,11 @@ def window_service_summary(events: DataFrame, batch: str = "batch_id") -> DataFr
     )
 
 
-def window_report(summary: DataFrame, window_seconds: int, batch: str = "batch_id") -> DataFrame:
-    """The rule-based report per batch, flat: counts and texts, without the nested lists."""
+def window_report(summary: DataFrame, window_seconds: int, batch: str = "batch_id", lists: bool = False) -> DataFrame:
+    """The rule-based report per batch: counts and texts, and if wanted the nested lists of services."""
+    entries = F.sort_array(F.collect_list(F.struct("service", "count", "dominant_severity", "incident_types")))
     totals = summary.groupBy(batch).agg(
+        *([entries.alias("events_by_service")] if lists else []),
         F.sum("count").alias("event_count"),
         F.count("*").alias("services"),
         F.sum("urgent").alias("urgent_count"),
@@ -86,6 +88,7 @@ def window_report(summary: DataFrame, window_seconds: int, batch: str = "batch_i
         F.lit("low").alias("hallucination_risk"),
         F.lit(40).alias("confidence_score"),
         F.lit(False).alias("llm_used"),
+        *([F.col("events_by_service"), F.col("events_by_service.service").alias("services_affected")] if lists else []),
     )
 
 
@@ -141,7 +144,7 @@ def analyze_window(events: DataFrame, as_of: Column, seconds: int, service: str
     if service is not None:
         recent = recent.where(F.col("service") == service)
     summary = window_service_summary(recent.withColumn("batch_id", F.lit(0)))
-    report = nested_report(window_report(summary, seconds), summary)
+    report = window_report(summary, seconds, lists=True)
     none = (F.array().cast(EVENTS_BY_SERVICE).alias("events_by_service"), F.array().cast("array<string>").alias("services_affected"))
     empty = events.sparkSession.range(1).select(F.lit(0).alias("batch_id"), *_empty_report(seconds), *none)
     # the empty report is what is left where there is no other
