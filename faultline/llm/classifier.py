@@ -1,15 +1,18 @@
 """A text quality classifier: naive Bayes weights times a linear hinge-loss model (NB-SVM).
 
 Features are indicators of n-grams of 1 to 3 word shapes (capitals, small letters and digits as runs, other signs
-as they are, a word equal to the one before it as a repeat), and for each n-gram a second indicator if it covers a
-twentieth of the text. Each indicator is scaled by its class log-count ratio, each text to length one, and a linear
-model is fitted by dual coordinate descent, each class with equal total weight.
+as they are, a word equal to the one before it as a repeat), for each of these a second indicator if it covers a
+twentieth of the text, and the 3-grams of characters of all words, with a mark at both ends. Each indicator is scaled by
+its class log-count ratio, each text to length one, and a linear model is fitted by dual coordinate descent, each class
+with equal total weight. The weights are then drawn halfway to their mean size, so that an indicator the fit has
+never seen still counts by its ratio: text of letters that no labelled text has is no good text.
 
 The fit takes at most SAMPLE labelled rows, those with the smallest hash of their id among the rows that are not
-held out; that bounds what the driver holds. The model is 2^18 numbers. Everything is scored by one narrow pass.
+held out; that bounds the rows that the driver holds, each of at most 2^18 indicators. The model is 2^18 numbers.
+Everything is scored by one narrow pass.
 
 Defined results: empty and null texts have no feature and get the score of the bias alone; labels that are null or
-have no document are left out; a doc_id labelled twice counts with both; without both classes every score is 0.5;
+have no document are left out; a doc_id labelled twice, or with several texts, counts with each; without both classes every score is 0.5;
 a null doc_id is scored and not held out; repeated rows each give a row; other columns are ignored.
 """
 
@@ -26,10 +29,14 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 18
 SAMPLE = 20_000
-EPOCHS = 12
+EPOCHS = 60  # rounds at most
+SLACK = 0.02  # the fit ends with the round in which no slope is above this
 COST = 1.0
 SHARE = 20  # an n-gram is frequent from a twentieth of the words on
+TRUST = 0.5  # share of a weight that comes from the fit, the rest being the mean size of all weights
+LETTERS = 3
 _SHAPES_KEPT = 200_000
+_LONGEST_KEPT = 64  # characters of the longest word whose n-grams are kept
 _FACTORS = np.random.default_rng(7).integers(0, 2**64, 3, dtype=np.uint64) | np.uint64(1)
 _REPEAT = np.uint64(xxhash.xxh3_64_intdigest(b"same as before"))
 
@@ -45,7 +52,21 @@ class _Shapes(dict):
         return value
 
 
+class _Spelling(dict):
+    """The numbers of a word's n-grams of characters, kept per worker up to a bound."""
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= _SHAPES_KEPT:
+            self.clear()
+        marked = f"^{word.lower()}$"
+        value = [xxhash.xxh3_64_intdigest(marked[k : k + LETTERS]) >> 46 for k in range(len(marked) - LETTERS + 1)]
+        if len(word) <= _LONGEST_KEPT:
+            self[word] = value
+        return value
+
+
 _shapes = _Shapes()
+_spelling = _Spelling()
 
 
 def features(text: str | None) -> np.ndarray:
@@ -66,6 +87,10 @@ def features(text: str | None) -> np.ndarray:
         found, counts = np.unique(grams, return_counts=True)
         often = found[counts * SHARE >= len(words)]
         out += [found >> np.uint64(46), (often * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(46)]
+    letters: set[int] = set()
+    for word in set(words):
+        letters.update(_spelling[word])
+    out.append(np.fromiter(letters, np.uint64, len(letters)))
     return np.unique(np.concatenate(out)).astype(np.uint32)
 
 
@@ -76,7 +101,9 @@ def fit(rows: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, float]:
     counts = np.ones((2, DIMENSIONS))
     for row, g in zip(rows, good, strict=True):
         counts[int(g), row] += 1
-    ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
+    # an indicator that no text has is no part of the vocabulary
+    known = counts[:, counts.sum(axis=0) > 2].sum(axis=1)
+    ratio = np.log((counts[1] / known[1]) / (counts[0] / known[0]))
     sign = np.where(good, 1.0, -1.0)
     limit = COST * np.where(good, len(good) / (2 * good.sum()), len(good) / (2 * (~good).sum()))
     scaled = [ratio[row] for row in rows]
@@ -85,18 +112,29 @@ def fit(rows: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, float]:
     curve = np.array([x @ x + 1 for x in scaled])
     order = np.random.default_rng(0)
     for _ in range(EPOCHS):
+        worst = 0.0
         for k in order.permutation(len(rows)):
             row, x = rows[k], scaled[k]
             slope = sign[k] * (weights[row] @ x + bias) - 1
             new = min(max(dual[k] - slope / curve[k], 0.0), limit[k])
             if new != dual[k]:
+                worst = max(worst, abs(new - dual[k]) * curve[k])
                 step = (new - dual[k]) * sign[k]
                 weights[row] += step * x
                 bias += step
                 dual[k] = new
+        if worst <= SLACK:
+            break
     return np.stack([weights, ratio]), bias
 
 
+def drawn_to_mean(model: np.ndarray, trust: float = TRUST) -> np.ndarray:
+    """The weights, each drawn to the mean size of those that the fit has moved."""
+    moved = np.abs(model[0][model[0] != 0])
+    mean = float(moved.mean()) if len(moved) else 0.0
+    return np.stack([(1 - trust) * mean + trust * model[0], model[1]])
+
+
 def score(row: np.ndarray, model: np.ndarray, bias: float) -> float:
     weights, ratio = model
     x = ratio[row]
@@ -118,12 +156,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             rows = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "row"])
 
-    # the sample is bounded by `sample` short rows
+    # the labels are bounded by `sample` short rows, and so are the texts, of which an id may have several
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     found = texts.select("doc_id", "quality", "text").mapInArrow(coded, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, row binary")
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "row").limit(sample)
     taken = sorted((r.doc_id, r.quality, bytes(r.row)) for r in found.collect())
     model, bias = fit([np.frombuffer(r[2], np.uint32) for r in taken], np.array([r[1] == 1 for r in taken], bool))
-    return (model if model.ndim == 2 else np.stack([model, model])).astype(np.float32), bias
+    return (drawn_to_mean(model) if model.ndim == 2 else np.stack([model, model])).astype(np.float32), bias
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
