@@ -1,6 +1,8 @@
 """Licences of files: notices found by TF-IDF cosine to templates, and inheritance from the nearest directory.
 
-Every line of every text is a possible notice. A text that as a whole is a template or a licence's whole text is a
+Every line of every text is a possible notice, and so is every paragraph of several lines without its comment signs, as
+headers are wrapped. A template that names a version fits only words that name the same one, or none; a line without one
+goes by what its paragraph calls a version. A text that as a whole is a template or a licence's whole text is a
 licence file; so is a file named like a licence that is close to one or has a notice. Whole texts have templates and
 document frequencies of their own; a text that is surely one of them has that licence, whatever lines it holds.
 Lines and whole texts are compared with the templates as sparse TF-IDF
@@ -35,12 +37,26 @@ WHOLE = 0.9  # a text this close to a template as a whole is a licence file, wha
 NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"  # files that are one from THRESHOLD on
 TEXT_HINTS = ("licen", "copyright", "redistribut", "warrant")  # a whole text of a licence has some of them
 
+
+def _gnu(name: str, version: str) -> tuple[str, ...]:
+    """The usual notices under a licence of the GNU project."""
+    return (
+        f"This work is licensed under the GNU {name}, version {version}.",
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as "
+        f"published by the Free Software Foundation, either version {version} of the License, or any later version.",
+        f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {name} version {version} "
+        "as published by the Free Software Foundation.",
+    )
+
+
 # fixed values: usual notices of public licences
 TEMPLATES: dict[str, Sequence[str]] = {
+    "AGPL-3.0": _gnu("Affero General Public License", "3"),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
     ),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
@@ -55,12 +71,20 @@ TEMPLATES: dict[str, Sequence[str]] = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or any later version.",
+    "CC0-1.0": (
+        "This work is dedicated to the public domain under CC0 1.0.",
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software "
+        "to the public domain worldwide.",
+    ),
+    "GPL-2.0": _gnu("General Public License", "2"),
+    "GPL-3.0": _gnu("General Public License", "3"),
+    "ISC": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
     ),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "3"),
     "MIT": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
@@ -70,7 +94,37 @@ TEMPLATES: dict[str, Sequence[str]] = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ),
 }
+SPDX = "SPDX-License-Identifier: "
+SPDX_FORMS = {"AGPL": ("", "-only", "-or-later"), "GPL": ("", "-only", "-or-later"), "LGPL": ("", "-only", "-or-later")}
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+_VERSION = re.compile(r"v?(\d{1,2}(?:\.\d{1,2})*)")
+_SAID = re.compile(r"\bv(?:ersion|\.)?\s*(\d{1,2}(?:\.\d{1,2})*)")
+_DECORATION = " \t\r\f\v*/#;%-!<>\"'"  # signs of comments at both ends of a line
+
+
+def with_tags(templates: Mapping[str, Sequence[str]]) -> dict[str, Sequence[str]]:
+    """The templates, and the tags that name each licence by its identifier."""
+    return {name: (*texts, *(SPDX + name + form for form in SPDX_FORMS.get(name.split("-")[0], ("",)))) for name, texts in templates.items()}
+
+
+def versions(words: Sequence[str]) -> set[str]:
+    """The version numbers among words; 2.0 is 2."""
+    found = (_VERSION.fullmatch(w) for w in words)
+    return {re.sub(r"(\.0)+$", "", m.group(1)) for m in found if m}
+
+
+def paragraphs(low: str) -> list[list[str]]:
+    """The lines without comment signs, in stretches between lines that have nothing else."""
+    out, held = [], []
+    for line in [*low.split("\n"), ""]:
+        bare = line.strip(_DECORATION)
+        if bare:
+            held.append(bare)
+        else:
+            if held:
+                out.append(held)
+            held = []
+    return out
 
 
 def license_words(text: str) -> list[str]:
@@ -80,7 +134,7 @@ def license_words(text: str) -> list[str]:
 class Templates:
     """The templates as unit vectors, and the words without which none is reached."""
 
-    def __init__(self, templates: Mapping[str, Sequence[str]], threshold: float):
+    def __init__(self, templates: Mapping[str, Sequence[str]], threshold: float, versioned: bool = True):
         self.threshold = threshold
         counted = [(name, Counter(license_words(t))) for name in sorted(templates) for t in templates[name]]
         n = len(counted)
@@ -91,9 +145,9 @@ class Templates:
         for name, counts in counted:
             raw = {w: k * self.idf[w] for w, k in counts.items()}
             length = math.sqrt(sum(x * x for x in raw.values()))
-            self.vectors.append((name, {w: x / length for w, x in raw.items()}))
+            self.vectors.append((name, {w: x / length for w, x in raw.items()}, versions(list(counts)) if versioned else set()))
         telling = set()
-        for _, vector in self.vectors:
+        for _, vector, _ in self.vectors:
             left = 1.0
             # the heaviest words first, until the rest alone stays below the threshold
             for word, x in sorted(vector.items(), key=lambda v: (-v[1], v[0])):
@@ -104,15 +158,18 @@ class Templates:
         # a word that holds another telling one needs no look of its own
         self.telling = sorted(w for w in telling if not any(o != w and o in w for o in telling))
 
-    def best(self, words: list[str]) -> tuple[float, str] | None:
-        """The closest template and its cosine, if that reaches the threshold."""
+    def best(self, words: list[str], around: set[str] = frozenset()) -> tuple[float, str] | None:
+        """The closest template and its cosine, if that reaches the threshold; without a version in `words`, those `around` count."""
         raw = {w: k * self.idf.get(w, self.unknown) for w, k in Counter(words).items()}
         length = math.sqrt(sum(x * x for x in raw.values()))
         # no cosine is above the share of the text's length that lies in words of the templates
         if sum(x * x for w, x in raw.items() if w in self.idf) < (0.999 * self.threshold * length) ** 2:
             return None
         found = None
-        for name, vector in self.vectors:
+        named = versions(list(raw)) or around
+        for name, vector, own in self.vectors:
+            if own and named and not own & named:
+                continue
             dot = sum(x * vector[w] for w, x in raw.items() if w in vector) / length if length else 0.0
             if dot >= self.threshold and (found is None or dot > found[0]):
                 found = dot, name
@@ -124,13 +181,19 @@ class Templates:
         low = text.lower()
         if not any(w in low for w in self.telling) and not (texts and any(w in low for w in TEXT_HINTS)):
             return None, None, 0, None
-        notices = [
-            hit for line in low.split("\n") if any(w in line for w in self.telling) and (hit := self.best(license_words(line)))
-        ]
+        notices, blocks = [], []
+        for lines in paragraphs(low):
+            told = [line for line in lines if any(w in line for w in self.telling)]
+            if told:
+                block = " ".join(lines)
+                around = versions(_SAID.findall(block))
+                notices += [hit for line in told if (hit := self.best(license_words(line), around))]
+                if len(lines) > 1 and (hit := self.best(license_words(block))):
+                    blocks.append(hit)
         words = license_words(low)
         wholes = [hit for known in (self, texts) if known and (hit := known.best(words))]
         whole = min(wholes, key=lambda h: (-h[0], h[1]), default=None)
-        best = whole if whole and whole[0] >= WHOLE else min([*notices, *wholes], key=lambda h: (-h[0], h[1]), default=None)
+        best = whole if whole and whole[0] >= WHOLE else min([*notices, *blocks, *wholes], key=lambda h: (-h[0], h[1]), default=None)
         return (best[1], round(best[0], 6), len(notices), whole[0] if whole else None) if best else (None, None, 0, None)
 
 
@@ -141,8 +204,9 @@ def find_licenses(
     license (own, or the inherited one), inherited_from (the directory, if inherited)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(templates, threshold)
-        whole = Templates({name: [text] for name, text in texts.items()}, threshold) if texts else None
+        known = Templates(with_tags(templates), threshold)
+        # a whole text has numbers of sections
+        whole = Templates({name: [text] for name, text in texts.items()}, threshold, versioned=False) if texts else None
         for batch in batches:
             rows = [known.scan(t or "", whole) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
