@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline import fixed
+from faultline.operators import codes
 from faultline.operators import grounding as gr
 from faultline.operators import similarity as sm
 from faultline.operators import windows as wn
@@ -414,17 +415,33 @@ def cosine_distance(spark, folder):
     return v.join(after, "vec_id").select("vec_id", F.round(sm.cosine_distance(F.col("embedding"), F.col("other")), 6).alias("distance"))
 
 
-@query(
-    "similar_incidents",
-    f"""WITH {VEC} SELECT query_id, CAST(rank AS INTEGER) AS rank, record_id, round(d, 6) AS distance,
-      round_even(greatest(0, 1 - d / 2), 3) AS similarity FROM knn""",
-)
+NEAREST = f"""WITH {VEC} SELECT query_id, CAST(rank AS INTEGER) AS rank, record_id, round(d, 6) AS distance,
+      round_even(greatest(0, 1 - d / 2), 3) AS similarity FROM knn"""
+
+
+@query("similar_incidents", NEAREST)
 def similar_incidents(spark, folder):
     stored = vectors(spark, folder)
     found = sm.similar_incidents(stored.withColumnRenamed("record_id", "query_id"), stored)
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query("similar_by_codes", NEAREST)
+def similar_by_codes(spark, folder):
+    stored = vectors(spark, folder)
+    found = codes.similar_by_codes(stored.withColumnRenamed("record_id", "query_id"), stored)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query("full_comparisons", f"""WITH {VECTORS} SELECT CAST(count(*) * sum(least(copies, 4)) AS BIGINT) AS pairs, true AS few
+      FROM (SELECT e, count(*) AS copies FROM nrm GROUP BY e)""")
+def full_comparisons(spark, folder):
+    """Pairs of vectors, and whether the codes leave less than a twentieth of them to be compared in full."""
+    stored = vectors(spark, folder)
+    found = codes.compared(stored.withColumnRenamed("record_id", "query_id"), stored)
+    return found.select("pairs", (F.col("compared") < 0.05 * F.col("pairs")).alias("few"))
+
+
 def with_recall(spark, folder, search):
     """How many of all true neighbours `search` finds, and whether that is nine tenths of them."""
     stored = vectors(spark, folder)

@@ -32,7 +32,7 @@ def test_flagship(spark):
 
 # queries that run Python on Arrow batches, and why
 PYTHON = {"similar_incidents", "similar_incidents_lsh", "lsh_recall", "ivf_recall", "retrieval_context", "rag_evaluate", "retrieval_outcome",
-          "neighbour_action_profile", "cooldown_alerts", "claim_actions"}
+          "neighbour_action_profile", "similar_by_codes", "full_comparisons", "cooldown_alerts", "claim_actions"}
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_") or n == "stream_status"))
