@@ -185,16 +185,29 @@ def analytics_rows(spark, folder):
     return st.analytics_rows(records(spark, folder)).withColumn("received_at", stamp("received_at"))
 
 
-@query(
-    "audit_trail",
-    f"""WITH {ACT} SELECT rec.record_id, rec.status, action_id, action_type, outcome, log_id, total_tools, successful_tools
-    FROM rec LEFT JOIN act USING (record_id) LEFT JOIN tl ON tl.record_id = rec.record_id""",
-)
+TRAIL = f"""WITH {ACT} SELECT rec.record_id, rec.status, action_id, action_type, outcome, log_id, total_tools, successful_tools
+    FROM rec LEFT JOIN act USING (record_id) LEFT JOIN tl ON tl.record_id = rec.record_id"""
+
+
+@query("audit_trail", TRAIL)
 def audit_trail(spark, folder):
     rec = records(spark, folder).select("record_id", "status")
     return st.audit_trail(rec, _actions(spark, folder), _tool_log(spark, folder))
 
 
+@query("audit_trail_stored", TRAIL)
+def audit_trail_stored(spark, folder):
+    """The trail over tables in buckets, the records of which came in two batches."""
+    run = uuid.uuid4().hex
+    rec = records(spark, folder).select("record_id", "status")
+    first = F.pmod(F.xxhash64("record_id"), F.lit(2)) == 0
+    parts = {"records": [rec.where(first), rec.where(~first)], "actions": [_actions(spark, folder)], "calls": [_tool_log(spark, folder)]}
+    for name, batches in parts.items():
+        for batch in batches:
+            st.write_bucketed(batch, f"trail_{name}_{run}", f"{shared_folder(spark)}/trail-{run}/{name}")
+    return st.stored_audit_trail(*(spark.table(f"trail_{name}_{run}") for name in parts))
+
+
 @query(
     "split_numeric",
     """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN lang ELSE CAST(n_chars AS VARCHAR) END AS score
