@@ -146,6 +146,12 @@ class Templates:
             raw = {w: k * self.idf[w] for w, k in counts.items()}
             length = math.sqrt(sum(x * x for x in raw.values()))
             self.vectors.append((name, {w: x / length for w, x in raw.items()}, versions(list(counts)) if versioned else set()))
+        # a word's largest weight in any template, and its weights in all
+        self.weights: dict[str, list[tuple[int, float]]] = {w: [] for w in df}
+        for at, (_, vector, _) in enumerate(self.vectors):
+            for w, x in vector.items():
+                self.weights[w].append((at, x))
+        self.largest = {w: max(x for _, x in found) for w, found in self.weights.items()}
         telling = set()
         for _, vector, _ in self.vectors:
             left = 1.0
@@ -160,19 +166,30 @@ class Templates:
 
     def best(self, words: list[str], around: set[str] = frozenset()) -> tuple[float, str] | None:
         """The closest template and its cosine, if that reaches the threshold; without a version in `words`, those `around` count."""
-        raw = {w: k * self.idf.get(w, self.unknown) for w, k in Counter(words).items()}
-        length = math.sqrt(sum(x * x for x in raw.values()))
-        # no cosine is above the share of the text's length that lies in words of the templates
-        if sum(x * x for w, x in raw.items() if w in self.idf) < (0.999 * self.threshold * length) ** 2:
+        counts = Counter(words)
+        raw = {w: k * self.idf[w] for w, k in counts.items() if w in self.idf}
+        strange = sum(k * k for w, k in counts.items() if w not in raw) * self.unknown**2
+        inside = sum(x * x for x in raw.values())
+        length = math.sqrt(inside + strange)
+        # no cosine is above the share of the text's length that lies in words of the templates, or what their largest weights give
+        least = 0.999 * self.threshold * length
+        if not raw or inside < least**2 or sum(x * self.largest[w] for w, x in raw.items()) < least:
             return None
+        dots = [0.0] * len(self.vectors)
+        for w, x in raw.items():
+            for at, weight in self.weights[w]:
+                dots[at] += x * weight
         found = None
-        named = versions(list(raw)) or around
-        for name, vector, own in self.vectors:
+        named = None
+        for (name, _, own), dot in zip(self.vectors, dots, strict=True):
+            cosine = dot / length
+            if cosine < self.threshold or (found is not None and cosine <= found[0]):
+                continue
+            if named is None:
+                named = versions(list(counts)) or around
             if own and named and not own & named:
                 continue
-            dot = sum(x * vector[w] for w, x in raw.items() if w in vector) / length if length else 0.0
-            if dot >= self.threshold and (found is None or dot > found[0]):
-                found = dot, name
+            found = cosine, name
         return found
 
     def scan(self, text: str, texts: Templates | None = None) -> tuple[str | None, float | None, int, float | None]:
