@@ -34,9 +34,7 @@ SLACK = 0.02  # the fit ends with the round in which no slope is above this
 COST = 1.0
 SHARE = 20  # an n-gram is frequent from a twentieth of the words on
 TRUST = 0.5  # share of a weight that comes from the fit, the rest being the mean size of all weights
-LETTERS = 3
 _SHAPES_KEPT = 200_000
-_LONGEST_KEPT = 64  # characters of the longest word whose n-grams are kept
 _FACTORS = np.random.default_rng(7).integers(0, 2**64, 3, dtype=np.uint64) | np.uint64(1)
 _REPEAT = np.uint64(xxhash.xxh3_64_intdigest(b"same as before"))
 
@@ -52,21 +50,19 @@ class _Shapes(dict):
         return value
 
 
-class _Spelling(dict):
-    """The numbers of a word's n-grams of characters, kept per worker up to a bound."""
-
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= _SHAPES_KEPT:
-            self.clear()
-        marked = f"^{word.lower()}$"
-        value = [xxhash.xxh3_64_intdigest(marked[k : k + LETTERS]) >> 46 for k in range(len(marked) - LETTERS + 1)]
-        if len(word) <= _LONGEST_KEPT:
-            self[word] = value
-        return value
+_shapes = _Shapes()
 
 
-_shapes = _Shapes()
-_spelling = _Spelling()
+def spelling(words: list[str]) -> np.ndarray:
+    """The numbers of all 3-grams of characters of words, a blank being the mark at both ends of a word."""
+    signs = np.frombuffer(f" {' '.join(words).lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    one, two, three = (signs[k : len(signs) - 2 + k].astype(np.uint64) for k in range(3))
+    grams = (one * _FACTORS[0] + two * _FACTORS[1] + three * _FACTORS[2])[two != ord(" ")]
+    grams ^= grams >> np.uint64(31)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    held = np.zeros(DIMENSIONS, bool)
+    held[grams >> np.uint64(46)] = True
+    return np.flatnonzero(held)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -87,10 +83,7 @@ def features(text: str | None) -> np.ndarray:
         found, counts = np.unique(grams, return_counts=True)
         often = found[counts * SHARE >= len(words)]
         out += [found >> np.uint64(46), (often * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(46)]
-    letters: set[int] = set()
-    for word in set(words):
-        letters.update(_spelling[word])
-    out.append(np.fromiter(letters, np.uint64, len(letters)))
+    out.append(spelling(words).astype(np.uint64))
     return np.unique(np.concatenate(out)).astype(np.uint32)
 
 

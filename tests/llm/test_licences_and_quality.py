@@ -128,3 +128,12 @@ def test_weights_are_drawn_to_their_mean():
     model = np.stack([np.array([0.0, 2.0, -4.0]), np.array([1.0, 1.0, -1.0])])
     assert classifier.drawn_to_mean(model, 0.5)[0].tolist() == [1.5, 2.5, -0.5]
     assert classifier.drawn_to_mean(np.zeros((2, 4)))[0].tolist() == [0.0] * 4
+
+
+def test_spelling_is_that_of_each_word():
+    words = "Ab abc q \u00fcber caf\u00e9 ABC \U0001f600x".split()
+    marked = [f" {w.lower()} " for w in words]
+    grams = {m[k : k + 3] for m in marked for k in range(len(m) - 2)}
+    assert len(classifier.spelling(words)) == len(grams)
+    each = [set(classifier.spelling([w]).tolist()) for w in words]
+    assert set(classifier.spelling(words).tolist()) == set().union(*each)
