@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,20 +65,34 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or a temporary one in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    local = spark.sparkContext.master.startswith("local")
+    """The folder of spark.checkpoint.dir, or else of the context's checkpoints; a temporary one in local mode only."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    local = context.master.startswith("local")
     if folder and not local and spark.conf.get("spark.faultline.mountedCheckpointDir", "false") != "true":
         # a bare path is in the default file system, whichever setting names that
-        if _path(spark, folder)[1].getScheme() == "file":
-            raise RuntimeError("spark.checkpoint.dir is local; set spark.faultline.mountedCheckpointDir=true if all executors mount it")
+        if _path(spark, folder)[1].getScheme() == "file" and not _mounted(spark, folder):
+            raise RuntimeError(f"spark.checkpoint.dir is a local folder that some executors do not see: {folder}")
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="faultline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # the setting cannot be changed on a running session
+    context.setCheckpointDir(os.path.realpath(tempfile.mkdtemp(prefix="faultline-")))
+    return context.getCheckpointDir()
+
+
+def _mounted(spark: SparkSession, folder: str) -> bool:
+    """Whether tasks see a file that the driver puts into a local folder; asked once per context and folder."""
+    context = spark.sparkContext
+    known = context.__dict__.setdefault("_faultline_mounted", {})
+    if folder not in known:
+        at, files = _path(spark, f"{folder.rstrip('/')}/faultline-seen-{uuid.uuid4().hex}")
+        files.create(at).close()
+        path, tasks = at.toUri().getPath(), 4 * context.defaultParallelism
+        known[folder] = all(context.parallelize(range(tasks), tasks).map(lambda _: os.path.exists(path)).collect())
+        files.delete(at, False)
+    return known[folder]
 
 
 def _path(spark: SparkSession, path: str):
@@ -106,6 +121,6 @@ def delete(spark: SparkSession, path: str) -> None:
 def stable(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder, so later reads see the same rows in the same partitions."""
     context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
