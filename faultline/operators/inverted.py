@@ -56,7 +56,7 @@ class InvertedFile:
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    yield batch.assign(cell=sm._to_pivots(sm._unit(sm._matrix(batch["embedding"])), centers).argmin(axis=1))
+                    yield batch.assign(cell=sm._nearest_center(batch["embedding"], centers))
 
         schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
         return kept.mapInPandas(assign, f"{schema}, cell int")
@@ -106,20 +106,24 @@ class InvertedFile:
             return None
         centers, probes, _ = self._centers(known[-1])
         asked = sm._with_vector(queries, "query_id").withColumn("embedding", F.col("embedding").cast("array<float>"))
-        distinct = asked.groupBy("embedding").agg(F.min("query_id").alias("_q"))
+        distinct = sm._distinct(asked)
+        every = sm.nearest_cells(list(range(len(centers))), probes)
 
-        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def visited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            some = np.zeros(len(centers), dtype=bool)
             for batch in batches:
-                if len(batch):
-                    far = sm._to_pivots(sm._unit(sm._matrix(batch["embedding"])), centers)
-                    nearest = np.argsort(far, axis=1, kind="stable")[:, :probes]
-                    yield batch.iloc[np.repeat(np.arange(len(batch)), nearest.shape[1])].assign(cell=nearest.ravel())
+                for _, far in sm._center_strips(batch["embedding"], centers):
+                    some |= every(far).any(axis=0)
+            yield pd.DataFrame({"cell": np.flatnonzero(some)})
 
-        q_type = distinct.schema["_q"].dataType.simpleString()
-        routed = distinct.select("_q", "embedding").mapInPandas(route, f"_q {q_type}, embedding array<float>, cell int").persist()
         # the folders of all other cells are not read; there are at most MOST_CELLS
-        visited = [r[0] for r in routed.select("cell").distinct().collect()]
-        lists = self.read(known[-1], before).where(F.col("cell").isin(visited))
-        found = sm._block_search(routed, lists.select("record_id", "embedding", "cell"), self.k + 1, block_values)
+        cells = [r[0] for r in distinct.select("embedding").mapInPandas(visited, "cell int").distinct().collect()]
+        lists = self.read(known[-1], before).where(F.col("cell").isin(cells))
+        sizes = {r["cell"]: r["count"] for r in lists.groupBy("cell").count().collect()}
+        if sizes:
+            stored = lists.select("record_id", "embedding", "cell")
+            found = sm._cell_search(distinct, stored, sizes, centers, sm.nearest_cells(list(sizes), probes), self.k + 1, block_values)
+        else:
+            found = sm._no_rows(distinct, lists)
         near = sm._per_query(asked, distinct, found, self.k)
         return near.join(lists.select("record_id", *self.fields), "record_id") if self.fields else near

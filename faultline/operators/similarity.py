@@ -2,15 +2,16 @@
 
 Exact search prunes with pivots: each corpus vector belongs to its nearest pivot, and a query visits only
 the cells that the triangle inequality cannot rule out (unit vectors, where cosine order is distance
-order). Cells are cut into blocks of bounded size; a task multiplies one block of queries with one block
-of corpus vectors and gives back at most k rows per query, so pairs never become rows. Where vectors have no
-structure nothing is ruled out; the inverted file then is the way for large corpora: it visits as many of the
-nearest cells as a measured share of the true neighbours asks for.
+order). Cells are packed into blocks of bounded size; a query goes once to each block that holds a cell it
+visits, and a task multiplies one block of queries with one block of corpus vectors and gives back at most
+k rows per query, so neither pairs nor visits become rows. Where vectors have no structure nothing is ruled
+out; the inverted file then is the way for large corpora: it visits as many of the nearest cells as a
+measured share of the true neighbours asks for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,11 @@ from faultline.functions.text import fill
 from faultline.session import stable
 
 PIVOTS = 32
-BLOCK_VALUES = 4_000_000  # numbers in one block of vectors: 32 MB as doubles
+BLOCK_VALUES = 4_000_000  # numbers in one block of vectors: 16 MB as floats
+STRIP = 1024  # queries of a block that are compared at a time, with as many as
+COLUMNS = 2048  # corpus vectors
+AT_HAND = 1_000_000  # distances to centers at hand at a time
+HITS = 32_768  # pairs compared in full at a time
 PER_CELL = 2048  # vectors in a cell of the inverted file
 MOST_CELLS = 4096
 CENTER_SAMPLE = 32_768  # vectors that the centers are fitted on
@@ -31,6 +36,8 @@ PROBE_SAMPLE = 256  # vectors whose true neighbours say how many cells a query v
 TARGET = 0.98  # share of these neighbours that lie in visited cells
 PER_BUCKET = 256  # vectors in a bucket of the hashed search
 DIGITS = 12  # distances closer than this are equal, and go by id
+TIE = 1e-11  # more than that
+BROADCAST_CELLS = 100_000
 
 
 # --- distances ----------------------------------------------------------------------------------
@@ -48,8 +55,8 @@ def similarity(distance: Column) -> Column:
     return round_half_even(F.greatest(F.lit(0.0), F.lit(1.0) - distance / 2), 3)
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _matrix(vectors: pd.Series, kind: type = np.float64) -> np.ndarray:
+    return np.vstack([np.asarray(v, dtype=kind) for v in vectors])
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -61,19 +68,90 @@ def _to_pivots(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (units @ pivots.T)))
 
 
-def _k_smallest(distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and value of the k smallest numbers per row; equal ones go by column."""
-    if distance.shape[1] > k:
-        limit = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
-        rows, columns = np.nonzero(distance <= limit)
-    else:
-        rows, columns = np.indices(distance.shape).reshape(2, -1)
-    values = distance[rows, columns]
-    order = np.lexsort((columns, values, rows))
+def _center_strips(vectors: pd.Series, centers: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Distances to the centers, for as many vectors at a time as are at hand."""
+    step = max(64, AT_HAND // max(1, len(centers)))
+    for lo in range(0, len(vectors), step):
+        part = slice(lo, lo + step)
+        yield part, _to_pivots(_unit(_matrix(vectors.iloc[part])), centers)
+
+
+def _nearest_center(vectors: pd.Series, centers: np.ndarray) -> np.ndarray:
+    return np.concatenate([far.argmin(axis=1) for _, far in _center_strips(vectors, centers)])
+
+
+def _nearest_pairs(
+    asked: np.ndarray, stored: np.ndarray, spans: list[tuple[int, int]], wanted: np.ndarray, rank: np.ndarray, k: int, twice: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of `asked`, row of `stored` and distance of the k nearest rows of `stored` in the wanted spans; equal distances go by `rank`.
+
+    `wanted` says per row of `asked` and span whether it is searched. Products of floats rule out what cannot be among the k
+    nearest found so far, by the bound of their error; the rest is compared in doubles. With `twice`, the k nearest are taken
+    per span, as records that stand there twice take two places in their span only.
+    """
+    a_norm = np.sqrt(np.einsum("ij,ij->i", asked, asked, dtype=np.float64))
+    b_norm = np.sqrt(np.einsum("ij,ij->i", stored, stored, dtype=np.float64))
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        a_unit = (asked / a_norm[:, None]).astype(np.float32)
+        b_unit = (stored / b_norm[:, None]).astype(np.float32)
+    # what is no direction is nobody's neighbour
+    a_odd, b_odd = (~np.isfinite(u).all(axis=1) for u in (a_unit, b_unit))
+    a_unit[a_odd], b_unit[b_odd] = 0, 0
+    error = (asked.shape[1] + 4) * 2.0**-23
+    found = []
+    for lo in range(0, len(asked), STRIP):
+        size = min(STRIP, len(asked) - lo)
+        distance, place = np.full((size, k), np.inf), np.full((size, k), -1)
+        for i, (first, last) in enumerate(spans):
+            rows = np.flatnonzero(wanted[lo : lo + size, i] & ~a_odd[lo : lo + size])
+            for left in range(first, last if len(rows) else first, COLUMNS):
+                part = slice(left, min(last, left + COLUMNS))
+                near = a_unit[lo + rows] @ b_unit[part].T
+                if b_odd[part].any():
+                    near[:, b_odd[part]] = -2
+                least = 1.0 - distance[rows, -1] - error - TIE
+                new = np.isinf(least)
+                if new.any() and near.shape[1] > k:
+                    at = near.shape[1] - k
+                    least[new] = np.partition(near[new], at, axis=1)[:, at] - 2 * error - TIE
+                hits = np.flatnonzero(near >= np.maximum(least, -1.5).astype(np.float32)[:, None])
+                hit, column = np.divmod(hits, near.shape[1])
+                if len(hit):
+                    column += left
+                    _keep(distance, place, rows[hit], column, _distances(asked, stored, a_norm, b_norm, lo + rows[hit], column), rank, k)
+            if twice and len(rows):
+                found.append(_taken(lo, distance, place))
+                distance, place = np.full((size, k), np.inf), np.full((size, k), -1)
+        found.append(_taken(lo, distance, place))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _distances(asked, stored, a_norm, b_norm, rows, columns) -> np.ndarray:
+    """Distances of pairs in doubles; equal ones are equal to `DIGITS` digits."""
+    dots = [
+        np.einsum("ij,ij->i", asked[rows[i : i + HITS]].astype(np.float64), stored[columns[i : i + HITS]].astype(np.float64))
+        for i in range(0, len(rows), HITS)
+    ]
+    return np.round(1.0 - np.concatenate(dots) / (a_norm[rows] * b_norm[columns]), DIGITS)
+
+
+def _keep(distance, place, rows, columns, values, rank, k) -> None:
+    """Puts pairs among the k nearest of their rows."""
+    touched = np.unique(rows)
+    rows = np.concatenate([np.repeat(touched, k), rows])
+    columns = np.concatenate([place[touched].ravel(), columns])
+    values = np.concatenate([distance[touched].ravel(), values])
+    order = np.lexsort((rank[columns], values, rows))
     rows, columns, values = rows[order], columns[order], values[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
-    keep = place < k
-    return rows[keep], columns[keep], values[keep]
+    at = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+    best = at < k
+    distance[rows[best], at[best]] = values[best]
+    place[rows[best], at[best]] = columns[best]
+
+
+def _taken(lo: int, distance: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, at = np.nonzero(place >= 0)
+    return lo + rows, place[rows, at], distance[rows, at]
 
 
 # --- exact search -------------------------------------------------------------------------------
@@ -88,7 +166,7 @@ def similar_incidents(
     """
     corpus = _lowest_ids(_with_vector(corpus, "record_id"), k + 1)
     asked = _with_vector(queries, "query_id")
-    distinct = asked.groupBy("embedding").agg(F.min("query_id").alias("_q"))
+    distinct = _distinct(asked)
     found = _exact(distinct.select("_q", "embedding"), corpus, k + 1, pivots, block_values)
     return _per_query(asked, distinct, found, k)
 
@@ -98,6 +176,10 @@ def _with_vector(df: DataFrame, key: str) -> DataFrame:
     return df.where(some).select(key, "embedding")
 
 
+def _distinct(asked: DataFrame) -> DataFrame:
+    return stable(asked.groupBy("embedding").agg(F.min("query_id").alias("_q")))
+
+
 def _lowest_ids(corpus: DataFrame, n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("record_id"))
     return corpus.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
@@ -140,34 +222,24 @@ def _exact(queries: DataFrame, corpus: DataFrame, k: int, pivots: int, block_val
     near = F.row_number().over(Window.partitionBy("cell").orderBy("radius", "record_id"))
     # pivots * k rows and pivots rows
     closest = placed.withColumn("_r", near).where(F.col("_r") <= k).select("cell", "radius").collect()
-    sizes = placed.groupBy("cell").agg(F.min("radius").alias("low"), F.max("radius").alias("high")).collect()
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")).collect()
     inner = np.array([(r.cell, r.radius) for r in closest])
     cells = np.array([(r.cell, r.low, r.high) for r in sizes])
     ids = cells[:, 0].astype(int)
     between = _to_pivots(centers, centers)
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            far = _to_pivots(_unit(_matrix(batch["embedding"])), centers)
-            # k corpus vectors are surely within this distance
-            upper = np.sort(far[:, inner[:, 0].astype(int)] + inner[:, 1], axis=1)
-            upper = upper[:, k - 1] if upper.shape[1] >= k else np.full(len(batch), np.inf)
-            here = far[:, ids]
-            lower = np.maximum(here - cells[:, 2], cells[:, 1] - here)
-            home = far.argmin(axis=1)
-            gap = between[home][:, ids]
-            plane = np.divide(here**2 - far.min(axis=1)[:, None] ** 2, 2 * gap, out=np.zeros_like(here), where=gap > 0)
-            keep = np.maximum(lower, plane) <= upper[:, None] + 1e-6
-            rows, columns = np.nonzero(keep)
-            out = batch.iloc[rows].copy()
-            out["cell"] = ids[columns]
-            yield out
+    def visits(far: np.ndarray) -> np.ndarray:
+        # k corpus vectors are surely within this distance
+        upper = np.sort(far[:, inner[:, 0].astype(int)] + inner[:, 1], axis=1)
+        upper = upper[:, k - 1] if upper.shape[1] >= k else np.full(len(far), np.inf)
+        here = far[:, ids]
+        lower = np.maximum(here - cells[:, 2], cells[:, 1] - here)
+        home = far.argmin(axis=1)
+        gap = between[home][:, ids]
+        plane = np.divide(here**2 - far.min(axis=1)[:, None] ** 2, 2 * gap, out=np.zeros_like(here), where=gap > 0)
+        return np.maximum(lower, plane) <= upper[:, None] + 1e-6
 
-    q_type = queries.schema["_q"].dataType.simpleString()
-    routed = queries.mapInPandas(route, f"_q {q_type}, embedding array<float>, cell int")
-    return _block_search(routed, placed.select("record_id", "embedding", "cell"), k, block_values)
+    return _cell_search(queries, placed, {r.cell: r.n for r in sizes}, centers, visits, k, block_values)
 
 
 def _no_rows(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -175,11 +247,111 @@ def _no_rows(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return empty.withColumn("distance", F.lit(0.0))
 
 
+def _packed(sizes: list[int], most: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Cells into blocks of `most` vectors, in order: the first block and the number of blocks of each cell, and the cells of each block.
+
+    A cell that is larger has blocks of its own.
+    """
+    first, parts, blocks, room = [], [], [], 0
+    for at, n in enumerate(sizes):
+        cut = -(-n // most)
+        if cut == 1 and n <= room:
+            blocks[-1] = (blocks[-1][0], at + 1)
+            room -= n
+        else:
+            blocks += [(at, at + 1)] * cut
+            room = most - n if cut == 1 else 0
+        first.append(len(blocks) - cut)
+        parts.append(cut)
+    return np.array(first), np.array(parts), blocks
+
+
+def _cell_search(
+    queries: DataFrame, corpus: DataFrame, sizes: dict[int, int], centers: np.ndarray, visits: Callable[[np.ndarray], np.ndarray], k: int,
+    block_values: int,
+) -> DataFrame:
+    """The k nearest corpus vectors (record_id, embedding, cell) per query (_q, embedding) among those in the cells it visits.
+
+    `sizes` holds the number of vectors per cell, of which there are no more than centers; `visits` gives from the distances of queries
+    to all centers which of these cells, in their order, are visited. A query goes once to each block that holds such a cell, with a
+    bit per cell. A cell that holds most vectors becomes many blocks.
+    """
+    spark, width, asked = queries.sparkSession, centers.shape[1], queries.count()
+    ids = np.array(list(sizes))
+    most = max(1, block_values // width)
+    # near cells stand together, so that a query visits few blocks
+    near = _centers(centers[ids], max(1, sum(sizes.values()) // most)) if len(ids) > 1 else centers[ids]
+    order = np.lexsort((ids, (centers[ids] @ near.T).argmax(axis=1)))
+    first, parts, blocks = _packed([sizes[i] for i in ids[order].tolist()], most)
+    position = np.zeros(max(ids) + 1, dtype=np.int64)
+    position[ids[order]] = np.arange(len(ids))
+    tasks = 3 * spark.sparkContext.defaultParallelism
+    q_parts = max(1, -(-asked // most), min(-(-tasks // len(blocks)), asked // STRIP))
+    q_type, id_type = queries.schema["_q"].dataType.simpleString(), corpus.schema["record_id"].dataType.simpleString()
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, far in _center_strips(batch["embedding"], centers):
+                wanted, some = visits(far)[:, order], batch.iloc[part]
+                for block, (lo, hi) in enumerate(blocks):
+                    rows = np.flatnonzero(wanted[:, lo:hi].any(axis=1))
+                    if len(rows):
+                        bits = [b.tobytes() for b in np.packbits(wanted[rows, lo:hi], axis=1)]
+                        yield some.iloc[rows].assign(block=block, visited=bits)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                at = position[batch["cell"].to_numpy()]
+                yield batch.drop(columns="_h").assign(cell=at, block=first[at] + batch["_h"].to_numpy() % parts[at])
+
+    routed = queries.select("_q", "embedding").mapInPandas(route, f"_q {q_type}, embedding array<float>, block int, visited binary")
+    routed = routed.withColumn("q_part", F.pmod(F.xxhash64("_q"), F.lit(q_parts)).cast("int"))
+    dealt = corpus.select("record_id", "embedding", "cell", F.xxhash64("record_id").alias("_h"))
+    dealt = dealt.mapInPandas(deal, f"record_id {id_type}, embedding array<float>, cell int, block int")
+    dealt = dealt.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"_q": [], "record_id": [], "distance": []})
+        lo, hi = blocks[left["block"].iloc[0]]
+        right = right.sort_values(["cell", "record_id"], kind="stable")
+        cell = right["cell"].to_numpy()
+        spans = [(int(np.searchsorted(cell, c)), int(np.searchsorted(cell, c, "right"))) for c in range(lo, hi)]
+        bits = np.frombuffer(b"".join(left["visited"]), np.uint8).reshape(len(left), -1)
+        return _found(left, right, spans, np.unpackbits(bits, axis=1, count=hi - lo).astype(bool), k)
+
+    schema = f"_q {q_type}, record_id {id_type}, distance double"
+    # few bytes are much work here, so the tasks are not put together by their size
+    pair, dealt_to = ["block", "q_part"], min(MOST_CELLS, len(blocks) * q_parts)
+    left, right = (side.repartition(dealt_to, *pair).groupBy(*pair) for side in (routed, dealt))
+    local = left.cogroup(right).applyInPandas(nearest, schema)
+    return _k_best(local, k)
+
+
+def _found(left: pd.DataFrame, right: pd.DataFrame, spans: list[tuple[int, int]], wanted: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest of `right` for the rows of `left`."""
+    ids = right["record_id"]
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[ids.reset_index(drop=True).sort_values(kind="stable").index] = np.arange(len(ids))
+    asked, stored = _matrix(left["embedding"], np.float32), _matrix(right["embedding"], np.float32)
+    twice = len(spans) > 1 and bool(ids.duplicated().any())
+    rows, columns, distance = _nearest_pairs(asked, stored, spans, wanted, rank, k, twice)
+    return pd.DataFrame({"_q": left["_q"].to_numpy()[rows], "record_id": ids.to_numpy()[columns], "distance": distance})
+
+
+def _k_best(local: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("_q").orderBy("distance", "record_id")
+    # a vector may share several buckets with a query
+    local = local.dropDuplicates(["_q", "record_id"])
+    return local.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+
+
 def _block_search(queries: DataFrame, corpus: DataFrame, k: int, block_values: int) -> DataFrame:
     """The k nearest corpus vectors per query among those that share a cell, cell by cell in blocks.
 
     The sizes of cells decide into how many blocks each side of a cell is cut, so a cell that holds most
-    vectors becomes many tasks. There are no more cells than pivots or hash buckets.
+    vectors becomes many tasks.
     """
     queries = stable(queries)
     q_type = queries.schema["_q"].dataType.simpleString()
@@ -189,7 +361,9 @@ def _block_search(queries: DataFrame, corpus: DataFrame, k: int, block_values: i
     def parts(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy("cell").agg(F.ceil(F.count("*") * width / block_values).cast("int").alias(name))
 
-    cuts = parts(queries, "q_parts").join(parts(corpus, "c_parts"), "cell")
+    # what Spark guesses of the size of rows that Python makes is too little, so the small side is named
+    cuts = stable(parts(queries, "q_parts").join(parts(corpus, "c_parts").hint("merge"), "cell"))
+    cuts = F.broadcast(cuts) if cuts.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else cuts.hint("merge")
     # each query goes to every corpus block of its cell, each corpus vector to every query block
     q = queries.join(cuts, "cell").select(
         "cell", "_q", "embedding", F.pmod(F.xxhash64("_q"), "q_parts").alias("q_part"),
@@ -204,26 +378,10 @@ def _block_search(queries: DataFrame, corpus: DataFrame, k: int, block_values: i
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"_q": [], "record_id": [], "distance": []})
-        right = right.sort_values("record_id", kind="stable")
-        a, b = _matrix(left["embedding"]), _matrix(right["embedding"])
-        a_norm, b_norm = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-        asked, stored = left["_q"].to_numpy(), right["record_id"].to_numpy()
-        # a strip of queries at a time keeps the distances at hand as small as a block
-        strip = max(1, BLOCK_VALUES // len(b))
-        found = []
-        for lo in range(0, len(a), strip):
-            part = slice(lo, lo + strip)
-            distance = np.round(1.0 - (a[part] @ b.T) / np.outer(a_norm[part], b_norm), DIGITS)
-            rows, columns, values = _k_smallest(distance, k)
-            found.append(pd.DataFrame({"_q": asked[part][rows], "record_id": stored[columns], "distance": values}))
-        return pd.concat(found)
+        return _found(left, right, [(0, len(right))], np.ones((len(left), 1), dtype=bool), k)
 
     schema = f"_q {q_type}, record_id {id_type}, distance double"
-    local = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(nearest, schema)
-    best = Window.partitionBy("_q").orderBy("distance", "record_id")
-    # a vector may share several buckets with a query
-    local = local.dropDuplicates(["_q", "record_id"])
-    return local.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+    return _k_best(q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(nearest, schema), k)
 
 
 # --- search in an inverted file -----------------------------------------------------------------
@@ -239,32 +397,35 @@ def similar_incidents_ivf(
     """
     corpus = stable(_lowest_ids(_with_vector(corpus, "record_id"), k + 1))
     asked = _with_vector(queries, "query_id")
-    distinct = asked.groupBy("embedding").agg(F.min("query_id").alias("_q"))
+    distinct = _distinct(asked)
     total = corpus.count()
     if not total:
         return _per_query(asked, distinct, _no_rows(distinct, corpus), k)
-    fitted = smallest_hashes(corpus, "record_id", CENTER_SAMPLE, total).collect()
-    centers = _centers(_unit(_matrix(pd.Series([r.embedding for r in fitted]))), min(MOST_CELLS, max(1, round(total / per_cell))))
+    fitted = smallest_hashes(corpus, "record_id", CENTER_SAMPLE, total).toArrow().to_pandas()
+    centers = _centers(_unit(_matrix(fitted["embedding"])), min(MOST_CELLS, max(1, round(total / per_cell))))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.assign(cell=_to_pivots(_unit(_matrix(batch["embedding"])), centers).argmin(axis=1))
+                yield batch.assign(cell=_nearest_center(batch["embedding"], centers))
 
     id_type = corpus.schema["record_id"].dataType.simpleString()
     placed = stable(corpus.mapInPandas(assign, f"record_id {id_type}, embedding array<float>, cell int"))
-    probes = _probes(placed, fitted[:PROBE_SAMPLE], centers, k, target)
+    probes = _probes(placed, list(fitted[:PROBE_SAMPLE].itertuples()), centers, k, target)
+    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # no more than MOST_CELLS
+    found = _cell_search(distinct, placed, sizes, centers, nearest_cells(list(sizes), probes), k + 1, block_values)
+    return _per_query(asked, distinct, found, k)
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                far = _to_pivots(_unit(_matrix(batch["embedding"])), centers)
-                nearest = np.argsort(far, axis=1, kind="stable")[:, :probes]
-                yield batch.iloc[np.repeat(np.arange(len(batch)), probes)].assign(cell=nearest.ravel())
 
-    q_type = distinct.schema["_q"].dataType.simpleString()
-    routed = distinct.select("_q", "embedding").mapInPandas(route, f"_q {q_type}, embedding array<float>, cell int")
-    return _per_query(asked, distinct, _block_search(routed, placed, k + 1, block_values), k)
+def nearest_cells(cells: list[int], probes: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Which of `cells` are among the `probes` nearest, from the distances to all centers."""
+
+    def visits(far: np.ndarray) -> np.ndarray:
+        wanted = np.zeros(far.shape, dtype=bool)
+        np.put_along_axis(wanted, np.argsort(far, axis=1, kind="stable")[:, :probes], True, axis=1)
+        return wanted[:, cells]
+
+    return visits
 
 
 def _centers(units: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
@@ -272,7 +433,8 @@ def _centers(units: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     centers = units[np.random.default_rng(11).permutation(len(units))[:count]]
     for _ in range(rounds if len(centers) > 1 else 0):
         # a strip at a time, so the products stay small
-        cell = np.concatenate([(units[i : i + 2048] @ centers.T).argmax(axis=1) for i in range(0, len(units), 2048)])
+        step = max(64, AT_HAND // len(centers))
+        cell = np.concatenate([(units[i : i + step] @ centers.T).argmax(axis=1) for i in range(0, len(units), step)])
         sums = np.zeros_like(centers)
         np.add.at(sums, cell, units)
         moved = _unit(sums)
@@ -292,9 +454,10 @@ def _probes(placed: DataFrame, sample: list, centers: np.ndarray, k: int, target
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         far, cell = np.full((len(asked), k + 1), np.inf), np.full((len(asked), k + 1), -1)
         for batch in batches:
-            if len(batch):
-                far = np.hstack([far, 1.0 - asked @ _unit(_matrix(batch["embedding"])).T])
-                cell = np.hstack([cell, np.broadcast_to(batch["cell"].to_numpy(), (len(asked), len(batch)))])
+            for lo in range(0, len(batch), COLUMNS):
+                some = batch.iloc[lo : lo + COLUMNS]
+                far = np.hstack([far, 1.0 - asked @ _unit(_matrix(some["embedding"])).T])
+                cell = np.hstack([cell, np.broadcast_to(some["cell"].to_numpy(), (len(asked), len(some)))])
                 best = np.argsort(far, axis=1, kind="stable")[:, : k + 1]
                 far, cell = np.take_along_axis(far, best, 1), np.take_along_axis(cell, best, 1)
         at, place = np.nonzero(cell >= 0)
@@ -321,7 +484,7 @@ def similar_incidents_lsh(
     """
     corpus = stable(_lowest_ids(_with_vector(corpus, "record_id"), k + 1))
     asked = _with_vector(queries, "query_id")
-    distinct = asked.groupBy("embedding").agg(F.min("query_id").alias("_q"))
+    distinct = _distinct(asked)
     depth = max(1, round(np.log2(max(1, corpus.count()) / PER_BUCKET))) if bits is None else bits
 
     def keyed(df: DataFrame, key: str, more: int) -> DataFrame:

@@ -234,3 +234,56 @@ def test_similar_in_last_is_strict_at_the_far_end(spark):
     got = {r.record_id: r.similar for r in rt.similar_in_last(df, 1).collect()}
     assert got == {0: 1, 3600: 1, 3601: 2, 3602: 1}
     assert {r.record_id: r.similar for r in rt.similar_in_last(df, 1, include_self=False).collect()}[3601] == 1
+
+
+def plain_pairs(a, b, spans, wanted, k):
+    """The k nearest rows of b per row of a in the wanted spans, compared one by one."""
+    out = []
+    for i, x in enumerate(a.astype(np.float64)):
+        near = []
+        for s, (lo, hi) in enumerate(spans):
+            for j in range(lo, hi if wanted[i, s] else lo):
+                y = b[j].astype(np.float64)
+                norm = np.linalg.norm(x) * np.linalg.norm(y)
+                if np.isfinite(norm):
+                    near.append((round(1 - float(x @ y) / norm, 12), j))
+        out += [(i, j, d) for d, j in sorted(near)[:k]]
+    return out
+
+
+def test_products_of_floats_rule_out_no_neighbour(monkeypatch):
+    monkeypatch.setattr(sm, "STRIP", 7)
+    monkeypatch.setattr(sm, "COLUMNS", 9)
+    rng = np.random.default_rng(1)
+    b = rng.standard_normal((120, 5)).astype(np.float32)
+    b[20:60] = b[20] + rng.standard_normal((40, 5)).astype(np.float32) * 1e-7  # closer than floats tell apart
+    b[70, 2] = np.nan
+    a = np.vstack([b[15:45], b[65:75], rng.standard_normal((20, 5))]).astype(np.float32)
+    spans = [(0, 3), (3, 80), (80, 80), (80, 120)]
+    wanted = rng.random((len(a), 4)) < 0.7
+    rows, columns, distance = sm._nearest_pairs(a, b, spans, wanted, np.arange(len(b)), 4, False)
+    got = sorted(zip(rows.tolist(), distance.tolist(), columns.tolist(), strict=True))
+    assert [(i, j, d) for i, d, j in got] == plain_pairs(a, b, spans, wanted, 4)
+
+
+def test_cells_are_packed_into_blocks():
+    first, parts, blocks = sm._packed([3, 4, 25, 5, 5, 1], 10)
+    assert blocks == [(0, 2), (2, 3), (2, 3), (2, 3), (3, 5), (5, 6)]
+    assert first.tolist() == [0, 0, 1, 4, 4, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1]
+
+
+def test_a_query_goes_once_to_a_block(spark, monkeypatch):
+    """Many small cells without structure: a query's vector is not repeated for each of them."""
+    matrix = np.random.default_rng(2).standard_normal((600, 16))
+    q, c = vectors(spark, matrix, "query_id"), vectors(spark, matrix, "record_id")
+    sent, search = [], sm._nearest_pairs
+
+    def seen(queries, corpus, sizes, centers, visits, k, block_values, run=sm._cell_search):
+        sent.append(len(sizes))
+        assert queries.count() == 600
+        return run(queries, corpus, sizes, centers, visits, k, block_values)
+
+    monkeypatch.setattr(sm, "_cell_search", seen)
+    found = sm.similar_incidents_ivf(q, c, per_cell=8, target=1.0)
+    assert sent and sent[0] > 50 and callable(search)
+    assert neighbours(found) == brute(matrix, 3)
