@@ -272,18 +272,17 @@ def test_cells_are_packed_into_blocks():
     assert first.tolist() == [0, 0, 1, 4, 4, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1]
 
 
-def test_a_query_goes_once_to_a_block(spark, monkeypatch):
-    """Many small cells without structure: a query's vector is not repeated for each of them."""
-    matrix = np.random.default_rng(2).standard_normal((600, 16))
-    q, c = vectors(spark, matrix, "query_id"), vectors(spark, matrix, "record_id")
-    sent, search = [], sm._nearest_pairs
-
-    def seen(queries, corpus, sizes, centers, visits, k, block_values, run=sm._cell_search):
-        sent.append(len(sizes))
-        assert queries.count() == 600
-        return run(queries, corpus, sizes, centers, visits, k, block_values)
-
-    monkeypatch.setattr(sm, "_cell_search", seen)
-    found = sm.similar_incidents_ivf(q, c, per_cell=8, target=1.0)
-    assert sent and sent[0] > 50 and callable(search)
-    assert neighbours(found) == brute(matrix, 3)
+@pytest.mark.parametrize("block", [1_600, 4_000_000])
+def test_small_cells_in_blocks_find_all(spark, block):
+    matrix = np.random.default_rng(2).standard_normal((600, 16)).astype(np.float32)
+    centers = sm._centers(sm._unit(matrix.astype(np.float64)), 60)
+    cell = sm._to_pivots(sm._unit(matrix.astype(np.float64)), centers).argmin(axis=1)
+    rows = [(i, [float(x) for x in v], int(c)) for i, (v, c) in enumerate(zip(matrix, cell, strict=True))]
+    corpus = spark.createDataFrame(rows, "record_id int, embedding array<float>, cell int")
+    sizes = {int(c): int((cell == c).sum()) for c in np.unique(cell)}
+    asked = vectors(spark, matrix, "_q")
+    found = sm._cell_search(asked, corpus, sizes, centers, lambda far: np.ones((len(far), len(sizes)), dtype=bool), 4, block)
+    got = {}
+    for r in sorted(found.where("_q <> record_id").collect(), key=lambda r: (r.distance, r.record_id)):
+        got.setdefault(r["_q"], []).append(r.record_id)
+    assert got == brute(matrix, 3)
