@@ -105,9 +105,14 @@ def unpack(variant: str, keys: Sequence[str]) -> Column:
     """
     values = [F.try_variant_get(variant, _path(k), "variant") for k in keys]
 
-    def describe(value: Column) -> Column:
-        kind = F.schema_of_variant(value)
-        plain = F.try_variant_get(value, "$", "string")
+    # a value's kind and text are looked at once here; `describe` asks for them several times
+    def seen(value: Column) -> Column:
+        return F.when(value.isNotNull(), F.struct(
+            value.alias("value"), F.schema_of_variant(value).alias("kind"), F.try_variant_get(value, "$", "string").alias("text"),
+        ))
+
+    def describe(one: Column) -> Column:
+        kind, plain = one["kind"], one["text"]
         boolean = F.when(plain == "true", F.lit("True"))
         numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
         described = F.struct(
@@ -117,11 +122,11 @@ def unpack(variant: str, keys: Sequence[str]) -> Column:
             .when(kind == "BOOLEAN", boolean)
             .when(~plain.isin(*FALSY), plain)
             .alias("truthy"),
-            F.when(numeric, F.try_variant_get(value, "$", "double")).alias("number"),
+            F.when(numeric, F.try_variant_get(one["value"], "$", "double")).alias("number"),
         )
-        return F.when(value.isNotNull(), described)
+        return F.when(one.isNotNull(), described)
 
-    return F.transform(F.array(*values), describe)
+    return F.transform(F.transform(F.array(*values), seen), describe)
 
 
 def _path(key: str) -> str:

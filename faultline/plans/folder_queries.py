@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators.normalize import NORMALIZERS
 from faultline.plans.registry import query
-from faultline.plans.workload import EVT, payloads
+from faultline.plans.workload import EVT, incidents, payloads_of
 from faultline.session import shared_folder
 from faultline.sources.ledger import ingest_folder
 from faultline.sources.payloads import read_raw_payloads
@@ -28,7 +28,7 @@ def raw_payloads(spark, folder):
     root = _scratch(spark, "raw")
     parts = []
     for source in NORMALIZERS:
-        mine = payloads(spark, folder).where(F.col("source_system") == source)
+        mine = payloads_of(incidents(spark, folder)).where(F.col("source_system") == source)
         mine.select("raw").write.text(f"{root}/{source}")
         parts.append(read_raw_payloads(spark, f"{root}/{source}", source))
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy("source_system").agg(
@@ -49,7 +49,7 @@ def reingest_grown_folder(spark, folder):
     root = _scratch(spark, "grown")
     # every third event of a source comes later
     later = F.expr("CAST(substring(incident_id, 5, 12) AS BIGINT) DIV 3 % 3 = 0")
-    all_rows = payloads(spark, folder).withColumn("later", later)
+    all_rows = payloads_of(incidents(spark, folder)).withColumn("later", later)
     seen = []
     for arrives in (~F.col("later"), F.col("later"), None):
         for source in NORMALIZERS:

@@ -14,6 +14,7 @@ from faultline.functions.text import lookup
 from faultline.operators.evaluate import evaluate_incidents, score_status, tool_score
 from faultline.operators.normalize import incident_type_from_error
 
+TASKS_A_CORE = 3
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 SQL_STAMP = "%Y-%m-%d %H:%M:%S.%f"
 
@@ -143,7 +144,13 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 # --- raw payloads ---------------------------------------------------------------------------------
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Raw JSON texts in the three source shapes, some cut short and some with a blank service."""
-    return payloads_of(incidents(spark, folder))
+    return payloads_of(incidents_of(spread(table(spark, folder, "events"))))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows dealt evenly over all cores: a file that is small for the work on its rows is read by few tasks."""
+    tasks = max(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    return rows.repartition(tasks, *rows.columns)
 
 
 def payloads_of(e: DataFrame) -> DataFrame:
