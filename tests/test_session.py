@@ -7,6 +7,11 @@ from faultline.plans import QUERIES
 
 STORED = ["store_actions", "read_raw_payloads", "snapshot_upsert", "stream_cooldown_alerts", "audit_trail_stored"]
 
+ALSO_STORED = [
+    "list_incident_records", "reingest_grown_folder", "store_evaluations", "store_tool_calls", "stream_alert_states",
+    "stream_cycle_with_context", "stream_ingest_records", "stream_window_report", "stream_window_summary",
+]
+
 
 @pytest.fixture
 def setting(spark, tmp_path, monkeypatch):
@@ -27,6 +32,11 @@ def test_stored_tables_and_streams_run_on_a_cluster(spark, setting, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
+@pytest.mark.parametrize("name", ALSO_STORED)
+def test_the_other_stored_tables_and_streams_run_on_a_cluster(spark, setting, name):
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_a_folder_that_executors_do_not_see_is_refused(spark, setting, monkeypatch):
     monkeypatch.setattr(session, "_mounted", lambda spark, folder: False)
     with pytest.raises(RuntimeError, match="do not see"):
