@@ -1,8 +1,10 @@
 """Operators that split hot keys, against brute force on small skewed data."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +288,25 @@ def test_small_cells_in_blocks_find_all(spark, block):
     for r in sorted(found.where("_q <> record_id").collect(), key=lambda r: (r.distance, r.record_id)):
         got.setdefault(r["_q"], []).append(r.record_id)
     assert got == brute(matrix, 3)
+
+
+def test_a_block_of_retrieval_holds_no_distance_of_each_pair(spark, monkeypatch):
+    """What retrieval_context and rag_evaluate hold in a Python worker: 3000 vectors are compared with 20,000."""
+    q, c = (vectors(spark, np.eye(4), name) for name in ("query_id", "record_id"))
+    ops, given = type(q.groupBy("query_id").cogroup(c.groupBy("record_id"))), []
+    run = ops.applyInPandas
+    monkeypatch.setattr(ops, "applyInPandas", lambda self, func, schema: given.append(func) or run(self, func, schema))
+    sm.similar_incidents_ivf(q, c)
+    matrix = np.random.default_rng(3).standard_normal((20_000, 16)).astype(np.float32)
+    right = pd.DataFrame({"record_id": np.arange(20_000), "embedding": list(matrix), "cell": 0})
+    left = pd.DataFrame({"_q": np.arange(3000), "embedding": list(matrix[:3000]), "block": 0, "visited": b"\x80", "cell": 0})
+    tracemalloc.start()
+    try:
+        found = given[-1](left, right)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # a byte a pair would be 60 MB
+    assert most < 50e6
+    nearest = found[found["distance"] < 1e-9]
+    assert len(found) == 12_000 and (nearest["_q"] == nearest["record_id"]).sum() == 3000
