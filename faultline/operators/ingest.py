@@ -38,7 +38,11 @@ class Ingested:
 
 def ingest(payloads: DataFrame, rules: DataFrame | None = None) -> Ingested:
     """raw, source_system, arrival_ts -> events, quarantine and evaluated records; no shuffle."""
-    events = normalize(payloads)
+    return ingest_normalized(normalize(payloads), rules)
+
+
+def ingest_normalized(events: DataFrame, rules: DataFrame | None = None) -> Ingested:
+    """The same from what `normalize` gave, for callers that keep it."""
     good = accepted(events)
     incidents = to_standard_incident(good).withColumnsRenamed({"id": "record_id", "timestamp": "event_time"})
     records = evaluate_incidents(incidents.withColumnRenamed("arrival_ts", "received_at"), rules)

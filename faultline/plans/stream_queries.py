@@ -13,7 +13,7 @@ from faultline.plans.ingest_queries import _rule_case
 from faultline.plans.registry import SQL, query
 from faultline.plans.service_queries import greedy_sql
 from faultline.plans.window_queries import ASSESSMENT, CONTEXT, HRS, PATTERN, STEPS, VECTORS, vectors
-from faultline.plans.workload import EVT, incidents_of, payloads_of, stamp, table
+from faultline.plans.workload import EVT, TASKS_A_CORE, incidents_of, payloads_of, stamp, table
 from faultline.session import shared_folder, stable
 from faultline.streaming.alerts import alert_states, start_cooldown
 from faultline.streaming.ingest import start_ingest
@@ -131,7 +131,9 @@ def stream_cycle_with_context(spark, folder):
     """Three cycles over a third of the events each; every evaluation is told of its neighbours in the cycles before."""
     root = _place(spark, "context")
     events = table(spark, folder, "events")
-    stream = payloads_of(incidents_of(_pieces(spark, events, root, F.col("event_id") % 3)))
+    # a piece is one file, which one task reads: its rows go to all cores before payloads are made of them
+    tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    stream = payloads_of(incidents_of(_pieces(spark, events, root, F.col("event_id") % 3).repartition(tasks)))
     stored = vectors(spark, folder)
     memory = CycleMemory(spark, root, lambda records: records.select("record_id").join(stored, "record_id"))
     start_ingest(stream, root, None, memory=memory).awaitTermination()

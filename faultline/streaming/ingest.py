@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from faultline.operators.evaluate import cycle_summary
-from faultline.operators.ingest import ingest
-from faultline.operators.normalize import incident_type_from_error
+from faultline.operators.ingest import ingest_normalized
+from faultline.operators.normalize import incident_type_from_error, normalize
 from faultline.operators.similarity import rag_evaluate, retrieval_context
 from faultline.session import stable
 from faultline.sources.buffer import messages
@@ -18,6 +18,8 @@ from faultline.sources.payloads import with_positions
 from faultline.streaming.memory import CycleMemory
 
 MIN_INTERVAL, MAX_INTERVAL = 1, 60
+FEW = 10_000  # payloads that are not worth a shuffle
+TASKS_A_CORE = 3
 
 
 def _write(df: DataFrame, root: str, name: str, batch_id: int) -> None:
@@ -25,6 +27,17 @@ def _write(df: DataFrame, root: str, name: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
 
 
+def _dealt(payloads: DataFrame) -> DataFrame:
+    """The payloads over all cores: a micro-batch of few files comes in few tasks, and parsing is most of the work.
+
+    A small micro-batch stays as it comes; to see that, a task makes no more than FEW payloads.
+    """
+    cores = payloads.sparkSession.sparkContext.defaultParallelism
+    if payloads.rdd.getNumPartitions() >= cores or payloads.limit(FEW + 1).count() <= FEW:
+        return payloads
+    return payloads.repartition(TASKS_A_CORE * cores)
+
+
 def run_cycle(
     payloads: DataFrame, batch_id: int, root: str, retrieve: Callable[[DataFrame], DataFrame] | None = None, memory: CycleMemory | None = None
 ) -> None:
@@ -36,8 +49,10 @@ def run_cycle(
     """
     if {"file", "split"} <= set(payloads.columns):
         payloads = with_positions(payloads)
-    payloads = payloads.persist()
-    done = ingest(payloads)
+    normalized = normalize(_dealt(payloads)).persist()
+    done = ingest_normalized(normalized)
+    # the first to be written, so that each payload is parsed once: jobs of several stages would do so side by side
+    _write(done.quarantine, root, "quarantine", batch_id)
     records = done.records.withColumn("cycle_id", F.lit(batch_id)).persist()
     actions = done.actions().withColumn("cycle_id", F.lit(batch_id)).persist()
     hits = records.select("cycle_id").limit(0)
@@ -54,12 +69,11 @@ def run_cycle(
     _write(cycle_summary(records, actions, hits).drop("cycle_id"), root, "cycles", batch_id)
     _write(records.drop("cycle_id"), root, "records", batch_id)
     _write(actions.drop("cycle_id"), root, "actions", batch_id)
-    _write(done.quarantine, root, "quarantine", batch_id)
     typed = done.events.withColumn("incident_type", incident_type_from_error(F.col("error_type")))
     _write(messages(typed), root, "buffer", batch_id)
     if memory is not None:
         memory.remember(plain, batch_id)
-    for df in (actions, records, plain, payloads):
+    for df in (actions, records, plain, normalized):
         df.unpersist()
 
 
