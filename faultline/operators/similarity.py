@@ -6,7 +6,8 @@ order). Cells are packed into blocks of bounded size; a query goes once to each
 visits, and a task multiplies one block of queries with one block of corpus vectors and gives back at most
 k rows per query, so neither pairs nor visits become rows. Where vectors have no structure nothing is ruled
 out; the inverted file then is the way for large corpora: it visits as many of the nearest cells as a
-measured share of the true neighbours asks for.
+measured share of the true neighbours asks for, and if it is to be exact, the other cells that may hold a
+nearer vector than those found.
 """
 
 from __future__ import annotations
@@ -77,7 +78,13 @@ def _center_strips(vectors: pd.Series, centers: np.ndarray) -> Iterator[tuple[sl
 
 
 def _nearest_center(vectors: pd.Series, centers: np.ndarray) -> np.ndarray:
-    return np.concatenate([far.argmin(axis=1) for _, far in _center_strips(vectors, centers)])
+    return _cell_and_radius(vectors, centers)[0]
+
+
+def _cell_and_radius(vectors: pd.Series, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest center, and how far it is."""
+    near = [(far.argmin(axis=1), far.min(axis=1)) for _, far in _center_strips(vectors, centers)]
+    return tuple(np.concatenate(x) for x in zip(*near, strict=True))
 
 
 def _nearest_pairs(
@@ -176,6 +183,11 @@ def _with_vector(df: DataFrame, key: str) -> DataFrame:
     return df.where(some).select(key, "embedding")
 
 
+def _sound(df: DataFrame) -> DataFrame:
+    """Rows whose vector is a direction; others are nobody's neighbour, and as centers they would be nearest to all."""
+    return df.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
+
 def _distinct(asked: DataFrame) -> DataFrame:
     return stable(asked.groupBy("embedding").agg(F.min("query_id").alias("_q")))
 
@@ -232,12 +244,7 @@ def _exact(queries: DataFrame, corpus: DataFrame, k: int, pivots: int, block_val
         # k corpus vectors are surely within this distance
         upper = np.sort(far[:, inner[:, 0].astype(int)] + inner[:, 1], axis=1)
         upper = upper[:, k - 1] if upper.shape[1] >= k else np.full(len(far), np.inf)
-        here = far[:, ids]
-        lower = np.maximum(here - cells[:, 2], cells[:, 1] - here)
-        home = far.argmin(axis=1)
-        gap = between[home][:, ids]
-        plane = np.divide(here**2 - far.min(axis=1)[:, None] ** 2, 2 * gap, out=np.zeros_like(here), where=gap > 0)
-        return np.maximum(lower, plane) <= upper[:, None] + 1e-6
+        return _least_distance(far, ids, between, cells[:, 1], cells[:, 2]) <= upper[:, None] + 1e-6
 
     return _cell_search(queries, placed, {r.cell: r.n for r in sizes}, centers, visits, k, block_values)
 
@@ -267,14 +274,14 @@ def _packed(sizes: list[int], most: int) -> tuple[np.ndarray, np.ndarray, list[t
 
 
 def _cell_search(
-    queries: DataFrame, corpus: DataFrame, sizes: dict[int, int], centers: np.ndarray, visits: Callable[[np.ndarray], np.ndarray], k: int,
+    queries: DataFrame, corpus: DataFrame, sizes: dict[int, int], centers: np.ndarray, visits: Callable[..., np.ndarray], k: int,
     block_values: int,
 ) -> DataFrame:
     """The k nearest corpus vectors (record_id, embedding, cell) per query (_q, embedding) among those in the cells it visits.
 
     `sizes` holds the number of vectors per cell, of which there are no more than centers; `visits` gives from the distances of queries
-    to all centers which of these cells, in their order, are visited. A query goes once to each block that holds such a cell, with a
-    bit per cell. A cell that holds most vectors becomes many blocks.
+    to all centers, and from their `reach` if they have such a column, which of these cells, in their order, are visited. A query goes
+    once to each block that holds such a cell, with a bit per cell. A cell that holds most vectors becomes many blocks.
     """
     spark, width, asked = queries.sparkSession, centers.shape[1], queries.count()
     ids = np.array(list(sizes))
@@ -292,12 +299,13 @@ def _cell_search(
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part, far in _center_strips(batch["embedding"], centers):
-                wanted, some = visits(far)[:, order], batch.iloc[part]
+                some = batch.iloc[part]
+                wanted = visits(far, *(some[c].to_numpy() for c in reach))[:, order]
                 for block, (lo, hi) in enumerate(blocks):
                     rows = np.flatnonzero(wanted[:, lo:hi].any(axis=1))
                     if len(rows):
                         bits = [b.tobytes() for b in np.packbits(wanted[rows, lo:hi], axis=1)]
-                        yield some.iloc[rows].assign(block=block, visited=bits)
+                        yield some.iloc[rows].drop(columns=reach).assign(block=block, visited=bits)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -305,7 +313,8 @@ def _cell_search(
                 at = position[batch["cell"].to_numpy()]
                 yield batch.drop(columns="_h").assign(cell=at, block=first[at] + batch["_h"].to_numpy() % parts[at])
 
-    routed = queries.select("_q", "embedding").mapInPandas(route, f"_q {q_type}, embedding array<float>, block int, visited binary")
+    reach = [c for c in ("reach",) if c in queries.columns]
+    routed = queries.select("_q", "embedding", *reach).mapInPandas(route, f"_q {q_type}, embedding array<float>, block int, visited binary")
     routed = routed.withColumn("q_part", F.pmod(F.xxhash64("_q"), F.lit(q_parts)).cast("int"))
     dealt = corpus.select("record_id", "embedding", "cell", F.xxhash64("record_id").alias("_h"))
     dealt = dealt.mapInPandas(deal, f"record_id {id_type}, embedding array<float>, cell int, block int")
@@ -313,7 +322,7 @@ def _cell_search(
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"_q": [], "record_id": [], "distance": []})
+            return _none_found(left, right)
         lo, hi = blocks[left["block"].iloc[0]]
         right = right.sort_values(["cell", "record_id"], kind="stable")
         cell = right["cell"].to_numpy()
@@ -329,6 +338,11 @@ def _cell_search(
     return _k_best(local, k)
 
 
+def _none_found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """No rows, of the types of the ids: what is empty without a type cannot become texts."""
+    return pd.DataFrame({"_q": left["_q"][:0], "record_id": right["record_id"][:0], "distance": np.zeros(0)})
+
+
 def _found(left: pd.DataFrame, right: pd.DataFrame, spans: list[tuple[int, int]], wanted: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest of `right` for the rows of `left`."""
     ids = right["record_id"]
@@ -377,7 +391,7 @@ def _block_search(queries: DataFrame, corpus: DataFrame, k: int, block_values: i
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"_q": [], "record_id": [], "distance": []})
+            return _none_found(left, right)
         return _found(left, right, [(0, len(right))], np.ones((len(left), 1), dtype=bool), k)
 
     schema = f"_q {q_type}, record_id {id_type}, distance double"
@@ -387,16 +401,17 @@ def _block_search(queries: DataFrame, corpus: DataFrame, k: int, block_values: i
 # --- search in an inverted file -----------------------------------------------------------------
 def similar_incidents_ivf(
     queries: DataFrame, corpus: DataFrame, k: int = 3, per_cell: int = PER_CELL, target: float = TARGET,
-    block_values: int = BLOCK_VALUES,
+    block_values: int = BLOCK_VALUES, exact: bool = False,
 ) -> DataFrame:
     """As `similar_incidents`, among the corpus vectors in the cells nearest to each query.
 
     Cells grow with the corpus. How many of them a query visits is measured: a sample of corpus vectors is compared
     with every vector, and `target` of the neighbours found so must lie in visited cells. Vectors in groups need few
-    cells, vectors without structure many. A corpus of one cell is searched whole.
+    cells, vectors without structure many. A corpus of one cell is searched whole. With `exact` the rows are those of
+    `similar_incidents`: a query then goes to every other cell that may hold one nearer than its last neighbour.
     """
-    corpus = stable(_lowest_ids(_with_vector(corpus, "record_id"), k + 1))
-    asked = _with_vector(queries, "query_id")
+    corpus = stable(_lowest_ids(_sound(_with_vector(corpus, "record_id")), k + 1))
+    asked = _sound(_with_vector(queries, "query_id"))
     distinct = _distinct(asked)
     total = corpus.count()
     if not total:
@@ -407,13 +422,24 @@ def similar_incidents_ivf(
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.assign(cell=_nearest_center(batch["embedding"], centers))
+                cell, radius = _cell_and_radius(batch["embedding"], centers)
+                yield batch.assign(cell=cell, radius=radius)
 
     id_type = corpus.schema["record_id"].dataType.simpleString()
-    placed = stable(corpus.mapInPandas(assign, f"record_id {id_type}, embedding array<float>, cell int"))
+    placed = stable(corpus.mapInPandas(assign, f"record_id {id_type}, embedding array<float>, cell int, radius double"))
     probes = _probes(placed, list(fitted[:PROBE_SAMPLE].itertuples()), centers, k, target)
-    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # no more than MOST_CELLS
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high"))
+    cells = cells.collect()  # no more than MOST_CELLS
+    sizes = {r.cell: r.n for r in cells}
     found = _cell_search(distinct, placed, sizes, centers, nearest_cells(list(sizes), probes), k + 1, block_values)
+    if exact and probes < len(centers):
+        found = stable(found)
+        # as a length between unit vectors; where fewer than k + 1 are found, no distance is too far
+        length = F.sqrt(2 * (F.greatest(F.max("distance"), F.lit(0.0)) + TIE))
+        last = found.groupBy("_q").agg(F.when(F.count("*") > k, length).alias("reach"))
+        asking = distinct.join(last, "_q", "left").select("_q", "embedding", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+        others = other_cells(list(sizes), probes, centers, np.array([r.low for r in cells]), np.array([r.high for r in cells]))
+        found = _k_best(found.unionByName(_cell_search(asking, placed, sizes, centers, others, k + 1, block_values)), k + 1)
     return _per_query(asked, distinct, found, k)
 
 
@@ -428,6 +454,27 @@ def nearest_cells(cells: list[int], probes: int) -> Callable[[np.ndarray], np.nd
     return visits
 
 
+def other_cells(cells: list[int], probes: int, centers: np.ndarray, low: np.ndarray, high: np.ndarray) -> Callable[..., np.ndarray]:
+    """Which of `cells`, without the `probes` nearest, may hold a vector within `reach` of a query.
+
+    The vectors of a cell are `low` to `high` away from its center, and nearer to it than to the one nearest to the query.
+    """
+    near, between = nearest_cells(cells, probes), _to_pivots(centers, centers)
+
+    def visits(far: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        return ~near(far) & (_least_distance(far, cells, between, low, high) <= reach[:, None] + 1e-6)
+
+    return visits
+
+
+def _least_distance(far: np.ndarray, cells: list[int] | np.ndarray, between: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """No vector of a cell is nearer to a query than this."""
+    here = far[:, cells]
+    gap = between[far.argmin(axis=1)][:, cells]
+    plane = np.divide(here**2 - far.min(axis=1)[:, None] ** 2, 2 * gap, out=np.zeros_like(here), where=gap > 0)
+    return np.maximum(np.maximum(here - high, low - here), plane)
+
+
 def _centers(units: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     """Unit centers of a sample by spherical k-means; a center without vectors stays."""
     centers = units[np.random.default_rng(11).permutation(len(units))[:count]]

@@ -385,7 +385,7 @@ def vectors(spark, folder):
 
 def neighbours(spark, folder, k=3):
     stored = vectors(spark, folder)
-    return sm.similar_incidents_ivf(stored.withColumnRenamed("record_id", "query_id"), stored, k)
+    return sm.similar_incidents_ivf(stored.withColumnRenamed("record_id", "query_id"), stored, k, exact=True)
 
 
 def stored_records(spark, folder):

@@ -15,6 +15,7 @@ from faultline.operators import reliability as rl
 from faultline.operators import routing as rt
 from faultline.operators import similarity as sm
 from faultline.operators import trends as tr
+from faultline.plans import window_queries
 
 
 def skewed(seed, n=600, keys=4, span=2000, ties=False):
@@ -191,6 +192,54 @@ def test_inverted_file_of_one_cell_is_exact(spark):
     assert sm.similar_incidents_ivf(q, c.where("record_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.1, 10.0])
+def test_exact_inverted_file_goes_to_every_cell_that_may_hold_a_neighbour(spark, monkeypatch, spread):
+    rng = np.random.default_rng(5)
+    matrix = np.vstack([np.repeat(rng.standard_normal((40, 16)) * 5, 15, axis=0) + rng.standard_normal((600, 16)) * spread, np.ones((30, 16))])
+    q, c = vectors(spark, matrix, "query_id"), vectors(spark, matrix, "record_id")
+    # a vector that is no direction is nobody's neighbour, and takes no cell out of the search
+    odd = spark.createDataFrame([(-1, [float("inf")] * 16), (-2, [float("nan")] * 16)], "record_id int, embedding array<float>")
+    for target in (0.0, sm.TARGET):
+        found = sm.similar_incidents_ivf(q, c.unionByName(odd), per_cell=16, target=target, exact=True)
+        assert neighbours(found) == brute(matrix, 3)
+    # some are missed without
+    assert neighbours(sm.similar_incidents_ivf(q, c, per_cell=16, target=0.0)) != brute(matrix, 3)
+    # cells are ruled out where vectors are in groups
+    searched, search = [], sm._cell_search
+
+    def counted(queries, corpus, sizes, centers, visits, *rest):
+        def seen(far, *reach):
+            wanted = visits(far, *reach)
+            share.add(int(wanted.sum()))
+            return wanted
+
+        share = spark.sparkContext.accumulator(0)
+        searched.append((share, len(sizes)))
+        return search(queries, corpus, sizes, centers, seen, *rest)
+
+    monkeypatch.setattr(sm, "_cell_search", counted)
+    sm.similar_incidents_ivf(q, c, per_cell=16, exact=True).collect()
+    (first, cells), (rest, _) = searched
+    assert (first.value + rest.value < 0.3 * 601 * cells) == (spread < 1)
+
+
+def test_neighbours_of_queries_are_all_found(spark, tmp_path):
+    """Four cells, of which a query visits one for 98 % of the neighbours: 446 of 24,600 are in others."""
+    matrix = np.random.default_rng(5).standard_normal((8200, 3)).astype(np.float32)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(8200), "embedding": list(matrix)}), "vec_id bigint, embedding array<float>")
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {}
+    for r in window_queries.neighbours(spark, str(tmp_path)).orderBy("rank").collect():
+        found.setdefault(int(r.query_id[4:]), []).append(int(r.record_id[4:]))
+    units = matrix.astype(np.float64)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    for lo in range(0, 8200, 1025):
+        far = np.round(1 - units[lo : lo + 1025] @ units.T, 12)
+        far[np.arange(1025), np.arange(lo, lo + 1025)] = np.inf
+        nearest = np.argsort(far, axis=1, kind="stable")[:, :3]
+        assert [found[lo + i] for i in range(1025)] == nearest.tolist()
+
+
 def test_smallest_hashes_are_those_of_the_whole(spark):
     df = spark.range(20_000)
     got = {r.id for r in smallest_hashes(df, "id", 100, 20_000).collect()}
